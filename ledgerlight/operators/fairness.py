@@ -48,14 +48,11 @@ def assert_protected_unused(selected: Sequence[str]) -> None:
 
 def protected_controls(inventory: DataFrame) -> DataFrame:
     """One row per protected field from a (feature, status) inventory."""
-    from functools import reduce
-
     spark = inventory.sparkSession
     fields = spark.createDataFrame([(f,) for f in PROTECTED], "feature string")
     status = inventory.where(F.col("feature").isin(*PROTECTED)).groupBy("feature").agg(
         F.max(F.col("status") == "selected").alias("selected"),
         F.max(F.col("status") == "excluded_by_policy").alias("excluded"))
-    del reduce
     return fields.join(status, "feature", "left").select(
         "feature", F.coalesce("selected", F.lit(False)).alias("selected_for_prediction"),
         F.coalesce("excluded", F.lit(False)).alias("excluded_by_policy"))
