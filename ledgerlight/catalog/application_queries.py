@@ -61,16 +61,16 @@ def application_features(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(A.engineer(role(spark, sf, "application_train")))
 
 
+_COUNTED = ("AMT_ANNUITY", "AMT_GOODS_PRICE", "OWN_CAR_AGE", "EMPLOYMENT_YEARS", "CREDIT_TO_GOODS",
+            "AMT_REQ_CREDIT_BUREAU_MON")
+
+
 @register("missing_count_over_model_columns", with_roles(
-    f"""SELECT SK_ID_CURR, {" + ".join(f"CAST({n} IS NULL AS INT)" for n in ("AMT_ANNUITY", "AMT_GOODS_PRICE", "OWN_CAR_AGE", "EMPLOYMENT_YEARS", "CREDIT_TO_GOODS", "AMT_REQ_CREDIT_BUREAU_MON"))}::BIGINT
-      AS APPLICATION_MISSING_COUNT FROM engineered""", "application_train", ctes=ENGINEERED_CTE).replace(
-        "CAST(AMT_ANNUITY IS NULL AS INT) +", "CAST(0 + CAST(AMT_ANNUITY IS NULL AS INT) +").replace(
-        "CAST(AMT_REQ_CREDIT_BUREAU_MON IS NULL AS INT)::BIGINT", "CAST(AMT_REQ_CREDIT_BUREAU_MON IS NULL AS INT) AS BIGINT)"))
+    f"SELECT SK_ID_CURR, CAST({' + '.join(f'CAST({n} IS NULL AS INT)' for n in _COUNTED)} AS BIGINT)"
+    " AS APPLICATION_MISSING_COUNT FROM engineered", "application_train", ctes=ENGINEERED_CTE))
 def missing_count_over_model_columns(spark: SparkSession, sf: str) -> DataFrame:
     df = A.engineer(role(spark, sf, "application_train"))
-    names = ("AMT_ANNUITY", "AMT_GOODS_PRICE", "OWN_CAR_AGE", "EMPLOYMENT_YEARS", "CREDIT_TO_GOODS",
-             "AMT_REQ_CREDIT_BUREAU_MON")
-    return rounded(A.recount_missing(df, names).select("SK_ID_CURR", "APPLICATION_MISSING_COUNT"))
+    return rounded(A.recount_missing(df, _COUNTED).select("SK_ID_CURR", "APPLICATION_MISSING_COUNT"))
 
 
 @register("obligation_ratios", with_roles(

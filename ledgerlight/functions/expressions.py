@@ -138,13 +138,15 @@ def tidy(value: Column, digits: int = 6) -> Column:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Presentation helper: bigint / double columns only, doubles rounded."""
+    """Presentation helper: bigint / double columns only, doubles rounded as in :func:`tidy`."""
+    scale = f"{10**digits}.0D"
     out = []
     for field in df.schema.fields:
-        c = F.col(f"`{field.name}`")
+        c = f"`{field.name}`"
         if isinstance(field.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = tidy(c.cast("double"), digits)
-        elif isinstance(field.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-            c = c.cast("bigint")
-        out.append(c.alias(field.name))
-    return df.select(*out)
+            v = c if isinstance(field.dataType, T.DoubleType) else f"CAST({c} AS DOUBLE)"
+            c = f"CASE WHEN abs({v}) < 1e9D THEN floor({v} * {scale} + 0.5001D) / {scale} ELSE {v} END AS {c}"
+        elif isinstance(field.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
+            c = f"CAST({c} AS BIGINT) AS {c}"
+        out.append(c)
+    return df.selectExpr(*out)

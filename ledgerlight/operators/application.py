@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import flag, finite_or_null, is_missing, missing_count, positive_ratio
+from ..functions.expressions import flag, finite_or_null, missing_count, positive_ratio
+from .quality import by_position, long_columns
 
 NOT_EMPLOYED = 365243
 DAYS_PER_YEAR = 365.25
@@ -149,27 +150,24 @@ def excluded_by_policy(name: str) -> bool:
 def feature_inventory(development: DataFrame, maximum_missing_rate: float = MAXIMUM_MISSING_RATE) -> DataFrame:
     """One row per column: kind, missing rate and why it is or is not selected.
 
-    One aggregate pass.  A column is constant when it has no second distinct value, NULL included, which
-    minimum, maximum and the missing count tell without a distinct count.
+    One aggregate pass over ``(column, value)`` rows.  A column is constant when it has no second
+    distinct value, NULL included, which minimum, maximum and the missing count tell without a distinct count.
     """
-    stats = []
-    for field in development.schema.fields:
-        name = field.name
-        known = F.when(~is_missing(development, name), F.col(name))
-        missing = F.count_if(is_missing(development, name))
-        single = (missing == F.count(F.lit(1))) | ((missing == 0) & (F.min(known) == F.max(known)))
-        kind = "categorical" if isinstance(field.dataType, (T.StringType, T.BooleanType)) else "numeric"
-        stats.append(F.struct(
-            F.lit(name).alias("feature"), F.lit(kind).alias("kind"), missing.alias("missing"),
-            F.coalesce(single, F.lit(True)).alias("constant"), F.lit(excluded_by_policy(name)).alias("barred")))
-    table = development.agg(F.count(F.lit(1)).alias("rows"), F.array(*stats).alias("stats"))
-    table = table.select("rows", F.explode("stats").alias("s")).select("rows", "s.*")
-    rate = F.col("missing") / F.nullif(F.col("rows"), F.lit(0))
+    fields = development.schema.fields
+    text = [isinstance(f.dataType, T.StringType) for f in fields]
+    known = F.when(~F.isnan("value"), F.col("value"))
+    table = long_columns(development).groupBy("_pos").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(known).alias("known"),
+        (F.min(known) == F.max(known)).alias("single"))
+    position, rate = F.col("_pos"), 1 - F.col("known") / F.nullif("rows", F.lit(0))
+    constant = (F.col("known") == 0) | ((F.col("known") == F.col("rows")) & F.col("single"))
     return table.select(
-        "feature", "kind", rate.alias("missing_rate"),
-        F.when(F.col("barred"), "excluded_by_policy")
+        by_position([f.name for f in fields], position).alias("feature"),
+        F.when(by_position(text, position), "categorical").otherwise("numeric").alias("kind"),
+        rate.alias("missing_rate"),
+        F.when(by_position([excluded_by_policy(f.name) for f in fields], position), "excluded_by_policy")
         .when(rate > maximum_missing_rate, "excluded_high_missingness")
-        .when(F.col("constant"), "excluded_constant")
+        .when(constant, "excluded_constant")
         .otherwise("selected").alias("status"))
 
 

@@ -38,26 +38,48 @@ def temporal_count(name: str) -> bool:
     return any(t in name for t in ("COUNT", "STREAK", "CONSECUTIVE")) or name.endswith("_FLAG")
 
 
+def long_columns(df: DataFrame) -> DataFrame:
+    """``(position, value)`` rows of a wide table: numbers as doubles, other types as a hash, NULL kept.
+
+    One narrow aggregate over these rows replaces one very wide aggregate over the table, which would
+    be too large to compile; the rows collapse to one per column before the shuffle.
+    """
+    values = []
+    for field in df.schema.fields:
+        c = F.col(field.name)
+        numeric = isinstance(field.dataType, (*NUMERIC, T.BooleanType))
+        values.append(c.cast("double") if numeric else F.when(c.isNotNull(), F.xxhash64(c).cast("double")))
+    return df.select(F.posexplode(F.array(*values)).alias("_pos", "value"))
+
+
+def by_position(flags: Iterable, position: Column) -> Column:
+    """Literal looked up by column position."""
+    return F.element_at(F.array(*[F.lit(f) for f in flags]), position + 1)
+
+
 def column_report(store: DataFrame, is_rate: Callable[[str], bool], is_count: Callable[[str], bool]) -> DataFrame:
     """One row per column: missing, minimum, maximum, rates outside [0, 1], negative counts, non-finite values."""
+    fields = store.schema.fields
+    numeric = [isinstance(f.dataType, NUMERIC) for f in fields]
+    rates = [n and is_rate(f.name) for n, f in zip(numeric, fields, strict=True)]
+    counts = [n and is_count(f.name) for n, f in zip(numeric, fields, strict=True)]
+    v, zero = F.col("value"), F.lit(0).cast("bigint")
     infinite = F.lit(float("inf"))
-    parts = []
-    for field in store.schema.fields:
-        c, numeric = F.col(field.name), isinstance(field.dataType, NUMERIC)
-        floating = isinstance(field.dataType, (T.FloatType, T.DoubleType))
-        zero = F.lit(0).cast("bigint")
-        parts.append(F.struct(
-            F.lit(field.name).alias("column"),
-            F.count_if(c.isNull()).alias("null_count"),
-            (F.min(c).cast("double") if numeric else F.lit(None).cast("double")).alias("minimum"),
-            (F.max(c).cast("double") if numeric else F.lit(None).cast("double")).alias("maximum"),
-            (count_where((c < 0) | (c > 1)) if numeric and is_rate(field.name) else zero).alias("rate_violations"),
-            (count_where(c < 0) if numeric and is_count(field.name) else zero).alias("negative_rows"),
-            (count_where(F.isnan(c) | (F.abs(c) == infinite)) if floating else zero).alias("non_finite_rows")))
-    table = store.agg(F.count(F.lit(1)).alias("rows"), F.array(*parts).alias("parts"))
-    return table.select("rows", F.explode("parts").alias("p")).select(
-        "p.column", "p.null_count", (F.col("p.null_count") / F.nullif("rows", F.lit(0))).alias("null_rate"),
-        "p.minimum", "p.maximum", "p.rate_violations", "p.negative_rows", "p.non_finite_rows")
+    table = long_columns(store).groupBy("_pos").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(v.isNull()).alias("null_count"),
+        F.min(v).alias("minimum"), F.max(v).alias("maximum"),
+        F.count_if(v < 0).alias("_below"), F.count_if(v > 1).alias("_above"),
+        F.count_if(F.isnan(v) | (F.abs(v) == infinite)).alias("_wild"))
+    known = by_position(numeric, F.col("_pos"))
+    return table.select(
+        by_position([f.name for f in fields], F.col("_pos")).alias("column"),
+        "null_count", (F.col("null_count") / F.nullif("rows", F.lit(0))).alias("null_rate"),
+        F.when(known, F.col("minimum")).alias("minimum"), F.when(known, F.col("maximum")).alias("maximum"),
+        F.when(by_position(rates, F.col("_pos")), F.col("_below") + F.col("_above")).otherwise(zero)
+        .alias("rate_violations"),
+        F.when(by_position(counts, F.col("_pos")), F.col("_below")).otherwise(zero).alias("negative_rows"),
+        F.when(known, F.col("_wild")).otherwise(zero).alias("non_finite_rows"))
 
 
 def top_missing(report: DataFrame, top: int = 20, key: str = KEY) -> DataFrame:
