@@ -6,11 +6,13 @@ Everything that needs an order is read off one table of distinct scores with run
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expressions import clip_probability, log_loss_term, logit, ratio
 from .ordering import attach, exact_quantiles, running_totals
@@ -144,34 +146,60 @@ def expected_calibration_error(rows: DataFrame, probability: str, groups: Sequen
 
 
 def calibration_line(rows: DataFrame, probability: str, groups: Sequence[str] = (), target: str = TARGET,
-                     steps: int = 8) -> DataFrame:
+                     steps: int = 25, tolerance: float = 1e-11) -> DataFrame:
     """Slope and intercept of an unpenalised logistic fit of the target on the score's log odds.
 
-    Newton's method on two coefficients: each step is one aggregate over the distinct scores, all groups
-    at once.  The data is read once per step and nothing but sums leaves the executors.
+    Newton's method on two coefficients per group, all groups in one aggregate per step over the pooled
+    distinct scores.  Only five sums per group and step reach the driver, as in any iterative fit; a group
+    with a single class has no fit and gets NULL.
     """
     groups = list(groups)
-    data = rows.select(
-        *groups, logit(F.col(probability)).alias("x"), F.col(target).cast("double").alias("_y")
-    ).groupBy(*groups, "x").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("k"))
-    mean = F.sum("k") / F.sum("n")
-    state = data.groupBy(*groups).agg(
-        F.log(mean / F.nullif(1 - mean, F.lit(0.0))).alias("a"), F.lit(0.0).alias("b"))
-    for _ in range(steps):
-        current = attach(data, state, groups, "inner")
-        p = 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("x"))))
-        w = F.col("n") * p * (1 - p)
-        r = F.col("k") - F.col("n") * p
-        sums = current.groupBy(*groups, "a", "b").agg(
-            F.sum(r).alias("g0"), F.sum(r * F.col("x")).alias("g1"), F.sum(w).alias("h00"),
-            F.sum(w * F.col("x")).alias("h01"), F.sum(w * F.col("x") * F.col("x")).alias("h11"))
-        det = F.nullif(F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01"), F.lit(0.0))
-        state = sums.select(
-            *groups,
-            (F.col("a") + (F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1")) / det).alias("a"),
-            (F.col("b") + (F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0")) / det).alias("b"))
-    return state.select(
-        *groups, F.col("a").alias("calibration_intercept"), F.col("b").alias("calibration_slope"))
+    pooled = rows.select(
+        *groups, logit(F.col(probability)).alias("_x"), F.col(target).cast("double").alias("_y")
+    ).groupBy(*groups, "_x").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_k")).persist()
+    schema = T.StructType([*pooled.select(*groups).schema.fields,
+                           T.StructField("_a", T.DoubleType()), T.StructField("_b", T.DoubleType())])
+    try:
+        totals = pooled.groupBy(*groups).agg(F.sum("_n").alias("n"), F.sum("_k").alias("k")).collect()
+        state = {
+            tuple(r[g] for g in groups):
+            (math.log(r.k / (r.n - r.k)), 0.0) if r.n and 0 < r.k < r.n else (None, None)
+            for r in totals}
+        for _ in range(steps):
+            current = _with_line(pooled, groups, state, schema)
+            p = 1 / (1 + F.exp(-(F.col("_a") + F.col("_b") * F.col("_x"))))
+            w, r = F.col("_n") * p * (1 - p), F.col("_k") - F.col("_n") * p
+            sums = current.where(F.col("_a").isNotNull()).groupBy(*groups).agg(
+                F.sum(r).alias("g0"), F.sum(r * F.col("_x")).alias("g1"), F.sum(w).alias("h00"),
+                F.sum(w * F.col("_x")).alias("h01"), F.sum(w * F.col("_x") * F.col("_x")).alias("h11")).collect()
+            moved = 0.0
+            for s in sums:
+                key = tuple(s[g] for g in groups)
+                det = (s.h00 or 0.0) * (s.h11 or 0.0) - (s.h01 or 0.0) ** 2
+                if det <= 0.0:  # one distinct score: no slope
+                    state[key] = (None, None)
+                    continue
+                da = (s.h11 * s.g0 - s.h01 * s.g1) / det
+                db = (s.h00 * s.g1 - s.h01 * s.g0) / det
+                state[key] = (state[key][0] + da, state[key][1] + db)
+                moved = max(moved, abs(da), abs(db))
+            if moved < tolerance:
+                break
+    finally:
+        pooled.unpersist()
+    table = rows.sparkSession.createDataFrame([(*k, *v) for k, v in state.items()], schema)
+    return table.select(
+        *groups, F.col("_a").alias("calibration_intercept"), F.col("_b").alias("calibration_slope"))
+
+
+def _with_line(pooled: DataFrame, groups: list[str], state: dict, schema: T.StructType) -> DataFrame:
+    """Current coefficients next to every pooled row."""
+    if not groups:
+        a, b = next(iter(state.values()), (None, None))
+        return pooled.withColumns({
+            "_a": F.lit(a).cast("double"), "_b": F.lit(b).cast("double")})
+    table = pooled.sparkSession.createDataFrame([(*k, *v) for k, v in state.items()], schema)
+    return pooled.join(table, groups)
 
 
 def full_report(rows: DataFrame, probability: str, groups: Sequence[str] = (), target: str = TARGET) -> DataFrame:
