@@ -132,8 +132,9 @@ def numeric_effects(spark: SparkSession, sf: str) -> DataFrame:
     f"""SELECT feature, first(level ORDER BY m DESC, level) AS highest_risk_category, {r6('max(m)')} AS highest_risk_mean,
       {r6('first(e ORDER BY m DESC, level)')} AS highest_risk_event_rate, first(level ORDER BY m, level) AS lowest_risk_category,
       {r6('min(m)')} AS lowest_risk_mean, {r6('first(e ORDER BY m, level)')} AS lowest_risk_event_rate, count(*) AS eligible_categories
-    FROM (SELECT feature, coalesce(level, '<MISSING>') AS level, count(*) AS n, avg(contribution) AS m, avg(target) AS e,
-        sum(count(*)) OVER (PARTITION BY feature) AS total FROM contributions WHERE categorical GROUP BY ALL)
+    FROM (SELECT *, sum(n) OVER (PARTITION BY feature) AS total FROM (
+        SELECT feature, coalesce(level, '<MISSING>') AS level, count(*) AS n, avg(contribution) AS m, avg(target) AS e
+        FROM contributions WHERE categorical GROUP BY 1, 2))
     WHERE n >= greatest(50, floor(total * 0.002)) GROUP BY feature""", "application_train", ctes=LONG_CTE))
 def category_effects(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(D.category_effects(contributions(spark, sf).where("categorical")))

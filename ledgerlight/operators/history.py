@@ -38,13 +38,15 @@ def id_spine(train: DataFrame, test: DataFrame, key: str = KEY) -> DataFrame:
 def account_month_features() -> dict[str, Column]:
     status, month = F.col("STATUS"), F.col("MONTHS_BALANCE")
     late = status.isin(*DELINQUENT)
+    # The pattern keeps letters away from the cast: a failing cast costs far more than the match.
+    level = F.coalesce(F.when(status.rlike(r"^\s*[+-]?\d+\s*$"), status.try_cast("int")), F.lit(0))
     return {
         "BB_MONTHS_OBSERVED": F.count(F.lit(1)),
         "BB_OLDEST_MONTH": F.min(month),
         "BB_LATEST_MONTH": F.max(month),
         "BB_DELINQUENT_MONTHS": count_where(late),
         "BB_SEVERE_DELINQUENT_MONTHS": count_where(status.isin(*SEVERE)),
-        "BB_MAX_DELINQUENCY_LEVEL": F.max(F.coalesce(status.try_cast("int"), F.lit(0))),
+        "BB_MAX_DELINQUENCY_LEVEL": F.max(level),
         "BB_DEFAULT_MONTHS": count_where(status == "5"),
         "BB_CLOSED_MONTHS": count_where(status == "C"),
         "BB_UNKNOWN_MONTHS": count_where(status == "X"),

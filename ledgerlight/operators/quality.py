@@ -201,10 +201,10 @@ def assert_ready(findings: DataFrame) -> None:
 
 # ---------------------------------------------------------------- contracts and equality
 
-def schema_check(df: DataFrame, contract: SourceContract, minimum: int | None = None) -> dict:
+def schema_check(df: DataFrame, contract: SourceContract) -> dict:
     """Required columns and minimum width, from the schema alone."""
     missing = sorted(set(contract.required) - set(df.columns))
-    wide = len(df.columns) >= (contract.min_columns if minimum is None else minimum)
+    wide = len(df.columns) >= contract.min_columns
     return {"table": contract.table, "missing_required": missing, "columns": len(df.columns),
             "valid": not missing and wide}
 

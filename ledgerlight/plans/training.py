@@ -13,7 +13,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import credit_score, risk_grade
@@ -25,6 +25,7 @@ from ..operators.preprocess import LEVEL_SUFFIX, MISSING_SUFFIX, OrdinalEncoder,
 from ..operators.quality import key_violations
 from ..operators.reasons import feature_family
 from ..operators.scoring import confidence_route, history_segment
+from ..session import cut_lineage
 
 KEY, TARGET = "SK_ID_CURR", "TARGET"
 
@@ -138,8 +139,8 @@ def fit_trees(development: DataFrame, selection: Selection, high_capacity: bool
     step = step or (0.02 if high_capacity else 0.025) * 4
     depth = depth or (6 if high_capacity else 5)
 
-    def booster(n: int) -> GBTClassifier:
-        return GBTClassifier(
+    def booster(n: int, **stop) -> GBTClassifier:
+        return GBTClassifier(**stop,
             featuresCol="features", labelCol=TARGET, maxIter=n, stepSize=step, maxDepth=depth, subsamplingRate=0.85,
             featureSubsetStrategy="0.9" if high_capacity else "0.8", minInstancesPerNode=60 if high_capacity else 80,
             seed=seed, maxBins=64)
@@ -148,7 +149,7 @@ def fit_trees(development: DataFrame, selection: Selection, high_capacity: bool
     tuning = OrdinalEncoder(Preparation.learn(fit_rows, selection))
     prepared = tuning.prep.apply(development).withColumn("_stop", F.col("tuning_role") == "early_stop")
     tuning.fit(prepared.where("NOT _stop"))
-    probe = booster(rounds).setValidationIndicatorCol("_stop").setValidationTol(1e-4).fit(tuning.transform(prepared))
+    probe = booster(rounds, validationIndicatorCol="_stop", validationTol=1e-4).fit(tuning.transform(prepared))
     best = max(1, probe.getNumTrees)
     encoder = OrdinalEncoder(Preparation.learn(development, selection))
     prepared = encoder.prep.apply(development)
@@ -168,7 +169,8 @@ class Experiment:
 def run_challengers(frame: DataFrame, splits: DataFrame, base: Sequence[str], added: Sequence[str],
                     variants: Sequence[Challenger], **training) -> list[Experiment]:
     """Fit every declared variant on development and predict calibration; the holdout never enters."""
-    rows = frame.join(splits.select(KEY, "split", "tuning_role"), KEY).where("split <> 'holdout'")
+    # Read by every fit: written once to the checkpoint folder.
+    rows = cut_lineage(frame.join(splits.select(KEY, "split", "tuning_role"), KEY).where("split <> 'holdout'"))
     development, calibration = rows.where("split = 'development'"), rows.where("split = 'calibration'")
     out = []
     for variant in variants:
@@ -192,8 +194,6 @@ def ensemble(experiments: Sequence[Experiment], name: str = "fixed_equal_weight_
 
 def rank_experiments(predictions: DataFrame) -> DataFrame:
     """Comparison table, best average precision first (one row per model)."""
-    from pyspark.sql import Window
-
     table = evaluate(predictions, "p", ["model"])
     order = Window.orderBy(F.col("average_precision").desc(), "model")
     return table.withColumn("rank", F.row_number().over(order))
