@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import rounded
 from ..operators import application as A
 from ..operators import profile as R
+from ..operators.fairness import protected_controls
 from ..operators.history import bureau_block
 from ..operators.splits import assign_splits, overlap_count
 from ..operators.temporal import temporal_features
@@ -175,6 +176,33 @@ def feature_selection(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(A.feature_inventory(development_rows(spark, sf)))
 
 
+_VARIANT_SQL = {
+    "v1_reference": "true",
+    "v1_no_external_score": "NOT starts_with(feature, 'EXT_SOURCE')",
+    "v3_core": "feature IN (" + ", ".join(f"'{n}'" for n in A.DECLARED + A.COMPUTED) + ", 'HAS_BUREAU_HISTORY')"
+               " OR regexp_matches(feature, '^(BUREAU_|BB_|AMT_REQ_CREDIT_BUREAU_)')",
+}
+
+
+@register("variant_columns", with_roles(
+    " UNION ALL ".join(f"SELECT '{v}' AS variant, feature, kind FROM inventory WHERE status = 'selected' AND ({t})"
+                       for v, t in _VARIANT_SQL.items()), "application_train", ctes=INVENTORY_CTE))
+def variant_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Which selected features each variant keeps."""
+    inventory = A.feature_inventory(development_rows(spark, sf)).where("status = 'selected'")
+    names = [*_ALL, "APPLICATION_MISSING_COUNT"]
+    kept = F.array(*[
+        F.when(F.col("feature").isin(*[n for n in names if A.VARIANTS[v](n)]), v) for v in _VARIANT_SQL])
+    return inventory.select(F.explode(F.array_compact(kept)).alias("variant"), "feature", "kind")
+
+
+@register("protected_field_controls", with_roles(
+    """SELECT feature, status = 'selected' AS selected_for_prediction, status = 'excluded_by_policy' AS excluded_by_policy
+    FROM inventory WHERE feature IN ('CODE_GENDER', 'DAYS_BIRTH')""", "application_train", ctes=INVENTORY_CTE))
+def protected_field_controls(spark: SparkSession, sf: str) -> DataFrame:
+    return protected_controls(A.feature_inventory(development_rows(spark, sf)))
+
+
 # ---------------------------------------------------------------- profile of the delivered table
 
 _NULL = "({c} IS NULL OR upper(trim({c})) IN ('', 'NA', 'N/A', 'NAN', 'NULL', 'NONE'))"

@@ -31,8 +31,8 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_sheet(spark: SparkSession, root: str, sheet: str, columns: Sequence[str]) -> DataFrame:
     """All applicants' rows of one sheet as text columns; an absent column is NULL."""
     texts = (
-        spark.read.option("wholetext", True).option("pathGlobFilter", f"{sheet}.csv")
-        .option("recursiveFileLookup", True).text(root)
+        spark.read.option("pathGlobFilter", f"{sheet}.csv")
+        .option("recursiveFileLookup", True).text(root, wholetext=True)
         .select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("applicant_ref"),
                 F.col("value").alias("text"))
     )
