@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -12,28 +11,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-CALL_SITES = "spark.python.sql.dataFrameDebugging.enabled"
-
-
-def _prepared(job: Callable[[SparkSession, str], DataFrame]):
-    """Without call-site capture, which costs more than building a wide plan; a user's own choice stays."""
-
-    @functools.wraps(job)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        if spark.conf.get(CALL_SITES, None) is None:
-            spark.conf.set(CALL_SITES, "false")
-        return job(spark, sf_dir)
-
-    return run
-
-
 def register(name: str, sql: str | None = None):
     """Decorator: add a Spark job and, where SQL can express it, the SQL that must give the same rows."""
 
     def add(job: Callable[[SparkSession, str], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = _prepared(job)
+        QUERIES[name] = job
         if sql is not None:
             ORACLES[name] = sql
         return job
