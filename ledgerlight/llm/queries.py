@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pivot_simhash
+from . import pivot_simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_simhash_pivots")
 def simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_simhash.near_duplicates(_documents(spark, sf_dir))
+
+
+@query("op7_toxicity_nnpu")
+def toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
