@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pivot_simhash, toxicity
+from . import mixing, packing, pivot_simhash, secret_scan, separator_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,11 +26,31 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op1_mix_sources")
+def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(_documents(spark, sf_dir))
+
+
 @query("op4_simhash_pivots")
 def simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+@query("op5_pack_documents")
+def pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir))
+
+
+@query("op6_scan_secrets")
+def scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_spans(_documents(spark, sf_dir))
+
+
 @query("op7_toxicity_nnpu")
 def toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op9_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separator_scan.document_token_counts(_documents(spark, sf_dir))
