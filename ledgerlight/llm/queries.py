@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pivot_simhash, secret_scan, separator_scan, toxicity
+from . import cross_polytope, fingerprints, mixing, packing, pivot_simhash, secret_scan, separator_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,36 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(_documents(spark, sf_dir))
 
 
+@query("op2_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(_documents(spark, sf_dir))
+
+
+# Brute force over all pairs of a label, and components by repeated relabelling.
+_COSINE_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), sound AS (
+  SELECT vec_id, label, e FROM v
+  WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, least.component_id, v.vec_id = least.component_id AS kept
+FROM v JOIN least ON least.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+
+@query("op3_embedding_neighbours", _COSINE_SQL)
+def embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query("op4_simhash_pivots")
 def simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_simhash.near_duplicates(_documents(spark, sf_dir))
