@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cross_polytope, fingerprints, mixing, packing, pivot_simhash, secret_scan, separator_scan, toxicity
+from . import cross_polytope, fingerprints, mixing, packing, phrases, pivot_simhash, secret_scan, separator_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,27 @@ def toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_token_counts")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.document_token_counts(_documents(spark, sf_dir))
+
+
+# Every window as a string, the smallest document of each, and the words that later windows cover.
+_REPEATS_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), h AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)
+), f AS (SELECT k, min(doc_id) AS first_id, max(doc_id) AS last_id FROM h GROUP BY k HAVING min(doc_id) < max(doc_id)
+), c AS (
+  SELECT DISTINCT doc_id, i + j AS word_no
+  FROM (SELECT h.doc_id, h.i, unnest(range(0, 50)) AS j FROM h JOIN f ON f.k = h.k WHERE f.first_id < h.doc_id)
+), r AS (SELECT doc_id, list(word_no) AS gone FROM c GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN ws
+    ELSE list_filter(ws, lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN r ON r.doc_id = w.doc_id
+"""
+
+
+@query("op10_remove_repeats", _REPEATS_SQL)
+def remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_repeats(_documents(spark, sf_dir))
