@@ -13,7 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,21 +36,28 @@ def cut_points(length: int, sequence: int = SEQUENCE) -> list[int]:
 def pieces(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece of every row of ``docs``; ``with_ids`` adds the token ids (array of int)."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = vocabulary or default_vocabulary()
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"].astype(object), batch["text"], strict=True):
+            row, piece, start, length, crc, parts = [], [], [], [], [], []
+            for n, text in enumerate(batch.column("text").to_pylist()):
                 ids = np.append(encode(text, path), np.uint32(END_ID)).astype("<u4")
                 at = cut_points(len(ids))
-                for piece, (a, b) in enumerate(zip(at, [*at[1:], len(ids)], strict=True)):
-                    row = (None if pd.isna(doc_id) else int(doc_id), piece, a, b - a, zlib.crc32(ids[a:b].tobytes()))
-                    out.append((*row, ids[a:b].astype(np.int32)) if with_ids else row)
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-            table = pd.DataFrame(out, columns=names)
-            yield table.astype({"doc_id": "Int64", "piece": "int32"})
-
-    return docs.select("doc_id", "text").mapInPandas(cut, _PIECE + ", ids array<int>" * with_ids)
+                for k, (a, b) in enumerate(zip(at, [*at[1:], len(ids)], strict=True)):
+                    row.append(n)
+                    piece.append(k)
+                    start.append(a)
+                    length.append(b - a)
+                    crc.append(zlib.crc32(ids[a:b].tobytes()))
+                    if with_ids:
+                        parts.append(ids[a:b].astype(np.int32))
+            columns = [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32())]
+            columns += [pa.array(c, pa.int64()) for c in (start, length, crc)]
+            columns += [pa.array(parts, pa.list_(pa.int32()))] if with_ids else []
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    return docs.select("doc_id", "text").mapInArrow(cut, _PIECE + ", ids array<int>" * with_ids)
 
 
 def sum_of_squares(lengths: np.ndarray, size: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray]:
@@ -82,11 +89,13 @@ def sum_of_squares(lengths: np.ndarray, size: int = SEQUENCE) -> tuple[np.ndarra
     return bins, offsets
 
 
-def _packed(table: pd.DataFrame) -> pd.DataFrame:
-    table = table.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-    bins, offsets = sum_of_squares(table["length"].to_numpy())
-    return table.assign(sequence_id=(table["bunch"].to_numpy(dtype=np.int64) << 32) + bins, offset=offsets).drop(
-        columns="bunch")
+def _packed(table: pa.Table) -> pa.Table:
+    order = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]
+    table = table.sort_by(order)
+    bins, offsets = sum_of_squares(table.column("length").to_numpy())
+    bunch = table.column("bunch").to_numpy().astype(np.int64)
+    return table.drop_columns(["bunch"]).append_column(
+        "sequence_id", pa.array((bunch << 32) + bins)).append_column("offset", pa.array(offsets))
 
 
 def pack(cut: DataFrame, group_pieces: int = GROUP_PIECES) -> DataFrame:
@@ -98,7 +107,7 @@ def pack(cut: DataFrame, group_pieces: int = GROUP_PIECES) -> DataFrame:
     bunches = max(1, -(-short.count() // group_pieces))
     bunch = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(bunches)).cast("int")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
-    packed = short.withColumn("bunch", bunch).groupBy("bunch").applyInPandas(
+    packed = short.withColumn("bunch", bunch).groupBy("bunch").applyInArrow(
         _packed, f"{schema}, sequence_id long, offset long")
     whole = cut.where(F.col("length") >= SEQUENCE).withColumns({
         "sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})

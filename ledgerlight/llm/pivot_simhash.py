@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,15 +68,15 @@ def document_fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks = np.array([document_fingerprint(x) for x in batch["text"]], dtype=np.uint64)
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "mark": marks.view(np.int64)})
+        marks = np.array([document_fingerprint(x) for x in batch.column("text").to_pylist()], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks.view(np.int64))], ["doc_id", "mark"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, mark`` (the fingerprint's bits as a signed long) of every row."""
-    return docs.select("doc_id", "text").mapInPandas(_fingerprints, "doc_id long, mark long")
+    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, mark long")
 
 
 def _pivot_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cross_polytope, fingerprints, mixing, packing, phrases, pivot_simhash, secret_scan, separator_scan, toxicity
+from . import cross_polytope, fingerprints, mixing, packing, phrases, pivot_simhash, ppm, secret_scan, separator_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,6 +81,11 @@ def toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@query("op8_ppm_scores")
+def ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(_documents(spark, sf_dir))
+
+
 @query("op9_token_counts")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.document_token_counts(_documents(spark, sf_dir))

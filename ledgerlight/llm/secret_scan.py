@@ -207,7 +207,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mask`` and ``n_chars`` counted anew where that happened."""
-    spans = with_spans(docs)
+    spans = with_spans(docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("row")))
     least = cutoff(with_spans(docs.select("text")))
     marked = spans.withColumn("_spans", F.array_sort(F.concat("base", _flagged(least))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -222,6 +222,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     hit = F.size("_spans") > 0
     changed = marked.withColumn("_text", F.when(hit, clean).otherwise(F.col("text")))
     out = [F.col("_text").alias(c) if c == "text" else
-           F.when(hit, F.length("_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c)
+           F.when(hit, F.length("_text").cast("long")).otherwise(F.col("row")[c]).alias(c) if c == "n_chars" else
+           F.col("row")[c].alias(c)
            for c in docs.columns]
     return changed.select(*out)

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,29 +33,30 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
     A repeated task writes another file; only the files named in the result count.
     """
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, out, written = vocabulary or default_vocabulary(), None, 0
         store, root = fs.FileSystem.from_uri(folder)
         name = f"{uuid.uuid4().hex}.bin"
         try:
             for batch in batches:
-                if not len(batch):
+                if not batch.num_rows:
                     continue
                 if out is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(posixpath.join(root, name))
-                for text in batch["text"]:
+                for text in batch.column("text").to_pylist():
                     ids = encode(text, path, added_as_text=True)
                     out.write(np.append(ids, np.uint32(SEPARATOR)).astype("<u2").tobytes())
-                yield pd.DataFrame({
-                    "file": f"{folder}/{name}", "ordinal": np.arange(written, written + len(batch)),
-                    "doc_id": batch["doc_id"].astype("Int64")})
-                written += len(batch)
+                ordinal = np.arange(written, written + batch.num_rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f"{folder}/{name}"] * len(ordinal)), pa.array(ordinal), batch.column("doc_id")],
+                    ["file", "ordinal", "doc_id"])
+                written += batch.num_rows
         finally:
             if out is not None:
                 out.close()
 
-    return stage(docs.select("doc_id", "text").mapInPandas(write, "file string, ordinal long, doc_id long"), "token-index")
+    return stage(docs.select("doc_id", "text").mapInArrow(write, "file string, ordinal long, doc_id long"), "token-index")
 
 
 def _blocks(block_tokens: int):

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,18 +161,20 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return weights, float(np.mean([m["bias"] for m in models]))
 
 
-def logits(texts: pd.Series, weights: np.ndarray, bias: float) -> np.ndarray:
+def logits(texts: list[str | None], weights: np.ndarray, bias: float) -> np.ndarray:
     """Log-odds of each text."""
     rows = map(text_features, texts)
-    return np.array([bias + float(np.dot(weights[slots].astype(np.float64), values)) for slots, values in rows])
+    scores = [bias + float(np.dot(weights[slots].astype(np.float64), values)) for slots, values in rows]
+    return np.array(scores, dtype=np.float64)
 
 
 def _scorer(shared, bias: float):
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.frombuffer(shared.value, dtype=np.float32)
         for batch in batches:
-            logit = logits(batch["text"], weights, bias)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": 1 / (1 + np.exp(-np.clip(logit, -40, 40)))})
+            logit = logits(batch.column("text").to_pylist(), weights, bias)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(logit, -40, 40))))], ["doc_id", "score"])
 
     return score
 
@@ -179,7 +182,7 @@ def _scorer(shared, bias: float):
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """``doc_id, score, predicted`` of every row; null and empty texts get the bias alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model[0].tobytes())  # SLOTS floats: one megabyte
-    rows = docs.select("doc_id", "text").mapInPandas(_scorer(shared, model[1]), "doc_id long, score double")
+    rows = docs.select("doc_id", "text").mapInArrow(_scorer(shared, model[1]), "doc_id long, score double")
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
@@ -194,12 +197,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _keeper(shared, bias: float):
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.frombuffer(shared.value, dtype=np.float32)
         edge = float(np.log(THRESHOLD / (1 - THRESHOLD)))
         for batch in batches:
-            logit = logits(batch["text"], weights, bias)
-            yield batch[logit < edge]
+            logit = logits(batch.column("text").to_pylist(), weights, bias)
+            yield batch.filter(pa.array(logit < edge))
 
     return keep
 
@@ -208,4 +211,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not call toxic, with their columns."""
     weights, bias = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(weights.tobytes())
-    return docs.mapInPandas(_keeper(shared, bias), docs.schema)
+    return docs.mapInArrow(_keeper(shared, bias), docs.schema)
