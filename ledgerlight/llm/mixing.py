@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 BLOCK_CHARS = 65_536
 CYCLE_BLOCKS = 512
 MAX_SOURCES = 4_096
-_KEY = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))  # null is a source of its own
+
+
+def _key() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))  # null is a source of its own
 
 
 def _placed(docs: DataFrame) -> DataFrame:
@@ -31,7 +34,7 @@ def _placed(docs: DataFrame) -> DataFrame:
     """
     size = F.coalesce(F.length("text"), F.lit(0)).cast("long") + 1
     mark = F.xxhash64("doc_id", F.lit("mix"))
-    rows = docs.select("doc_id", "source", _KEY.alias("key"), size.alias("size"), mark.alias("mark")).withColumns({
+    rows = docs.select("doc_id", "source", _key().alias("key"), size.alias("size"), mark.alias("mark")).withColumns({
         "coarse": F.shiftrightunsigned("mark", 52), "fine": F.shiftrightunsigned("mark", 40).bitwiseAND(F.lit(4095))})
     fine = rows.groupBy("key", "coarse", "fine").agg(F.sum("size").alias("sum"))
     coarse = fine.groupBy("key", "coarse").agg(F.sum("sum").alias("sum"))
@@ -51,7 +54,7 @@ def _placed(docs: DataFrame) -> DataFrame:
 def _shares(docs: DataFrame, weights: Mapping[str, float] | None, cycle: int, block: int) -> DataFrame:
     """One row per source: ``key``, blocks per cycle ``q`` and blocks in all ``n``."""
     size = F.coalesce(F.length("text"), F.lit(0)).cast("long") + 1
-    totals = docs.groupBy(_KEY.alias("key")).agg(F.sum(size).alias("total"))
+    totals = docs.groupBy(_key().alias("key")).agg(F.sum(size).alias("total"))
     if weights is None:
         weight = F.sqrt("total")
     else:
