@@ -115,7 +115,13 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             every = np.stack([np.frombuffer(e, dtype=np.int64).reshape(TABLES, 1 + PROBES) for e in table["every"].iloc[start:end]])
             mine, theirs = every[a - start], every[b - start]
             meets = (mine[:, :, :1] == theirs).any(axis=2) | (mine == theirs[:, :, :1]).any(axis=2)
-            first = meets.argmax(axis=1) == tab[a]  # later tables find the pair again
+            at = meets.argmax(axis=1)
+            first = at == tab[a]  # later tables find the pair again
+            # inside a table each may probe the other's bucket: then the smaller one's bucket counts
+            each = np.arange(len(a))
+            mine, theirs = mine[each, at], theirs[each, at]
+            mutual = (mine[:, :1] == theirs[:, 1:]).any(axis=1) & (theirs[:, :1] == mine[:, 1:]).any(axis=1)
+            first &= ~mutual | (own[a] == (cls[a] < cls[b]))
             a, b = a[first], b[first]
             links += np.bincount(a, copies[b], len(table)).astype(np.int64) + np.bincount(b, copies[a], len(table)).astype(np.int64)
             found_a.append(a)

@@ -140,8 +140,10 @@ def in_mixture_order(docs: DataFrame, weights: Mapping[str, float] | None = None
     Rows without ``doc_id`` go last.
     """
     order = schedule(docs, weights).where("doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.min(F.struct("slot", "place")).alias("_order"))
-    ordered = docs.join(order, "doc_id", "left").select(*[docs[c] for c in docs.columns], "_order")
+        F.min("slot").alias("slot"), F.min_by("place", "slot").alias("place"))
+    rows = docs.select("doc_id", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    ordered = rows.join(order, "doc_id", "left")
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    keys = [F.col("_order.slot").asc_nulls_last(), F.col("_order.place").asc_nulls_last()]
-    return ordered.repartitionByRange(int(parts), *keys).sortWithinPartitions(*keys).drop("_order")
+    keys = [F.col("slot").asc_nulls_last(), F.col("place").asc_nulls_last()]
+    return ordered.repartitionByRange(int(parts), *keys).sortWithinPartitions(*keys).select(
+        *[F.col("row")[c].alias(c) for c in docs.columns])

@@ -198,8 +198,11 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     results; other columns are ignored; an empty table gives no rows.
     """
     found = stage(with_spans(docs.select("doc_id", "text")).drop("text"), "secrets")
-    counts = {f"n_{name}": F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long")
-              for k, name in enumerate(KINDS[:3])}
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = {f"n_{name}": count(k) for k, name in enumerate(KINDS[:3])}
     return found.select(
         "doc_id", *[c.alias(n) for n, c in counts.items()], F.sha2(_line(F.col("base")), 256).alias("base_sha256"),
         _line(F.concat("base", _flagged(cutoff(found)))).alias("spans"))

@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """
     fold = labels.where(training_fold("doc_id") & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
     rows, hits = fold.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    prior = min(max((hits + 0.5) / (rows + 1.0), 1e-4), 0.5)
+    prior = min(max(hits / max(rows, 1), 1e-4), 0.5)
     order = F.xxhash64("doc_id")
     confirmed = fold.where("toxic = 1").select("doc_id", F.lit(1).alias("toxic")).distinct().orderBy(order).limit(sample_rows)
     others = docs.where(training_fold("doc_id")).select("doc_id", F.lit(0).alias("toxic")).orderBy(order).limit(sample_rows)
