@@ -166,6 +166,31 @@ def test_edited_fingerprints(spark, docs, wide_docs, no_docs):
     assert fingerprints.edited_fingerprints(no_docs).count() == 0
 
 
+def test_edited_fingerprints_without_repeats(spark, docs):
+    single = docs.dropDuplicates(["doc_id"]).where("doc_id IS NULL OR doc_id <> 12").repartition(4)
+    rows = {r["doc_id"]: r["text"] or "" for r in single.collect() if r["doc_id"] is not None}
+    ids = sorted(rows, reverse=True)
+    got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(single).collect()}
+    assert set(got) == {*ids, None} and got[None]["near_next"] == 0.0
+    for at, doc_id in enumerate(ids):
+        text, after = rows[doc_id], rows[ids[(at + 1) % len(ids)]]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        assert got[doc_id]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert abs(got[doc_id]["near_next"] - likeness(shingles(text), shingles(after))) < 0.15
+    alone = fingerprints.edited_fingerprints(single.where("doc_id = 5")).first()
+    assert alone["near_next"] == 1.0 and alone["edited_sha256"] == hashlib.sha256(b"one one").hexdigest()
+
+
+def test_id_ranges_are_searched_in_two_steps(spark):
+    from pyspark.sql import functions as F
+
+    tops = list(range(10_000, 0, -10))
+    table = spark.createDataFrame([(n,) for n in (10_000, 9_991, 9_990, 5_000, 7_433, 10, 1)], "n long")
+    got = [r[0] for r in table.select(fingerprints.range_of(F.col("n"), tops)).collect()]
+    assert got == [sum(t >= n for t in tops) - 1 for n in (10_000, 9_991, 9_990, 5_000, 7_433, 10, 1)]
+
+
 def test_sketches_merge(spark):
     from pyspark.sql import functions as F
 
