@@ -18,22 +18,20 @@ from .common import r6, register
 from .evaluation_queries import SEGMENT, evaluation_ctes, newton_ctes, predictions
 
 A, H = "application_probability", "history_probability"
-ITERATIONS = 12
-_HALF = "CASE WHEN split = 'development' THEN 'calibrator_fit' ELSE 'calibrator_evaluation' END"
+ITERATIONS = 300
 HALVES_CTE = f"""{SPLIT_CTE},
-halves AS (SELECT predictions.*, {_HALF} AS calibration_role, {SEGMENT} AS history_segment
-  FROM predictions JOIN splits USING (SK_ID_CURR))"""
+halves AS (SELECT predictions.*, calibration_role, {SEGMENT} AS history_segment
+  FROM predictions JOIN (SELECT SK_ID_CURR, calibration_role FROM splits WHERE split = 'calibration') USING (SK_ID_CURR))"""
 ROLES = ("predictions", "application_train")
 
 
 def halves(spark: SparkSession, sf: str) -> DataFrame:
-    """Predictions with a fit and an evaluation part (development against the rest).
+    """Predictions of the calibration part in its two disjoint halves; no development or holdout row enters.
 
     Calibration stages hand over tables, so the split is materialised once in the checkpoint folder.
     """
-    splits = assign_splits(role(spark, sf, "application_train")).select(
-        "SK_ID_CURR", F.when(F.col("split") == "development", "calibrator_fit").otherwise("calibrator_evaluation")
-        .alias("calibration_role"))
+    splits = assign_splits(role(spark, sf, "application_train")).where("split = 'calibration'").select(
+        "SK_ID_CURR", "calibration_role")
     return cut_lineage(predictions(spark, sf).join(splits, "SK_ID_CURR"))
 
 
@@ -125,8 +123,8 @@ def operational_probability(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- bootstrap
 
-_EDGES = [sum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
-_POISSON = "CASE " + " ".join(f"WHEN u < {edge!r} THEN {k}" for k, edge in enumerate(_EDGES)) + " ELSE 12 END"
+_EDGES = [sum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1)) for k in range(18)]
+_POISSON = "CASE " + " ".join(f"WHEN u < {edge!r} THEN {k}" for k, edge in enumerate(_EDGES)) + " ELSE 18 END"
 
 
 def bootstrap_ctes(source: str, candidate: str, reference: str, group: str = "") -> str:
@@ -160,11 +158,11 @@ def bootstrap_deltas(spark: SparkSession, sf: str) -> DataFrame:
 def _summary_sql(name: str, better: str) -> str:
     c = f"{name}_delta"
     return (f"{r6(f'avg({c})')} AS {name}_mean, {r6(f'quantile_cont({c}, 0.025)')} AS {name}_low,"
-            f" {r6(f'quantile_cont({c}, 0.975)')} AS {name}_high, {r6(f'avg(CASE WHEN {c} {better} 0 THEN 1 ELSE 0 END)')} AS {name}_support")
+            f" {r6(f'quantile_cont({c}, 0.975)')} AS {name}_high, {r6(f'avg(CASE WHEN {c} {better}1e-12 THEN 1 ELSE 0 END)')} AS {name}_support")
 
 
 @register("bootstrap_summary", with_roles(
-    f"SELECT count(*) AS iterations, {_summary_sql('brier_score', '<')}, {_summary_sql('roc_auc', '>')},"
+    f"SELECT count(*) AS iterations, {_summary_sql('brier_score', '< -')}, {_summary_sql('roc_auc', '>')},"
     f" {_summary_sql('average_precision', '>')} FROM deltas", "predictions", ctes=bootstrap_ctes("predictions", H, A)))
 def bootstrap_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(C.bootstrap_summary(
@@ -185,7 +183,7 @@ held AS (SELECT halves.*, history_weight, history_weight * {H} + (1 - history_we
 {evaluation_ctes('mixed', source='held', groups='history_segment')},
 {evaluation_ctes(H, source='held', groups='history_segment').replace('ranked', 'hranked').replace('metrics AS', 'hmetrics AS')},
 {bootstrap_ctes('held', 'mixed', H, 'history_segment')},
-support AS (SELECT history_segment, {r6('avg(CASE WHEN brier_score_delta < 0 THEN 1 ELSE 0 END)')} AS brier_support FROM deltas GROUP BY 1)"""))
+support AS (SELECT history_segment, {r6('avg(CASE WHEN brier_score_delta < -1e-12 THEN 1 ELSE 0 END)')} AS brier_support FROM deltas GROUP BY 1)"""))
 def promotion_gate(spark: SparkSession, sf: str) -> DataFrame:
     df = halves(spark, sf)
     weights, held = _weights(df), _held(df)
@@ -208,7 +206,7 @@ def promotion_gate(spark: SparkSession, sf: str) -> DataFrame:
       ct.capture - bt.capture >= -0.005 AS top_20_capture_non_regression,
       c.average_precision - b.average_precision >= 0.003 AND s >= 0.9 AND c.brier_score - b.brier_score <= 0.0002
         AND c.roc_auc - b.roc_auc >= -0.001 AND ct.capture - bt.capture >= -0.005 AS all_passed
-    FROM metrics c, bmetrics b, ctop ct, btop bt, (SELECT avg(CASE WHEN average_precision_delta > 0 THEN 1 ELSE 0 END) AS s FROM deltas)""",
+    FROM metrics c, bmetrics b, ctop ct, btop bt, (SELECT avg(CASE WHEN average_precision_delta > 1e-12 THEN 1 ELSE 0 END) AS s FROM deltas)""",
     "predictions", ctes=f"""{evaluation_ctes(H, source='predictions')},
 {evaluation_ctes(A, source='predictions').replace('ranked', 'branked').replace('metrics AS', 'bmetrics AS')},
 ctop AS (SELECT sum(TARGET) FILTER ({H} >= t) / sum(TARGET)::DOUBLE AS capture FROM predictions, (SELECT quantile_cont({H}, 0.8) AS t FROM predictions)),

@@ -66,4 +66,4 @@ def present(kind: str, expr: str, name: str) -> str:
 def r6(expr: str) -> str:
     """The rounding of ``functions.expressions.tidy`` in SQL."""
     value = f"CAST({expr} AS DOUBLE)"
-    return f"CASE WHEN abs({value}) < 1e9 THEN floor({value} * 1e6 + 0.5001e0) / 1e6 ELSE {value} END"
+    return f"round({value} * 1e6 + 0.0001e0) / 1e6"

@@ -222,7 +222,7 @@ def _route_sql(p: str, gaps: str) -> str:
     f"""SELECT applicant_ref, {r6('p')} AS probability,
       {r6('CASE WHEN scorable AND BUREAU_ANNUITY_SUM IS NOT NULL THEN (AMT_ANNUITY + BUREAU_ANNUITY_SUM) / AMT_INCOME_TOTAL END')} AS obligation_to_income,
       CASE WHEN scorable THEN families END::BIGINT AS sources,
-      CASE WHEN scorable THEN {_route_sql('p', 'gap_count')} ELSE 'NOT SCORED' END AS route
+      CASE WHEN scorable THEN {_route_sql('p', '0')} ELSE 'NOT SCORED' END AS route
     FROM (SELECT *, CASE WHEN scorable THEN {_probability_sql()} END AS p FROM counted)""", *SHEET_ROLES, ctes=SCORED_CTE))
 def portfolio_screen(spark: SparkSession, sf: str) -> DataFrame:
     screened = W.screen_portfolio(packages(spark, sf), W.transparent_intake_score)

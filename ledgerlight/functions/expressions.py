@@ -112,8 +112,11 @@ def right_closed_band(value: Column, edges: Sequence[float], labels: Sequence[st
     return out
 
 
-def poisson_one(u: Column, top: int = 12) -> Column:
-    """Poisson(1) draw from a uniform number by inverting the distribution function."""
+def poisson_one(u: Column, top: int = 18) -> Column:
+    """Poisson(1) draw from a uniform number by inverting the distribution function.
+
+    Beyond ``top`` nothing is left of it in double precision.
+    """
     total, out = 0.0, None
     for k in range(top):
         total += math.exp(-1.0) / math.factorial(k)
@@ -128,13 +131,11 @@ def uniform_hash(*parts: Column) -> Column:
 
 
 def tidy(value: Column, digits: int = 6) -> Column:
-    """Presentation rounding.  The half-way point sits a little below one half, so a mean that lands
-    exactly on it does not flip with the order of addition; very large (whole) amounts stay as they are.
+    """Presentation rounding, the same for all sizes.  The half-way point sits a little below one half, so a mean
+    that lands exactly on it does not flip with the order of addition.
     """
     scale = float(10**digits)
-    return F.when(
-        F.abs(value) < 1e9, F.floor(value * F.lit(scale) + F.lit(0.5001)) / F.lit(scale)
-    ).otherwise(value)
+    return F.rint(value * F.lit(scale) + F.lit(0.0001)) / F.lit(scale)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -145,7 +146,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
         c = f"`{field.name}`"
         if isinstance(field.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
             v = c if isinstance(field.dataType, T.DoubleType) else f"CAST({c} AS DOUBLE)"
-            c = f"CASE WHEN abs({v}) < 1e9D THEN floor({v} * {scale} + 0.5001D) / {scale} ELSE {v} END AS {c}"
+            c = f"rint({v} * {scale} + 0.0001D) / {scale} AS {c}"
         elif isinstance(field.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             c = f"CAST({c} AS BIGINT) AS {c}"
         out.append(c)

@@ -193,6 +193,9 @@ def bootstrap_deltas(rows: DataFrame, candidate: str, reference: str, key: str,
         *[F.sum(sign * F.col(n)).alias(f"{n}_delta") for n in names])
 
 
+TIE = 1e-12  # differences up to here are rounding
+
+
 def bootstrap_summary(deltas: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """Mean, 95 % interval and share of iterations in favour of the candidate (rows = iterations)."""
     out = []
@@ -202,5 +205,5 @@ def bootstrap_summary(deltas: DataFrame, groups: Sequence[str] = ()) -> DataFram
             F.avg(c).alias(f"{name}_mean"),
             F.percentile(c, F.lit(0.025)).alias(f"{name}_low"),
             F.percentile(c, F.lit(0.975)).alias(f"{name}_high"),
-            F.avg(F.when(c * better > 0, 1.0).otherwise(0.0)).alias(f"{name}_support")]
+            F.avg(F.when(c * better > TIE, 1.0).otherwise(0.0)).alias(f"{name}_support")]
     return deltas.groupBy(*groups).agg(F.count(F.lit(1)).alias("iterations"), *out)

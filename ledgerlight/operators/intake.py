@@ -128,7 +128,7 @@ def parse_application(sheet: DataFrame) -> DataFrame:
         "EMPLOYMENT_YEARS": F.when(F.col("EMPLOYMENT_SENTINEL") == 0, years),
         "application_findings": F.array_compact(F.array(
             F.when((F.col("FLAG_OWN_CAR") == "Y") & F.col("OWN_CAR_AGE").isNull(),
-                   "owns_car is Y but car_age_years is missing"))),
+                   "application.car_age_absent"))),
     })
 
 
@@ -152,7 +152,12 @@ def expand_strips(sheet: DataFrame) -> DataFrame:
 
 
 def parse_dpd(sheet: DataFrame) -> DataFrame:
-    long = expand_strips(sheet) if "dpd_strip" in sheet.columns else sheet
+    """Both forms may be mixed: a row with a strip is expanded, a row without one is a month of its own."""
+    df = optional(sheet, ["months_ago", "status"])
+    long = df.select(REF, "account_ref", "months_ago", "status")
+    if "dpd_strip" in df.columns:
+        single = F.col("dpd_strip").isNull() & F.coalesce("months_ago", "status").isNotNull()
+        long = expand_strips(df).unionByName(df.where(single).select(*long.columns))
     return long.select(
         REF, F.col("account_ref").alias("SK_ID_BUREAU"),
         (-parse_number(F.col("months_ago"))).alias("MONTHS_BALANCE"),
@@ -191,7 +196,7 @@ def parse_months(sheet: DataFrame, kind: str) -> DataFrame:
         "credit_limit": "AMT_CREDIT_LIMIT_ACTUAL", "installments_total": "CNT_INSTALMENT",
         "installments_remaining": "CNT_INSTALMENT_FUTURE",
     }
-    df = optional(sheet, ["account_ref", "contract_status", "months_ago", *numbers])
+    df = optional(sheet, ["account_ref", "account_kind", "contract_status", "months_ago", *numbers])
     return df.where(F.lower(F.trim("account_kind")) == kind).select(
         REF, F.col("account_ref").alias("SK_ID_PREV"), F.trim("contract_status").alias("NAME_CONTRACT_STATUS"),
         (-parse_number(F.col("months_ago"))).alias("MONTHS_BALANCE"),
@@ -216,6 +221,38 @@ def enquiry_block(enquiries: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- package
 
+NUMBER_CELLS = {
+    "tradelines": tuple(TRADELINE_NUMBERS),
+    "dpd_history": ("months_ago",),
+    "account_months": ("months_ago", "dpd_days", "dpd_days_tolerant", "balance", "credit_limit", "installments_total",
+                       "installments_remaining"),
+    "enquiries": ("days_ago",),
+}
+
+
+def sheet_violations(sheets: dict[str, DataFrame]) -> DataFrame:
+    """One row per applicant with a cell in the optional sheets that must not be read as missing.
+
+    Such cells are text where a number belongs, and account months without their kind.  A sheet has a fixed set of
+    rules, so the collected set is small whatever the number of rows.
+    """
+    parts = []
+    for name, numbers in NUMBER_CELLS.items():
+        df = optional(sheets[name], [*numbers, "account_kind"])
+        rules = [F.when(is_bad_number(F.col(n)), f"expected a number in {name}.{n}") for n in numbers]
+        if name == "account_months":
+            kind = F.lower(F.trim("account_kind"))
+            rules.append(F.when(~F.coalesce(kind.isin("revolving", "installment"), F.lit(False)),
+                                "account_months.account_kind must be revolving or installment"))
+        parts.append(df.select(REF, F.explode(F.array_compact(F.array(*rules))).alias("rule")))
+    return reduce(DataFrame.unionAll, parts).groupBy(REF).agg(F.sort_array(F.collect_set("rule")).alias("sheet_rules"))
+
+
+def every_applicant(sheets: dict[str, DataFrame]) -> DataFrame:
+    """Applicants named in any sheet."""
+    return reduce(DataFrame.unionAll, [s.select(REF) for s in sheets.values()]).where(F.col(REF).isNotNull()).distinct()
+
+
 def sheet_counts(sheet: DataFrame, name: str) -> DataFrame:
     return sheet.groupBy(REF).agg(F.count(F.lit(1)).alias(name))
 
@@ -224,9 +261,15 @@ def build_features(sheets: dict[str, DataFrame]) -> DataFrame:
     """One row per applicant: features, findings, evidence counters and violations.
 
     Applicants with violations keep their row (and their reasons) but are not scorable; absent families
-    give NULL features and a zero flag, never zero features.
+    give NULL features and a zero flag, never zero features.  A package without an application sheet and one
+    with unreadable cells are such violations.
     """
-    application = parse_application(sheets["application"])
+    parsed = parse_application(sheets["application"])
+    none = F.array().cast("array<string>")
+    application = every_applicant(sheets).join(parsed, REF, "left").join(sheet_violations(sheets), REF, "left").withColumns({
+        "violations": F.concat(
+            F.coalesce("violations", F.array(F.lit("missing required sheet: application"))), F.coalesce("sheet_rules", none)),
+        "application_findings": F.coalesce("application_findings", none)}).drop("sheet_rules")
     tradelines = parse_tradelines(sheets["tradelines"])
     dpd = parse_dpd(sheets["dpd_history"])
     months = sheets["account_months"]
@@ -254,15 +297,15 @@ def build_features(sheets: dict[str, DataFrame]) -> DataFrame:
     report, card, pos = (F.col(f) == 1 for f in blocks)
     some_months = F.col("account_month_count") > 0
     findings = F.array_compact(F.concat(F.col("application_findings"), F.array(
-        F.when(~report, "No tradelines supplied; treated as no bureau record, not as zero debt."),
-        F.when(F.col("_unknown_status") > 0, "Unrecognised tradeline status treated as neither active nor closed"),
-        F.when(report & (F.col("dpd_month_count") == 0), "No monthly delinquency history supplied; BB_* stay missing."),
-        F.when(F.col("_orphans") > 0, "dpd_history references accounts absent from tradelines; they are excluded"),
-        F.when(~some_months, "No per-account monthly detail supplied."),
-        F.when(some_months & ~card, "No revolving-account months supplied; CC_* features stay missing."),
-        F.when(some_months & ~pos, "No installment-account months supplied; POS_* features stay missing."),
-        F.when(F.col("enquiry_count") == 0, "No enquiry records supplied; enquiry features stay missing."),
-        F.when(F.col("_beyond") > 0, "Enquiries older than 365 days are not counted"),
+        F.when(~report, "report.absent"),
+        F.when(F.col("_unknown_status") > 0, "report.status_unknown"),
+        F.when(report & (F.col("dpd_month_count") == 0), "report.months_absent"),
+        F.when(F.col("_orphans") > 0, "report.months_orphaned"),
+        F.when(~some_months, "months.absent"),
+        F.when(some_months & ~card, "months.revolving_absent"),
+        F.when(some_months & ~pos, "months.installment_absent"),
+        F.when(F.col("enquiry_count") == 0, "enquiries.absent"),
+        F.when(F.col("_beyond") > 0, "enquiries.too_old"),
     )))
     return out.withColumn("findings", findings).drop("application_findings", "_unknown_status", "_orphans", "_beyond")
 
@@ -356,10 +399,9 @@ def export_sheets(tables: dict[str, DataFrame], application: DataFrame) -> dict[
 
     out["account_months"] = months(tables["credit_card_balance"], "CC-", "revolving").unionByName(
         months(tables["pos_cash_balance"], "POS-", "installment"))
-    dated = [
-        application.where(F.col(f"AMT_REQ_CREDIT_BUREAU_{band}") >= 1).select(
-            ref, F.explode(F.sequence(F.lit(1), F.col(f"AMT_REQ_CREDIT_BUREAU_{band}").cast("int"))).alias("_n"),
-            F.lit(str(day)).alias("days_ago"), F.lit("Credit application").alias("purpose")).drop("_n")
-        for band, day in _ENQUIRY_DAYS.items()]
-    out["enquiries"] = reduce(DataFrame.unionAll, dated)
+    totals = F.array(*[F.struct(F.lit(str(day)).alias("days_ago"), F.col(f"AMT_REQ_CREDIT_BUREAU_{band}").cast("int").alias("n"))
+                       for band, day in _ENQUIRY_DAYS.items()])
+    dated = application.select(ref, F.explode(F.filter(totals, lambda t: t["n"] >= 1)).alias("t"))
+    out["enquiries"] = dated.select(
+        REF, F.explode(F.array_repeat("t.days_ago", F.col("t.n"))).alias("days_ago"), F.lit("Credit application").alias("purpose"))
     return out

@@ -40,13 +40,16 @@ def transparent_intake_score(features: DataFrame) -> DataFrame:
     return score_profiles(mapped).select(*features.columns, "probability")
 
 
-def screen_portfolio(features: DataFrame, score: Scorer) -> DataFrame:
-    """Score every package; packages with violations stay in the queue as NOT SCORED."""
+def screen_portfolio(features: DataFrame, score: Scorer, count_gaps: bool = False) -> DataFrame:
+    """Score every package; packages with violations stay in the queue as NOT SCORED.
+
+    ``count_gaps`` lets gaps in expected fields move the route.
+    """
     scorable = F.size("violations") == 0
     scored = score(families_supplied(features).where(scorable)).select(
         REF, "probability", F.col("TOTAL_OBLIGATION_TO_INCOME").alias("obligation_to_income"),
         F.col("source_families").alias("sources"),
-        intake_route(F.col("source_families"), F.col("probability"), F.size(expected_gaps())).alias("route"),
+        intake_route(F.col("source_families"), F.col("probability"), F.size(expected_gaps()) if count_gaps else F.lit(0)).alias("route"),
         F.array_join("findings", "; ").alias("note"))
     refused = features.where(~scorable).select(
         REF, F.lit(None).cast("double").alias("probability"), F.lit(None).cast("double").alias("obligation_to_income"),
