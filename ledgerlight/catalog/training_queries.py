@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.expressions import rounded
 from ..operators import application as A
 from ..operators import preprocess as X
-from ..operators.history import HISTORY_FLAGS, bureau_block
+from ..operators import calibration as C
+from ..operators.history import HISTORY_FLAGS, lifetime_features, source_count
+from ..operators.scoring import history_segment
 from ..operators.splits import assign_splits
 from ..plans import training as T
 from ..session import cut_lineage
-from ..sources.roles import role, with_roles
+from ..sources.roles import history_roles, role, with_roles
 from .application_queries import INVENTORY_CTE, development_rows
 from .common import r6, register
 
@@ -57,6 +59,11 @@ def _labelled(spark: SparkSession, sf: str) -> DataFrame:
     return cut_lineage(A.engineer(train).join(splits, "SK_ID_CURR"))
 
 
+def responsible(development: DataFrame) -> A.Selection:
+    """The selection policy over all engineered columns, learned on development rows."""
+    return A.select_features(development.drop("split", "tuning_role"))
+
+
 def _part(df: DataFrame, name: str) -> DataFrame:
     return df.where(F.col("split") == name)
 
@@ -64,14 +71,16 @@ def _part(df: DataFrame, name: str) -> DataFrame:
 @register("logistic_baseline_metrics")
 def logistic_baseline_metrics(spark: SparkSession, sf: str) -> DataFrame:
     df = _labelled(spark, sf)
-    model = T.fit_linear(_part(df, "development"), SELECTION, iterations=50)
+    development = _part(df, "development")
+    model = T.fit_linear(development, responsible(development))
     return rounded(T.evaluate(model.predict(_part(df, "calibration"), "p"), "p"))
 
 
 @register("logistic_contributions")
 def logistic_contributions(spark: SparkSession, sf: str) -> DataFrame:
     df = _labelled(spark, sf)
-    model = T.fit_linear(_part(df, "development"), SELECTION, iterations=50)
+    development = _part(df, "development")
+    model = T.fit_linear(development, responsible(development))
     return rounded(model.contributions(_part(df, "calibration")))
 
 
@@ -98,15 +107,23 @@ def gain_importance_by_family(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("batch_scores")
 def batch_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Both components, blend, grade, segment and route for the unlabelled applications."""
+    """Both components, blend, grade, segment and route for the unlabelled applications.
+
+    The history model learns from the whole lifetime store, the application model from the applications alone, both on
+    development rows; the blend weights are selected on the fitting half of the calibration part.
+    """
     train, test = role(spark, sf, "application_train"), role(spark, sf, "application_test")
-    store = bureau_block(role(spark, sf, "bureau"), role(spark, sf, "bureau_balance")).withColumn(
-        HISTORY_FLAGS[0], F.lit(1))
-    columns = [HISTORY_FLAGS[0], "BUREAU_CREDIT_COUNT", "BUREAU_ACTIVE_RATE", "BUREAU_DEBT_TO_CREDIT"]
-    store = cut_lineage(store.select("SK_ID_CURR", *columns))
-    merged = cut_lineage(A.engineer(T.merge_with_gaps(train, store, columns).drop("store_row_missing")))
-    history = T.fit_linear(merged, A.Selection((*NUMERIC, *columns), CATEGORY), iterations=30)
-    application = T.fit_linear(merged, SELECTION, iterations=30)
-    weights = {"thin_0_to_1_sources": 0.5, "partial_2_to_3_sources": 1.0, "full_4_to_5_sources": 1.0}
+    store = cut_lineage(lifetime_features(history_roles(spark, sf)))
+    columns = [c for c in store.columns if c != T.KEY]
+    splits = assign_splits(train).select(T.KEY, "split", "calibration_role")
+    merged = cut_lineage(A.engineer(T.merge_with_gaps(train, store, columns).drop("store_row_missing")).join(splits, T.KEY))
+    development = _part(merged, "development").drop("split", "calibration_role")
+    history = T.fit_linear(development, A.select_features(development))
+    application = T.fit_linear(development, A.select_features(development.drop(*columns)))
+    held = merged.where("calibration_role = 'calibrator_fit'")
+    flags = tuple(f for f in HISTORY_FLAGS if f in columns)
+    both = application.predict(history.predict(held, "h"), "a").withColumn("history_segment", history_segment(source_count(flags)))
+    chosen = C.select_weights(C.weight_candidates(both, "a", "h", ["history_segment"]), ["history_segment"]).collect()
+    weights = {"thin_0_to_1_sources": 1.0} | {r["history_segment"]: r["history_weight"] for r in chosen}  # one row per segment
     scores = T.BatchScorer(history, application, weights, columns).score(test, store)
     return rounded(scores.withColumn("data_quality_flags", F.array_join("data_quality_flags", ",")))

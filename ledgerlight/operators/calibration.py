@@ -178,7 +178,7 @@ def bootstrap_deltas(rows: DataFrame, candidate: str, reference: str, key: str,
     sizes = rows.groupBy(*groups, F.col(target).alias("_y")).agg(F.count(F.lit(1)).alias("_size"))
     factor = classes.join(sizes, groups + ["_y"]).select(
         *cells, "_y", (F.col("_size") / F.col("_drawn")).alias("_factor"))
-    weighted = drawn.join(factor, cells + ["_y"]).withColumn("_w", F.col("_draw") * F.col("_factor"))
+    weighted = attach(drawn, factor, cells + ["_y"], "inner").withColumn("_w", F.col("_draw") * F.col("_factor"))
     both = weighted.select(*cells, "_y", "_w", F.explode(F.array(
         F.struct(F.lit("candidate").alias("model"), F.col("_a").alias("_p")),
         F.struct(F.lit("reference").alias("model"), F.col("_b").alias("_p")))).alias("_m")).select(

@@ -1,10 +1,11 @@
 """Running totals and exact order statistics without a window over unbounded data.
 
-Values are reduced to distinct ``(groups, value)`` rows first.  Each value gets a coarse and a fine bucket
-by radix on its position in the value range; running totals are taken over coarse buckets, over the fine
-buckets of one coarse bucket, and over the values of one fine bucket, and are then added up.  The first
-two windows hold at most ``2**RADIX_BITS`` rows per partition by construction, and the last one only
-distinct values that agree in the leading ``2 * RADIX_BITS`` bits of their position.
+Values are reduced to distinct ``(groups, value)`` rows first.  Each value gets a coarse and a fine bucket;
+running totals are taken over coarse buckets, over the fine buckets of one coarse bucket, and over the values of
+one fine bucket, and are then added up.  Values in known bounds get even buckets (``2**RADIX_BITS`` of each kind).
+Other values get theirs from their floating-point form: the coarse one from sign, exponent and the first
+five bits of the fraction, the fine one from the next sixteen bits.  An outlier takes a bucket of its own and
+squeezes no others together: the last window holds only distinct values that agree in 21 bits of their fraction.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RADIX_BITS = 16
-_COARSE, _FINE, _LO, _HI = "_coarse", "_fine", "_lo", "_hi"
+MOST_GROUPS = 100_000
+_COARSE, _FINE = "_coarse", "_fine"
 
 
 def _before(measures: Sequence[str], partition: list[str], order: list) -> dict[str, Column]:
@@ -23,6 +25,26 @@ def _before(measures: Sequence[str], partition: list[str], order: list) -> dict[
     return {f"_{m}": F.coalesce(F.sum(m).over(window), F.lit(0)) for m in measures}
 
 
+def _float_buckets(v: Column) -> tuple[Column, Column]:
+    """Coarse and fine bucket of a double; both rise with the value.
+
+    The exponent is corrected by comparison with exact powers of two, and scaling by them is exact, so no value
+    can land in a neighbour's bucket.
+    """
+    size = F.abs(v)
+    guess = F.greatest(F.lit(-1074), F.least(F.lit(1023), F.floor(F.log2(size)).cast("int")))
+    power = F.pow(F.lit(2.0), guess)
+    exponent = guess + F.when(size < power, -1).when(size / power >= 2, 1).otherwise(0)
+    scaled = (size / F.pow(F.lit(2.0), exponent) - 1) * 32
+    first = F.floor(scaled)
+    coarse = (exponent + 1075) * 32 + first + 1
+    fine = F.floor((scaled - first) * 2**RADIX_BITS)
+    beyond = F.isnan(v) | (size == float("inf"))
+    coarse = F.when(v == 0, 0).when(F.isnan(v), 1 << 20).when(size == float("inf"), 1 << 19).otherwise(coarse)
+    fine = F.when((v == 0) | beyond, 0).otherwise(fine)
+    return F.when(v < 0, -coarse).otherwise(coarse), F.when(v < 0, 2**RADIX_BITS - 1 - fine).otherwise(fine)
+
+
 def running_totals(
     rows: DataFrame,
     value: str,
@@ -33,27 +55,22 @@ def running_totals(
 ) -> DataFrame:
     """Distinct ``(groups, value, ties)`` rows with each measure ``m`` and its total *before* the row, ``m_before``.
 
-    Rows without a value are left out.  ``bounds`` names a known value range (probabilities, hashes);
-    otherwise the range is measured per group.
+    Rows without a value are left out.  ``bounds`` names a known value range (probabilities, hashes).
     """
     groups, ties, names = list(groups), list(ties), list(measures)
     table = (
         rows.where(F.col(value).isNotNull()).groupBy(*groups, value, *ties)
         .agg(*[expr.alias(name) for name, expr in measures.items()])
     )
+    side = 2**RADIX_BITS
     if bounds is None:
-        # One row per group: the range is found on partially aggregated data.
-        span = table.groupBy(*groups).agg(F.min(value).alias(_LO), F.max(value).alias(_HI))
-        placed = attach(table, span, groups)
+        coarse, fine = _float_buckets(F.col(value).cast("double"))
     else:
-        placed = table.withColumns({_LO: F.lit(float(bounds[0])), _HI: F.lit(float(bounds[1]))})
-    width = F.nullif(F.col(_HI) - F.col(_LO), F.lit(0.0))
-    position = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce((F.col(value) - F.col(_LO)) / width, F.lit(0.0))))
-    side = 2**RADIX_BITS
-    placed = placed.withColumns({
-        _COARSE: F.least(F.floor(position * side), F.lit(side - 1)),
-        _FINE: F.least(F.floor(position * side * side), F.lit(side * side - 1)),
-    }).drop(_LO, _HI)
+        low, high = float(bounds[0]), float(bounds[1])
+        position = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(value) - F.lit(low)) / F.lit(high - low)))
+        coarse = F.least(F.floor(position * side), F.lit(side - 1))
+        fine = F.least(F.floor(position * side * side), F.lit(side * side - 1))
+    placed = table.withColumns({_COARSE: coarse, _FINE: fine})
 
     fine = placed.groupBy(*groups, _COARSE, _FINE).agg(*[F.sum(m).alias(m) for m in names])
     coarse = fine.groupBy(*groups, _COARSE).agg(*[F.sum(m).alias(m) for m in names])
@@ -69,9 +86,16 @@ def running_totals(
 
 
 def attach(left: DataFrame, right: DataFrame, groups: Sequence[str] = (), how: str = "left") -> DataFrame:
-    """Add the columns of a per-group table; without groups ``right`` is one row, read as a scalar subquery."""
+    """Add the columns of a per-group table; without groups ``right`` is one row, read as a scalar subquery.
+
+    Groups are declared dimensions, model columns or classes, often only two for all rows.  The table of groups is therefore
+    broadcast and the rows stay where they are; a table of more than ``MOST_GROUPS`` rows is an error.
+    """
     if groups:
-        return left.join(right, list(groups), how)
+        fits = F.when(F.col("_group_rows") <= MOST_GROUPS, F.lit(True)).otherwise(
+            F.raise_error(F.lit("too many groups for a broadcast table")).cast("boolean"))
+        checked = right.withColumn("_group_rows", F.count(F.lit(1)).over(Window.partitionBy())).where(fits).drop("_group_rows")
+        return left.join(F.broadcast(checked), list(groups), how)
     packed = right.select(F.struct(*right.columns).alias("_row")).scalar()
     return left.withColumn("_row", packed).select(*left.columns, "_row.*")
 
