@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import stage
-
 K, WORDS, BITS = 128, 5, 48
+MOST_RANGES, SEARCH_STEP = 65_536, 256
 
 
 def words(text: Column) -> Column:
@@ -69,22 +68,52 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         "sketch", smallest(F.col("_hashes"))).drop("_words", "_hashes")
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    """``doc_id, prev_id, prev_chars``: each id with the one before it in descending order (the first after the last).
+def id_ranges(ids: DataFrame) -> list[int]:
+    """Largest ids of evenly filled ranges of ids, in descending order; at most ``MOST_RANGES``.
+
+    Spark's own range partitioning finds the ranges, over ids alone.
+    """
+    parts = 4 * int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ids.where("doc_id IS NOT NULL").select("doc_id").repartitionByRange(min(parts, MOST_RANGES), F.desc("doc_id"))
+    tops = dealt.groupBy(F.spark_partition_id().alias("range")).agg(F.max("doc_id").alias("top")).collect()
+    return sorted({r["top"] for r in tops}, reverse=True)
+
+
+def range_of(doc_id: Column, tops: list[int]) -> Column:
+    """Number of an id's range, by a search in two steps."""
+    rows = [tops[at: at + SEARCH_STEP] for at in range(0, len(tops), SEARCH_STEP)]
+    heads = F.array(*[F.lit(r[0]) for r in rows])
+    lists = F.array(*[F.array(*[F.lit(t) for t in r]) for r in rows])
+
+    def reached(values: Column) -> Column:
+        return F.size(F.filter(values, lambda top: top >= doc_id)) - 1
+
+    step = reached(heads)
+    return step * SEARCH_STEP + reached(F.get(lists, step))
+
+
+def with_next(rows: DataFrame) -> DataFrame:
+    """``doc_id, text, sketch, next_text, next_sketch`` of rows with distinct ids (or none, without a next one).
 
-    Only ids and lengths are ordered, in ranges that are dealt evenly; no text moves.
+    Texts move once: every id range is one window, and the first row of a range is shown to the range before it, too.
     """
-    lengths = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stage(lengths.repartitionByRange(parts, F.desc("doc_id")).withColumn("range", F.spark_partition_id()), "id-ranges")
-    inside = Window.partitionBy("range").orderBy(F.desc("doc_id"))
-    linked = dealt.withColumn("before", F.lag(F.struct("doc_id", "chars")).over(inside))
-    lasts = dealt.groupBy("range").agg(F.min_by(F.struct("doc_id", "chars"), "doc_id").alias("last"))  # one row per range
-    order = Window.partitionBy().orderBy("range")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    lasts = lasts.select("range", F.coalesce(F.lag("last").over(order), F.last("last").over(whole)).alias("across"))
-    joined = linked.join(lasts, "range").withColumn("prev", F.coalesce("before", "across"))
-    return joined.select("doc_id", F.col("prev.doc_id").alias("prev_id"), F.col("prev.chars").alias("prev_chars"))
+    tops = id_ranges(rows) or [0]
+    block = F.when(F.col("doc_id").isNotNull(), range_of(F.col("doc_id"), tops)).otherwise(
+        -1 - F.pmod(F.xxhash64("text"), F.lit(len(tops))).cast("int"))
+    placed = rows.select("doc_id", "text", block.alias("block"))
+    top = F.get(F.array(*[F.lit(t) for t in tops]), F.col("block")) == F.col("doc_id")
+    own = F.struct("block", F.lit(False).alias("shown"))
+    before = F.struct(F.pmod(F.col("block") - 1, F.lit(len(tops))).alias("block"), F.lit(True).alias("shown"))
+    shown = placed.select("doc_id", "text", F.explode(F.when(top, F.array(own, before)).otherwise(F.array(own))).alias("at"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = shown.select("doc_id", "text", "at.*").repartition(parts, "block")
+    order = Window.partitionBy("block").orderBy("shown", F.desc("doc_id"))
+    both = fingerprint(dealt).withColumns({
+        "next_text": F.lead("text").over(order), "next_sketch": F.lead("sketch").over(order)})
+    known = F.col("doc_id").isNotNull()
+    return both.where(~F.col("shown")).select(
+        "doc_id", "text", "sketch", F.when(known, F.col("next_text")).alias("next_text"),
+        F.when(known, F.col("next_sketch")).alias("next_sketch"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -96,20 +125,18 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     texts are empty; other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    links = neighbours(docs)
-    placed = rows.join(links, "doc_id", "left")
-    senders = placed.where("prev_id IS NOT NULL")
-    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        senders = senders.groupBy("doc_id", "prev_id", "prev_chars").agg(F.min("text").alias("text"))
-    sent = fingerprint(senders).select(
-        F.col("prev_id").alias("doc_id"), F.substr(F.col("text"), F.lit(1), F.floor(F.col("prev_chars") / 2).cast("int")).alias("next_start"),
-        F.col("sketch").alias("next_sketch"))
-    own = fingerprint(placed.select("doc_id", "text").join(sent, "doc_id", "left").withColumn("n_chars", F.length("text").cast("long")))
+    named = rows.where("doc_id IS NOT NULL")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        own = with_next(rows)
+    else:
+        nexts = with_next(named.groupBy("doc_id").agg(F.min("text").alias("text"))).select("doc_id", "next_text", "next_sketch")
+        own = fingerprint(rows.join(nexts, "doc_id", "left"))
+    own = own.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(
         F.substr(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half),
-        F.substr(F.coalesce("next_start", F.lit("")), F.lit(1), half))
-    both = fingerprint(own.withColumnRenamed("sketch", "own_sketch").withColumn("text", edited))
+        F.substr(F.coalesce("next_text", F.lit("")), F.lit(1), half))
+    both = fingerprint(own.withColumnRenamed("sketch", "own_sketch").withColumn("text", edited).drop("next_text"))
     return both.select(
         "doc_id", "n_chars", F.sha2("text", 256).alias("edited_sha256"),
         as_text(F.col("own_sketch")).alias("fingerprint"), as_text(F.col("sketch")).alias("edited_fingerprint"),
