@@ -114,6 +114,19 @@ def balance_rollup_features() -> dict[str, Column]:
     return out
 
 
+def with_distinct_counts(block: DataFrame, rows: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """Add counts of distinct values per key, each from its own two-column aggregate.
+
+    Several distinct counts in one aggregate would multiply all rows before they move; here only pairs that are already
+    distinct within a task do.
+    """
+    for name, column in columns.items():
+        pairs = rows.where(F.col(column).isNotNull()).select(key, column).distinct()
+        block = block.join(pairs.groupBy(key).agg(F.count(F.lit(1)).alias(name)), key, "left").withColumn(
+            name, F.coalesce(name, F.lit(0)).cast("bigint"))
+    return block
+
+
 def bureau_block(bureau: DataFrame, balance: DataFrame, key: str = KEY) -> DataFrame:
     accounts = balance_by_account(balance).drop("BB_OLDEST_MONTH", "BB_LATEST_MONTH")
     joined = bureau.join(accounts, "SK_ID_BUREAU", "left")
@@ -237,10 +250,8 @@ def installment_block(payments: DataFrame, key: str = KEY) -> DataFrame:
     due, paid = F.col("AMT_INSTALMENT"), F.col("AMT_PAYMENT")
     late, short = paid_day > due_day, paid < due
     late_days, missing = floor_zero(paid_day - due_day), F.greatest(due - paid, F.lit(0.0))
-    return aggregate(payments, [key], {
+    sums = aggregate(payments, [key], {
         "INST_PAYMENT_COUNT": F.count(F.lit(1)),
-        "INST_CONTRACT_COUNT": F.countDistinct("SK_ID_PREV"),
-        "INST_UNIQUE_NUMBER_COUNT": F.countDistinct("NUM_INSTALMENT_NUMBER"),
         "INST_VERSION_MEAN": F.avg("NUM_INSTALMENT_VERSION"),
         "INST_DUE_SUM": F.sum(due),
         "INST_PAID_SUM": F.sum(paid),
@@ -259,6 +270,8 @@ def installment_block(payments: DataFrame, key: str = KEY) -> DataFrame:
         "INST_DAYS_SINCE_DUE_MIN": F.min(-due_day),
         "INST_DAYS_SINCE_DUE_MAX": F.max(-due_day),
     })
+    return with_distinct_counts(sums, payments, key, {
+        "INST_CONTRACT_COUNT": "SK_ID_PREV", "INST_UNIQUE_NUMBER_COUNT": "NUM_INSTALMENT_NUMBER"})
 
 
 def assemble(spine: DataFrame, blocks: dict[str, DataFrame], key: str = KEY) -> DataFrame:

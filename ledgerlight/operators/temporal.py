@@ -293,13 +293,20 @@ def pos_applicant_months(pos: DataFrame) -> DataFrame:
         "ACTIVE_CONCURRENCY": F.countDistinct(F.when(active, F.col(LOAN))),
         "FUTURE_INSTALLMENTS": F.sum(F.when(active, F.col("CNT_INSTALMENT_FUTURE"))),
         "MAX_DPD": F.max("SK_DPD"),
+        "LATE_ROWS": count_where(F.col("SK_DPD") > 0),
+        "ROWS": F.count(F.lit(1)),
     })
 
 
 def pos_trajectory(pos: DataFrame) -> DataFrame:
     month = F.col("MONTHS_BALANCE")
     concurrency, future, dpd = F.col("ACTIVE_CONCURRENCY"), F.col("FUTURE_INSTALLMENTS"), F.col("MAX_DPD")
+    weighted = {}
+    for months in MONTH_HALF_LIVES:  # the weights depend on the month alone
+        weight = half_life(-month, months)
+        weighted[f"TPOS_WEIGHTED_DPD_RATE_{months}M"] = ratio(F.sum(weight * F.col("LATE_ROWS")), F.sum(weight * F.col("ROWS")))
     monthly = aggregate(pos_applicant_months(pos), [KEY], {
+        **weighted,
         "TPOS_ACTIVE_CONCURRENCY_MAX_12M": F.max(F.when(month >= -12, concurrency)),
         "TPOS_ACTIVE_CONCURRENCY_MEAN_12M": F.avg(F.when(month >= -12, concurrency)),
         "TPOS_FUTURE_INSTALLMENTS_MAX_6M": F.max(F.when(month >= -6, future)),
@@ -309,12 +316,7 @@ def pos_trajectory(pos: DataFrame) -> DataFrame:
         "TPOS_DPD_RATE_6M": share_where((month >= -6) & (dpd > 0)),
         "TPOS_DPD_MAX_12M": F.max(F.when(month >= -12, dpd)),
     })
-    weighted = {}
-    for months in MONTH_HALF_LIVES:
-        weight = half_life(-month, months)
-        weighted[f"TPOS_WEIGHTED_DPD_RATE_{months}M"] = ratio(
-            F.sum(weight * flag(F.col("SK_DPD") > 0)), F.sum(weight))
-    return monthly.join(_late_state_changes(pos), KEY).join(aggregate(pos, [KEY], weighted), KEY)
+    return monthly.join(_late_state_changes(pos), KEY)
 
 
 # ---------------------------------------------------------------- cards and accounts
