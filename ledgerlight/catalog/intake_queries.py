@@ -250,3 +250,36 @@ def request_sweep(spark: SparkSession, sf: str) -> DataFrame:
 def term_scenario(spark: SparkSession, sf: str) -> DataFrame:
     terms = {c: F.col(c) * 0.5 for c in ("AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRICE")}
     return rounded(W.scenario(packages(spark, sf), W.transparent_intake_score, terms))
+
+
+_FAULTS = """faulty AS (
+  SELECT SK_ID_CURR, CASE WHEN SK_ID_CURR % 11 = 0 AND SK_ID_CURR IN (SELECT SK_ID_CURR FROM months)
+      THEN 'account_months.account_kind must be revolving or installment' END AS kind,
+    CASE WHEN SK_ID_CURR % 7 = 0 AND SK_ID_CURR IN (SELECT SK_ID_CURR FROM bureau WHERE DAYS_CREDIT IS NOT NULL)
+      THEN 'expected a number in tradelines.opened_days_ago' END AS number,
+    CASE WHEN SK_ID_CURR % 13 = 0 THEN 'missing required sheet: application' END AS sheet
+  FROM application_train WHERE SK_ID_CURR % 13 <> 0 OR SK_ID_CURR IN (SELECT SK_ID_CURR FROM months)
+    OR SK_ID_CURR IN (SELECT SK_ID_CURR FROM bureau) OR coalesce(greatest(%s), 0) >= 1)""".replace(
+    "%s", ", ".join(f"AMT_REQ_CREDIT_BUREAU_{band}" for band in I.ENQUIRY_BANDS))
+
+
+@register("intake_quarantine", with_roles(
+    f"SELECT {REF_SQL}, concat_ws('; ', kind, number, sheet) AS reasons FROM faulty"
+    " WHERE kind IS NOT NULL OR number IS NOT NULL OR sheet IS NOT NULL",
+    "application_train", "bureau", "pos_cash_balance", "credit_card_balance",
+    ctes=f"months AS (SELECT SK_ID_CURR FROM pos_cash_balance UNION SELECT SK_ID_CURR FROM credit_card_balance),\n{_FAULTS}"))
+def intake_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """All packages, some of them with faults put in: unreadable numbers, months without a kind, no application sheet."""
+    s = sheets(spark, sf)
+    number = F.regexp_extract(I.REF, "([0-9]+)$", 1).cast("long")
+
+    def faulty(every: int):
+        return number % every == 0
+
+    s["tradelines"] = s["tradelines"].withColumn("opened_days_ago", F.when(
+        faulty(7), F.concat("opened_days_ago", F.lit("O"))).otherwise(F.col("opened_days_ago")))
+    s["account_months"] = s["account_months"].withColumn("account_kind", F.when(~faulty(11), F.col("account_kind")))
+    s["application"] = s["application"].where(~faulty(13))
+    wanted = ("account_months.account_kind", "expected a number in tradelines", "missing required sheet")
+    hits = F.array_sort(F.filter("violations", lambda v: v.rlike("^(" + "|".join(wanted) + ")")))
+    return I.build_features(s).select(I.REF, F.array_join(hits, "; ").alias("reasons")).where("reasons <> ''")

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..contracts import CONTRACTS
 from ..functions.expressions import rounded
 from ..operators import quality as G
-from ..operators.history import HISTORY_FLAGS, lifetime_features
+from ..operators.history import HISTORY_FLAGS, bureau_block, lifetime_features
 from ..operators.temporal import temporal_features
 from ..operators.manifest import file_digests
+from ..session import write_stage
 from ..sources.roles import history_roles, role, with_roles
+from ..sources.tables import read_store
 from .common import r6, register
-from .history_queries import ALL_ROLES, BLOCKS, STORE_CTE
+from .history_queries import _BB_CTE, _BUREAU_CTE, ALL_ROLES, BLOCKS, BUREAU, STORE_CTE
 from .temporal_queries import STORE as TEMPORAL_STORE
 from .temporal_queries import TEMPORAL_CTE, TEMPORAL_ROLES
 
@@ -209,3 +212,13 @@ def store_point_lookup(spark: SparkSession, sf: str) -> DataFrame:
     requested = role(spark, sf, "application_test").select("SK_ID_CURR")
     return role(spark, sf, "bureau").join(requested, "SK_ID_CURR", "left_semi").select(
         "SK_ID_CURR", "SK_ID_BUREAU", "CREDIT_ACTIVE")
+
+
+@register("store_single_lookup", with_roles(
+    f"SELECT SK_ID_CURR, {BUREAU.present()} FROM bureau_rollup WHERE SK_ID_CURR = (SELECT min(SK_ID_CURR) FROM bureau)",
+    "bureau", "bureau_balance", ctes=f"{_BB_CTE},\n{_BUREAU_CTE}"))
+def store_single_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """One applicant out of a written store; the key filter reaches the Parquet scan."""
+    store = write_stage(bureau_block(role(spark, sf, "bureau"), role(spark, sf, "bureau_balance")))
+    wanted = role(spark, sf, "bureau").agg(F.min("SK_ID_CURR")).first()[0]
+    return rounded(read_store(spark, store, one_id=wanted))

@@ -15,28 +15,28 @@ from ..sources.tables import header_of
 CHUNK = 4 * 1024 * 1024
 
 
-def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """SHA-256 of each listed file, streamed in chunks so that a file of any size fits."""
-    from pyarrow import fs
-
-    for batch in batches:
-        digests = []
-        for path in batch["path"]:
-            system, inner = fs.FileSystem.from_uri(path)
-            state = hashlib.sha256()
-            with system.open_input_stream(inner) as stream:
-                while chunk := stream.read(CHUNK):
-                    state.update(chunk)
-            digests.append(state.hexdigest())
-        yield batch.assign(sha256=digests)
-
-
 def file_digests(spark: SparkSession, pattern: str) -> DataFrame:
     """Name, bytes and SHA-256 of the files a pattern matches, one file per task."""
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """SHA-256 of each listed file, streamed in chunks so that a file of any size fits."""
+        from pyarrow import fs
+
+        for batch in batches:
+            digests = []
+            for path in batch["path"]:
+                system, inner = fs.FileSystem.from_uri(path)
+                state = hashlib.sha256()
+                with system.open_input_stream(inner) as stream:
+                    while chunk := stream.read(CHUNK):
+                        state.update(chunk)
+                digests.append(state.hexdigest())
+            yield batch.assign(sha256=digests)
+
     listing = spark.read.format("binaryFile").load(pattern).select(
         F.regexp_replace("path", "^file:/+", "file:///").alias("path"), "length")
     spread = listing.repartition(spark.sparkContext.defaultParallelism, "path")
-    hashed = spread.mapInPandas(_digest, "path string, length bigint, sha256 string")
+    hashed = spread.mapInPandas(digest, "path string, length bigint, sha256 string")
     return hashed.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("bytes"), "sha256")
 
 

@@ -45,9 +45,13 @@ def stage_folder(spark: SparkSession) -> str:
     return f"file://{_LOCAL[context.applicationId]}"
 
 
+def write_stage(df: DataFrame) -> str:
+    """Write ``df`` to a new folder of the stage folder."""
+    path = f"{stage_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as Parquet in the shared folder: a lost executor loses none of it, and columns are still pruned."""
-    spark = df.sparkSession
-    path = f"{stage_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_stage(df))

@@ -218,3 +218,52 @@ def test_files(spark, tmp_path):
     write_json_lines(df, str(tmp_path / "j"))
     write_csv(df, str(tmp_path / "c"))
     assert spark.read.json(str(tmp_path / "j")).count() == spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 3
+
+
+def test_incomplete_and_mixed_packages_stay(spark):
+    s = sheets(spark)
+    s["dpd_history"] = spark.createDataFrame(
+        [("A", "t1", "001C X", None, None), ("B", "t9", None, "2", "1"), ("B", "t9", None, "3", "0"), ("A", "t2", "", None, None)],
+        "applicant_ref string, account_ref string, dpd_strip string, months_ago string, status string")
+    got = {(r[0], r[1], r[2]) for r in I.parse_dpd(s["dpd_history"]).select("applicant_ref", "MONTHS_BALANCE", "STATUS").collect()}
+    assert got == {("A", 0.0, "0"), ("A", -1.0, "0"), ("A", -2.0, "1"), ("A", -3.0, "C"), ("A", -5.0, "X"), ("B", -2.0, "1"), ("B", -3.0, "0")}
+    more = spark.createDataFrame([("E", "t5", "Card", "Active", "12O0", "1", "1", "1", "0")], s["tradelines"].schema)
+    s["tradelines"] = s["tradelines"].unionAll(more)
+    s["account_months"] = s["account_months"].unionAll(spark.createDataFrame(
+        [("B", "c9", None, "0", "0", "0", "Active", "4", "10")], s["account_months"].schema))
+    features = I.build_features(s)
+    rows = {r.applicant_ref: r.violations for r in features.collect()}
+    assert rows["A"] == [] and set(rows) == set("ABCDE")
+    assert rows["B"] == ["account_months.account_kind must be revolving or installment"]
+    assert rows["E"] == ["missing required sheet: application", "expected a number in tradelines.opened_days_ago"]
+    screen = {r.applicant_ref: r.route for r in W.screen_portfolio(features, W.transparent_intake_score).collect()}
+    assert {k for k, v in screen.items() if v == "NOT SCORED"} == set("BCDE")
+
+
+def test_reason_rules_and_texts_by_example(spark):
+    names = {  # feature: code, group, family, direction
+        "BUREAU_DAYS_OVERDUE_MEAN": ("ML01", "Credit bureau", "Frozen bureau history", "higher -> more risk"),
+        "CC_UTILIZATION_MEAN": ("ML02", "Credit card history", "Frozen credit-card history", "higher -> more risk"),
+        "EXT_SOURCE_2": ("ML06", "External scores", "External scores", "higher -> less risk"),
+        "MISSINGINDICATOR_EXT_SOURCE_1": ("ML07", "Application verified flags", "Application and other", "higher -> less risk"),
+        "AMT_CREDIT": ("ML08", "Application financial", "Application and other", "context-dependent"),
+        "HOUSETYPE_MODE": ("ML11", "Application property", "Application and other", "context-dependent"),
+        "OBS_30_CNT_SOCIAL_CIRCLE": ("ML99", "Application financial", "Application and other", "context-dependent"),
+        "LIVINGAREA_AVG": ("ML11", "Application property", "Application and other", "context-dependent"),
+    }
+    table = spark.createDataFrame([(n,) for n in names], "f string").select(
+        "f", N.reason_code(F.col("f")), N.source_group(F.col("f")), N.feature_family(F.col("f")),
+        N.expected_direction(F.col("f"), F.lit(False)))
+    assert {r[0]: tuple(r[1:]) for r in table.collect()} == names
+    texts = spark.range(1).select(N.describe(F.lit("ML02"), True), N.describe(F.lit("ML07"), False)).first()
+    assert tuple(texts) == ("Credit utilization and revolving balances increase estimated repayment risk",
+                            "Available source information reduces model uncertainty or risk")
+
+
+def test_masks_follow_one_rule(spark):
+    columns = ["AMT_INCOME_TOTAL", "CREDIT_TO_INCOME", "BUREAU_ANNUITY_SUM", "TOTAL_OBLIGATION_TO_INCOME", "BB_MONTHS_OBSERVED", "POS_DPD_MAX"]
+    masks = D.intake_field_masks(columns, {"annual_income": "AMT_INCOME_TOTAL", "goods_price": "AMT_GOODS_PRICE"})
+    assert masks["application.annual_income"] == (["AMT_INCOME_TOTAL", "CREDIT_TO_INCOME", "TOTAL_OBLIGATION_TO_INCOME"], {})
+    assert "application.goods_price" not in masks and masks["sheet.dpd_history"] == (["BB_MONTHS_OBSERVED"], {})
+    assert masks["tradelines.annuity"] == (["BUREAU_ANNUITY_SUM", "TOTAL_OBLIGATION_TO_INCOME"], {})
+    assert masks["sheet.account_months"] == (["POS_DPD_MAX"], {"HAS_CREDIT_CARD_HISTORY": 0, "HAS_POS_HISTORY": 0})

@@ -14,7 +14,7 @@ QUERIES, CHECKS = load_catalog()
 QUICK = (
     "id_spine", "bureau_features", "installment_loan_sequence", "application_velocity", "cash_after_stress",
     "application_features", "stratified_splits", "transparent_scores", "review_routes", "reliability_deciles",
-    "intake_strip_expansion", "pairwise_cramers_v",
+    "intake_strip_expansion", "pairwise_cramers_v", "intake_quarantine", "portfolio_screen", "store_single_lookup",
 )
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not present")
@@ -48,3 +48,9 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_every_check_has_its_query():
     assert set(CHECKS) <= set(QUERIES) and len(QUERIES) > 100
+
+
+def test_entry_runs_in_a_plain_session(spark):
+    import __spark_entry__
+
+    assert len(__spark_entry__.entry(spark).columns) == 151

@@ -142,3 +142,30 @@ def test_bootstrap_favours_the_better_model(spark):
     df = spark.createDataFrame(data, "id long, TARGET int, good double, bad double")
     s = C.bootstrap_summary(C.bootstrap_deltas(df, "good", "bad", "id", 15)).first()
     assert s.brier_score_support == 1.0 and s.roc_auc_support == 1.0 and s.average_precision_low > 0
+
+
+def test_one_outlier_squeezes_no_bucket(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlight.operators.ordering import _float_buckets, running_totals
+
+    values = [float(n) for n in range(1, 20_001)] + [1e18, -1e18, 0.0, -0.0, -3.5, float("inf")]
+    table = spark.createDataFrame([(v,) for v in values], "v double")
+    coarse, fine = _float_buckets(F.col("v"))
+    largest = table.distinct().groupBy(coarse.alias("c"), fine.alias("f")).count().agg(F.max("count")).first()[0]
+    assert largest == 1
+    totals = {r["v"]: r["n_before"] for r in running_totals(table, "v", {"n": F.count(F.lit(1))}).collect()}
+    assert totals == {v: sum(x < v for x in sorted(values)[:4]) if v <= 0 else sum(x < v for x in (-1e18, -3.5, 0.0, -0.0)) + (
+        20_000 if v == 1e18 else 20_001 if v == float("inf") else int(v) - 1) for v in set(values)}
+
+
+def test_two_groups_are_joined_without_moving_rows(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlight.operators.splits import assign_splits
+
+    rows = spark.range(2000).select(F.col("id").alias("SK_ID_CURR"), (F.col("id") % 7 == 0).cast("int").alias("TARGET"))
+    plan = assign_splits(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan
+    assert {r["split"]: r["count"] for r in assign_splits(rows).groupBy("split").count().collect()} == {
+        "development": 1399, "calibration": 300, "holdout": 301}
