@@ -22,10 +22,11 @@ CHUNK = 512
 CELL = ["bucket", "lo", "hi"]
 
 
-def into_cells(rows: DataFrame, bucket: str, row_id: str, chunk: int = CHUNK) -> DataFrame:
+def into_cells(rows: DataFrame, bucket: str, row_id: str, chunk: int = CHUNK, payload: DataFrame | None = None) -> DataFrame:
     """Add ``lo, hi`` (the cell) and ``part`` (the row's own chunk); rows alone in their bucket are left out.
 
-    A row of a bucket with ``m`` chunks appears in ``m`` cells.  The table comes dealt and sorted by cell.
+    A row of a bucket with ``m`` chunks appears in ``m`` cells.  ``payload`` has more columns of each ``row_id``, which
+    are joined only to the rows that are left.  The table comes dealt and sorted by cell.
     """
     sizes = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     parts = F.ceil(F.col("_n") / F.lit(chunk)).cast("int")
@@ -36,6 +37,8 @@ def into_cells(rows: DataFrame, bucket: str, row_id: str, chunk: int = CHUNK) ->
         .withColumn("lo", F.least("part", "_other")).withColumn("hi", F.greatest("part", "_other"))
         .drop("_n", "_other").withColumnRenamed(bucket, "bucket")
     )
+    if payload is not None:
+        dealt = dealt.join(payload, row_id)
     return dealt.repartition(*CELL).sortWithinPartitions(*CELL)
 
 
@@ -70,6 +73,15 @@ def cell_pairs(part: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(part == lo), np.flatnonzero(part == hi)
 
 
+def inner_pairs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs ``a < b`` of rows of each cell, for many small cells at once."""
+    sizes = ends - starts
+    rows = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    partners = np.repeat(ends, sizes) - 1 - rows
+    a = np.repeat(rows, partners)
+    return a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(partners) - partners, partners)
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links ``(member, smallest row number)`` with the same components as the pairs ``(a, b)``."""
     root = np.arange(n)

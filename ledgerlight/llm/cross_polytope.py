@@ -19,13 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cells import cell_pairs, forest, into_cells, whole_cells
+from .cells import cell_pairs, forest, inner_pairs, into_cells, whole_cells
 from .graph import components
 from .staging import ship_by_value, stage
 
 ship_by_value(__name__)
 
-TABLES, DEPTH, PROBES, CORNERS = 10, 2, 4, 3
+TABLES, DEPTH, PROBES, CORNERS = 12, 3, 4, 3
+SMALL = 48  # cells of up to so many rows are compared together
 LEAST_COSINE = 0.93
 SEED = 11
 
@@ -60,82 +61,105 @@ def buckets(x: np.ndarray) -> np.ndarray:
     ways = np.stack(np.meshgrid(*[np.arange(min(CORNERS, 2 * x.shape[1]))] * DEPTH, indexing="ij"), axis=-1).reshape(-1, DEPTH)
     for table in range(TABLES):
         hashed = [corners(x, table, depth) for depth in range(DEPTH)]
-        number = sum((c[:, ways[:, d] % c.shape[1]].astype(np.int64) << (20 * d)) for d, (c, _) in enumerate(hashed))
+        number = 0
+        for d, (c, _) in enumerate(hashed):
+            number = number * (1 << (1 + max(1, (x.shape[1] - 1).bit_length()))) + c[:, ways[:, d] % c.shape[1]].astype(np.int64)
         loss = sum(lo[:, ways[:, d] % lo.shape[1]] for d, (_, lo) in enumerate(hashed))
         order = np.argsort(loss, axis=1, kind="stable")[:, : 1 + PROBES]
         out[:, table] = np.take_along_axis(number, order, axis=1)
     return out
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    rows = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-    rows /= np.abs(rows).max(axis=1, keepdims=True)  # keeps the squares of extreme values finite
+def _units(rows: np.ndarray) -> np.ndarray:
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)  # keeps the squares of extreme values finite
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def _number_type(width: int) -> type:
+    return np.int32 if (4 * width) ** DEPTH < 1 << 31 else np.int64
+
+
 def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For every class its buckets (``keys``), its bucket numbers (``every``) and its vector, in the narrowest exact type."""
     for batch in batches:
-        for _, same in batch.groupby(batch["embedding"].map(len)):
-            unit = _unit(same["embedding"])
-            every = buckets(unit)
-            group = pd.util.hash_array(same["label"].to_numpy(dtype=np.int64)).astype(np.uint64) + np.uint64(unit.shape[1])
-            for table in range(TABLES):
-                for probe in range(1 + PROBES):
-                    key = (every[:, table, probe].astype(np.uint64) * np.uint64(TABLES) + np.uint64(table)) ^ group
-                    yield pd.DataFrame({
-                        "bucket": key.view(np.int64), "cls": same["cls"].to_numpy(), "copies": same["copies"].to_numpy(),
-                        "label": same["label"].to_numpy(), "tab": np.int32(table), "own": probe == 0,
-                        "unit": [u.tobytes() for u in unit], "every": [e.tobytes() for e in every]})
+        for width, same in batch.groupby(batch["embedding"].map(len)):
+            rows = np.stack([np.asarray(v, dtype=np.float64) for v in same["embedding"]])
+            every = buckets(_units(rows))
+            group = pd.util.hash_array(same["label"].to_numpy(dtype=np.int64)).astype(np.uint64) + np.uint64(width)
+            table = np.arange(TABLES, dtype=np.uint64)[None, :, None]
+            keys = (every.astype(np.uint64) * np.uint64(TABLES) + table) ^ group[:, None, None]
+            with np.errstate(over="ignore"):
+                narrow = rows.astype(np.float32)
+            exact = (narrow == rows).all(axis=1)
+            yield pd.DataFrame({
+                "cls": same["cls"].to_numpy(), "copies": same["copies"].to_numpy(), "label": same["label"].to_numpy(),
+                "width": np.int32(width), "keys": list(keys.reshape(len(same), -1).view(np.int64)),
+                "every": [e.astype(_number_type(width)).tobytes() for e in every],
+                "vector": [(n if e else r).tobytes() for n, r, e in zip(narrow, rows, exact, strict=True)]})
+
+
+def _vectors(raw: pd.Series, width: int) -> np.ndarray:
+    return np.stack([np.frombuffer(v, dtype=np.float32 if len(v) == 4 * width else np.float64) for v in raw]).astype(np.float64)
 
 
 def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for table, starts in whole_cells(batches, 4_000):
-        cls, copies, label, tab, own, part, lo, hi = (
-            table[c].to_numpy() for c in ("cls", "copies", "label", "tab", "own", "part", "lo", "hi"))
-        links = np.zeros(len(table), dtype=np.int64)
-        found_a, found_b = [], []
-        for start, end in zip(starts[:-1], starts[1:], strict=True):
-            left, right = cell_pairs(part[start:end], lo[start], hi[start])
-            left, right = left + start, right + start
-            if not len(left) or not len(right) or not own[start:end].any():
-                continue
-            units = {i: np.frombuffer(u) for i, u in zip(range(start, end), table["unit"].iloc[start:end], strict=True)}
-            if len({len(u) for u in units.values()}) > 1:
-                raise ValueError("two vector widths share a bucket")
-            unit_l, unit_r = (np.stack([units[i] for i in side]) for side in (left, right))
-            close = unit_l @ unit_r.T >= LEAST_COSINE
-            close &= (own[left][:, None] | own[right][None, :]) & (cls[left][:, None] != cls[right][None, :])
-            close &= (label[left][:, None] == label[right][None, :]) & (tab[left][:, None] == tab[right][None, :])
-            if lo[start] == hi[start]:
-                close &= left[:, None] < right[None, :]
-            x, y = np.nonzero(close)
-            a, b = left[x], right[y]
-            if not len(a):
-                continue
-            every = np.stack([np.frombuffer(e, dtype=np.int64).reshape(TABLES, 1 + PROBES) for e in table["every"].iloc[start:end]])
-            mine, theirs = every[a - start], every[b - start]
-            meets = (mine[:, :, :1] == theirs).any(axis=2) | (mine == theirs[:, :, :1]).any(axis=2)
-            at = meets.argmax(axis=1)
-            first = at == tab[a]  # later tables find the pair again
-            # inside a table each may probe the other's bucket: then the smaller one's bucket counts
-            each = np.arange(len(a))
-            mine, theirs = mine[each, at], theirs[each, at]
-            mutual = (mine[:, :1] == theirs[:, 1:]).any(axis=1) & (theirs[:, :1] == mine[:, 1:]).any(axis=1)
-            first &= ~mutual | (own[a] == (cls[a] < cls[b]))
-            a, b = a[first], b[first]
-            links += np.bincount(a, copies[b], len(table)).astype(np.int64) + np.bincount(b, copies[a], len(table)).astype(np.int64)
-            found_a.append(a)
-            found_b.append(b)
-        if not found_a:
-            continue
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        _, at = np.unique(cls, return_inverse=True)
-        member, root = forest(int(at.max()) + 1, at[a], at[b])
-        names = np.zeros(int(at.max()) + 1, dtype=np.int64)
-        names[at] = cls
-        hit = np.flatnonzero(links)
-        yield pd.DataFrame({"a": cls[hit], "b": cls[hit], "links": links[hit]})
-        yield pd.DataFrame({"a": names[member], "b": names[root], "links": np.int64(0)})
+    for whole, cuts in whole_cells(batches, 8_000):
+        whole = whole.reset_index(drop=True)
+        cell = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        for width, part in whole.groupby("width"):  # one width a bucket, but for a clash of hashes
+            table, at = part.reset_index(drop=True), cell[part.index]
+            starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            yield from _linked_cells(table, starts, np.r_[starts[1:], len(table)], int(width))
+
+
+def _linked_cells(table: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, width: int) -> Iterator[pd.DataFrame]:
+    cls, copies, label, tab, own, part, lo, hi = (
+        table[c].to_numpy() for c in ("cls", "copies", "label", "tab", "own", "part", "lo", "hi"))
+    unit = _units(_vectors(table["vector"], width))
+    every = np.frombuffer(b"".join(table["every"]), dtype=_number_type(width)).reshape(-1, TABLES, 1 + PROBES)
+    links = np.zeros(len(table), dtype=np.int64)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def keep(a: np.ndarray, b: np.ndarray) -> None:
+        """Count the close pairs that no earlier table and no other bucket of this table counts."""
+        mine, theirs = every[a], every[b]
+        meets = (mine[:, :, :1] == theirs).any(axis=2) | (mine == theirs[:, :, :1]).any(axis=2)
+        at, each = meets.argmax(axis=1), np.arange(len(a))
+        # inside a table each may probe the other's bucket: then the smaller one's bucket counts
+        mine, theirs = mine[each, at], theirs[each, at]
+        mutual = (mine[:, :1] == theirs[:, 1:]).any(axis=1) & (theirs[:, :1] == mine[:, 1:]).any(axis=1)
+        first = (at == tab[a]) & (~mutual | (own[a] == (cls[a] < cls[b])))
+        a, b = a[first], b[first]
+        links[:] += np.bincount(a, copies[b], len(table)).astype(np.int64) + np.bincount(b, copies[a], len(table)).astype(np.int64)
+        found.append((a, b))
+
+    small = (lo[starts] == hi[starts]) & (ends - starts <= SMALL)
+    for at in range(0, int(small.sum()), 2_000):
+        a, b = inner_pairs(starts[small][at: at + 2_000], ends[small][at: at + 2_000])
+        able = (own[a] | own[b]) & (cls[a] != cls[b]) & (label[a] == label[b]) & (tab[a] == tab[b])
+        a, b = a[able], b[able]
+        near = np.concatenate([np.einsum("ij,ij->i", unit[a[k: k + 50_000]], unit[b[k: k + 50_000]])
+                               for k in range(0, len(a), 50_000)] or [np.zeros(0)]) >= LEAST_COSINE
+        keep(a[near], b[near])
+    for start, end in zip(starts[~small].tolist(), ends[~small].tolist(), strict=True):
+        left, right = cell_pairs(part[start:end], lo[start], hi[start])
+        left, right = left + start, right + start
+        close = unit[left] @ unit[right].T >= LEAST_COSINE
+        close &= (own[left][:, None] | own[right][None, :]) & (cls[left][:, None] != cls[right][None, :])
+        close &= (label[left][:, None] == label[right][None, :]) & (tab[left][:, None] == tab[right][None, :])
+        if lo[start] == hi[start]:
+            close &= left[:, None] < right[None, :]
+        x, y = np.nonzero(close)
+        for k in range(0, len(x), 20_000):
+            keep(left[x[k: k + 20_000]], right[y[k: k + 20_000]])
+    if not sum(len(a) for a, _ in found):
+        return
+    a, b = (np.concatenate(side) for side in zip(*found, strict=True))
+    names, at = np.unique(cls, return_inverse=True)
+    member, root = forest(len(names), at[a], at[b])
+    hit = np.flatnonzero(links)
+    yield pd.DataFrame({"a": cls[hit], "b": cls[hit], "links": links[hit]})
+    yield pd.DataFrame({"a": names[member], "b": names[root], "links": np.int64(0)})
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -159,9 +183,12 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     classes = stage(usable.groupBy("digest").agg(
         F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"),
         F.first("embedding").alias("embedding")).withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
-    hashed = classes.select("cls", "copies", "label", "embedding").mapInPandas(
-        _hashed, "bucket long, cls long, copies long, label long, tab int, own boolean, unit binary, every binary")
-    found = stage(into_cells(hashed, "bucket", "cls").mapInPandas(_linked, "a long, b long, links long"), "vector-links")
+    hashed = stage(classes.select("cls", "copies", "label", "embedding").mapInPandas(
+        _hashed, "cls long, copies long, label long, width int, keys array<long>, every binary, vector binary"), "vector-hashes")
+    slim = hashed.select("cls", F.posexplode("keys").alias("at", "bucket")).select(
+        "cls", "bucket", F.expr(f"cast(at div {1 + PROBES} as int)").alias("tab"), (F.col("at") % (1 + PROBES) == 0).alias("own"))
+    cells = into_cells(slim, "bucket", "cls", payload=hashed.drop("keys"))
+    found = stage(cells.mapInPandas(_linked, "a long, b long, links long"), "vector-links")
     counts = found.where("links > 0").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     roots = components(found.where("a != b"), "a", "b").withColumnRenamed("node", "cls")
     joined = classes.select("digest", "cls", "least", "copies").join(roots, "cls", "left").join(counts, "cls", "left").withColumn(
