@@ -17,6 +17,8 @@ frequent enough to be a hot key.
 from __future__ import annotations
 
 import math
+import pickle
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,7 +38,8 @@ TRIE_ROWS = 1 << 19
 BINS = 8  # of counts, per doubling
 FREQUENT_WORDS = 1 << 17
 END_WORD = "\n"  # no word holds white space
-_SLICE = 1 << 21
+_SLICE, _CHUNK = 1 << 20, 8 << 20
+_ROWS = 256  # rows of a batch that are turned into Python objects at a time
 
 
 def held_out(doc_id: str) -> Column:
@@ -75,6 +78,14 @@ def _sliced(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, texts[first:]
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """A few rows at a time, with their texts as bytes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            part = batch.slice(at, _ROWS)
+            yield part, [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: Counter[bytes] = Counter()
     grams: list[tuple[np.ndarray, np.ndarray]] = []
@@ -85,37 +96,41 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array([w.decode("utf-8", "surrogatepass") for w in words], pa.string()), pa.nulls(len(words), pa.int64()),
             pa.array(list(words.values()), pa.int64())], ["word", "gram", "n"])
 
-    def merged() -> pa.RecordBatch:
+    def merged() -> tuple[np.ndarray, np.ndarray]:
         keys, times = (np.concatenate(c) for c in zip(*grams, strict=True))
         rank = np.argsort(keys)
         keys, times = keys[rank], times[rank]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        return keys[first], np.add.reduceat(times, first)
+
+    def gram_rows(keys: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([
-            pa.nulls(len(first), pa.string()), pa.array(keys[first].view(np.int64)),
-            pa.array(np.add.reduceat(times, first), pa.int64())], ["word", "gram", "n"])
+            pa.nulls(len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(times, pa.int64())],
+            ["word", "gram", "n"])
 
-    for batch in batches:
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+    for _, texts in _small(batches):
         for text in texts:
             words.update(lower_words(text))
-            if len(words) > 400_000:
+            if len(words) > 300_000:
                 yield rows(words)
                 words = Counter()
         ends += len(texts)
         for _, some in _sliced(texts):
             grams.append(np.unique(keys_of(some)[0], return_counts=True))
-            if sum(len(keys) for keys, _ in grams) > 4_000_000:
-                yield merged()
-                grams = []
+            if sum(len(keys) for keys, _ in grams) > 2_500_000:
+                grams = [merged()]
+                if len(grams[0][0]) > 1_500_000:
+                    yield gram_rows(*grams[0])
+                    grams = []
     if ends:
         words[END_WORD.encode()] += ends
     yield rows(words)
     if grams:
-        yield merged()
+        yield gram_rows(*merged())
 
 
 class Trie:
-    """Counts per order in sorted arrays; built on the driver from the bounded table, read in the tasks."""
+    """Counts per order in sorted arrays; built in one task from the bounded table, read in the scoring tasks."""
 
     def __init__(self, orders: dict[int, tuple[np.ndarray, np.ndarray]]):
         self.levels = []
@@ -132,6 +147,12 @@ class Trie:
                 below = np.bincount(at, np.where(known, short_counts[place], 0.0), len(contexts))
             self.levels.append((keys, counts, contexts, total, kinds, below))
 
+    @classmethod
+    def of(cls, levels: list) -> Trie:
+        trie = cls.__new__(cls)
+        trie.levels = levels
+        return trie
+
     @staticmethod
     def _mask(order: int) -> np.uint64:
         return np.uint64((1 << (8 * (order + 1))) - 1)
@@ -144,9 +165,9 @@ class Trie:
         return place, table[place] == wanted
 
     def index(self) -> Trie:
-        """Hash the rows of the longest order, where most lookups end: two slots a key, four free slots a row."""
+        """Hash the rows of the longest order, where most lookups end: two slots a key, two to four slots a row."""
         keys, counts, contexts, total, kinds, _ = self.levels[ORDER]
-        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        self.shift = np.uint64(64 - max(4, (2 * len(keys)).bit_length()))
         self.slots = np.full((1 << (64 - int(self.shift))) + 1, np.uint64((1 << 64) - 1))
         self.logs = np.zeros(len(self.slots))
         if len(keys):
@@ -205,13 +226,36 @@ class Trie:
         return out
 
 
+def _as_chunks(value) -> pd.DataFrame:
+    whole = zlib.compress(pickle.dumps(value, protocol=5), 1)
+    parts = [whole[at: at + _CHUNK] for at in range(0, len(whole), _CHUNK)]
+    return pd.DataFrame({"part": np.arange(len(parts)), "piece": parts})
+
+
+def _trie_chunks(table: pd.DataFrame) -> pd.DataFrame:
+    return _as_chunks(Trie({int(o): (g["key"].to_numpy(dtype=np.int64).astype(np.uint64), g["n"].to_numpy(dtype=np.int64))
+                            for o, g in table.groupby("order")}).levels)
+
+
+def _word_chunks(table: pd.DataFrame) -> pd.DataFrame:
+    words = [w.encode("utf-8", "surrogatepass") for w in table["word"]]
+    return _as_chunks(dict(zip(words, np.log10(table["n"].to_numpy() + 1.0).tolist(), strict=True)))
+
+
+def _chunked(rows: DataFrame, build) -> bytes:
+    """``build`` of a bounded table, run in one task; the driver only passes the compressed bytes on."""
+    one = rows.withColumn("one", F.lit(0)).groupBy("one")
+    parts = one.applyInPandas(build, "part long, piece binary").collect()
+    return b"".join(bytes(r["piece"]) for r in sorted(parts, key=lambda r: r["part"]))
+
+
 def _scorer(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, frequent = shared.value
+        levels, frequent = (pickle.loads(zlib.decompress(part)) if part else None for part in shared.value)
+        trie, frequent = Trie({}) if levels is None else Trie.of(levels), frequent or {}
         trie.index()
         part, done = TaskContext.get().partitionId() << 40, 0
-        for batch in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+        for batch, texts in _small(batches):
             scores = np.zeros(len(texts))
             for first, some in _sliced(texts):
                 keys, owner = keys_of(some)
@@ -265,8 +309,11 @@ def least_bins(bins: list) -> list[int]:
     return out
 
 
-def train(docs: DataFrame, training: Column) -> tuple[Trie, DataFrame]:
-    """The byte trie, and the exact table ``word, n`` of all training tokens, from the rows where ``training`` holds."""
+def train(docs: DataFrame, training: Column) -> tuple[bytes, DataFrame]:
+    """The byte trie (compressed; no bytes if nothing was seen), and the exact table ``word, n`` of all training tokens.
+
+    Learned from the rows where ``training`` holds.
+    """
     counted = docs.where(training).select("text").mapInArrow(_counts, "word string, gram long, n long")
     counts = stage(counted.groupBy("word", "gram").agg(F.sum("n").alias("n")), "counts")
     grams = counts.where("gram IS NOT NULL")
@@ -276,10 +323,8 @@ def train(docs: DataFrame, training: Column) -> tuple[Trie, DataFrame]:
         F.col("m.order").alias("order"), F.col("gram").bitwiseAND(F.col("m.mask")).alias("key")).agg(
             F.sum("n").alias("n")).withColumn("bin", F.floor(F.log2("n") * BINS).cast("int")), "trie")
     bins = levels.groupBy("order", "bin").count().collect()  # BINS rows per doubling and order
-    kept = levels.where(F.col("bin") >= F.get(F.array(*[F.lit(b) for b in least_bins(bins)]), F.col("order"))).drop("bin").toPandas()
-    trie = Trie({int(o): (g["key"].to_numpy(dtype=np.int64).astype(np.uint64), g["n"].to_numpy(dtype=np.int64))
-                 for o, g in kept.groupby("order")})
-    return trie, counts.where("word IS NOT NULL").select("word", "n")
+    kept = levels.where(F.col("bin") >= F.get(F.array(*[F.lit(b) for b in least_bins(bins)]), F.col("order"))).drop("bin")
+    return _chunked(kept, _trie_chunks), counts.where("word IS NOT NULL").select("word", "n")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -293,8 +338,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     trie, words = train(docs, ~held_out("doc_id"))
     tokens, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = words.where(F.col("n") * FREQUENT_WORDS >= F.lit(tokens))  # FREQUENT_WORDS rows at most
-    logs = {r["word"].encode("utf-8", "surrogatepass"): math.log10(r["n"] + 1) for r in frequent.toLocalIterator()}
-    shared = docs.sparkSession.sparkContext.broadcast((trie, logs))
+    shared = docs.sparkSession.sparkContext.broadcast((trie, _chunked(frequent, _word_chunks)))
     scored = stage(docs.select("doc_id", "text").mapInArrow(_scorer(shared), _SCORED), "scored")
     pairs = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("p")).select(
         "row", F.col("p.rare").alias("word"), F.col("p.times").alias("times"))
