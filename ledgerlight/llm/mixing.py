@@ -142,7 +142,7 @@ def in_mixture_order(docs: DataFrame, weights: Mapping[str, float] | None = None
     order = schedule(docs, weights).where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.min("slot").alias("slot"), F.min_by("place", "slot").alias("place"))
     rows = docs.select("doc_id", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    ordered = rows.join(order, "doc_id", "left")
+    ordered = rows.join(order.hint("merge"), "doc_id", "left")  # grows with the documents: never a table to broadcast
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     keys = [F.col("slot").asc_nulls_last(), F.col("place").asc_nulls_last()]
     return ordered.repartitionByRange(int(parts), *keys).sortWithinPartitions(*keys).select(
