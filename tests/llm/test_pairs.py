@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -293,6 +294,25 @@ def test_bounded_trie_keeps_the_commonest_rows():
     assert set(ppm.least_bins(bins)) == {1}
 
 
+def test_no_context_of_the_corpus_is_dropped(spark):
+    draw = random.Random(11)
+    made = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ -", k=40_000)) for _ in range(24)]
+    rows = [(n, text) for n, text in enumerate(made)] + [(100 + n, made[n][500:540] + made[n + 1][900:930]) for n in range(9)]
+    learned = [b"\0" * ppm.ORDER + t.encode() + b"\0" for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    assert len({s[at - 5: at + 1] for s in learned for at in range(5, len(s))}) > ppm.TRIE_ROWS
+    wanted = [b"\0" * ppm.ORDER + t.encode() + b"\0" for d, t in rows if d >= 100]
+    contexts = {s[at - order: at] for s in wanted for at in range(ppm.ORDER, len(s)) for order in range(ppm.ORDER + 1)}
+    counts = [collections.defaultdict(collections.Counter) for _ in range(ppm.ORDER + 1)]
+    for s in learned:
+        for at in range(ppm.ORDER, len(s)):
+            for order in range(ppm.ORDER + 1):
+                if s[at - order: at] in contexts:
+                    counts[order][s[at - order: at]][s[at]] += 1
+    got = {r["doc_id"]: r["score"] for r in ppm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, text in rows[24:]:
+        assert math.isclose(got[d], plain_ppm(counts, text), rel_tol=1e-9)
+
+
 def test_large_ids_survive(docs):
     for job in (pivot_simhash.near_duplicates, phrases.remove_repeats, ppm.score_documents, fingerprints.edited_fingerprints):
         assert job(docs).where(f"doc_id = {BIG}").count() == 1
