@@ -4,7 +4,8 @@
 2. ``near_duplicates`` keeps one document of each group of SimHash near-duplicates.
 3. ``secrets`` masks secrets in the texts; no document goes.
 4. ``mixture`` orders the documents by the target mixture of their sources, across the files it is written to.
-5. ``packing`` packs all documents into token sequences and returns one row per piece.
+5. ``packing`` packs all documents into token sequences, in consecutive runs of the mixture (whose order it derives again from
+   the documents, since files have none), and returns one row per piece.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    return packing.pack_in_order(docs, mixing.order_of(docs))
 
 
 STAGES = [

@@ -134,13 +134,18 @@ def schedule(
         "doc_id", "source", "block", "slot", "release", "deadline", "place")
 
 
+def order_of(docs: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
+    """``doc_id, slot, place``: where each ``doc_id`` of ``docs`` stands in the mixture, one row for each."""
+    return schedule(docs, weights).where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min("slot").alias("slot"), F.min_by("place", "slot").alias("place"))
+
+
 def in_mixture_order(docs: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
     """All rows of ``docs`` with their columns, sorted into the mixture across the files they are written to.
 
     Rows without ``doc_id`` go last.
     """
-    order = schedule(docs, weights).where("doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.min("slot").alias("slot"), F.min_by("place", "slot").alias("place"))
+    order = order_of(docs, weights)
     rows = docs.select("doc_id", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     ordered = rows.join(order.hint("merge"), "doc_id", "left")  # grows with the documents: never a table to broadcast
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")

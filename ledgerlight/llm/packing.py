@@ -5,6 +5,9 @@ are dealt by hash into groups of a bounded number, and each group is packed in o
 goes to the open sequence whose choice leaves the smallest sum of squared counts of open sequences per residual
 gap; a new sequence is opened only if none has room.  A group wastes a few sequences whatever its size, so
 large groups (100,000 pieces, a few megabytes of lengths) waste a few in ten thousand.
+
+Where an order of the documents is given, the groups are consecutive runs of it instead, and sequences are numbered
+by run, inside a run by the place of their longest piece.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import ship_by_value, stage
@@ -114,6 +117,55 @@ def pack(cut: DataFrame, group_pieces: int = GROUP_PIECES) -> DataFrame:
     return packed.unionByName(whole)
 
 
+def _packed_run(table: pa.Table) -> pa.Table:
+    order = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]
+    table = table.sort_by(order)
+    lengths, position = table.column("length").to_numpy(), table.column("position").to_numpy()
+    whole = int(np.count_nonzero(lengths == SEQUENCE))  # the first rows
+    bins, offsets = sum_of_squares(lengths[whole:])
+    bins, offsets = np.r_[np.arange(whole), bins + whole], np.r_[np.zeros(whole, dtype=np.int64), offsets]
+    _, first = np.unique(bins, return_index=True)  # a bin's longest piece opened it
+    number = np.empty(len(first), dtype=np.int64)
+    number[np.argsort(position[first])] = np.arange(len(first))
+    run = table.column("run").to_numpy()
+    return table.drop_columns(["run", "position"]).append_column(
+        "sequence_id", pa.array((run << 32) + number[bins])).append_column("offset", pa.array(offsets))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """``rows`` with their ``position`` by ``slot, place`` in place of these; counts are added up over two levels of slots."""
+    fine = rows.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).withColumn("coarse", F.expr("slot div 4096"))
+    coarse = fine.groupBy("coarse").agg(F.sum("n").alias("n"))
+
+    def before(*partition: str, order: str):
+        span = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("n").over(span), F.lit(0))
+
+    coarse = coarse.select("coarse", before(order="coarse").alias("coarse_before"))  # one row per 4,096 slots
+    fine = fine.withColumn("fine_before", before("coarse", order="slot")).join(coarse, "coarse").select(
+        "slot", (F.col("fine_before") + F.col("coarse_before")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("slot").orderBy("place", "doc_id", "piece", "ids_crc32")) - 1
+    return rows.withColumn("inside", inside).join(fine.hint("merge"), "slot").select(
+        *[c for c in rows.columns if c not in ("slot", "place")], (F.col("before") + F.col("inside")).alias("position"))
+
+
+def pack_in_order(docs: DataFrame, order: DataFrame, vocabulary: str | None = None, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """As :func:`pack_documents`, in the order ``doc_id, slot, place`` (one row an id): a run of at most ``group_pieces``
+    consecutive pieces, long and short, shares no sequence with another run, and ``sequence_id`` rises with the runs.
+
+    Documents that ``order`` lacks, those without id among them, come behind the others as :func:`pack` deals them.
+    """
+    cut = stage(pieces(docs, vocabulary), "pieces")
+    ranked = cut.join(order.hint("merge"), "doc_id", "left")
+    placed = stage(_ranked(ranked.where("slot IS NOT NULL")).withColumn("run", F.floor(F.col("position") / group_pieces)), "runs")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
+    packed = placed.groupBy("run").applyInArrow(_packed_run, f"{schema}, sequence_id long, offset long")
+    runs = placed.agg(F.coalesce(F.max("run") + 1, F.lit(0))).first()[0]
+    rest = pack(ranked.where("slot IS NULL").drop("slot", "place"), group_pieces)
+    return packed.unionByName(rest.withColumn("sequence_id", F.expr(
+        f"IF(sequence_id < 0, {(runs + (1 << 20)) << 32}L - sequence_id, sequence_id + {runs << 32}L)")))
+
+
 def pack_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for every piece of ``docs(doc_id, text, ...)``.
 

@@ -1,9 +1,11 @@
 """The pipeline's stages against their operators' brute-force checks, on a small table."""
 
+import collections
+
 import corpus_pipeline
 import pytest
 
-from ledgerlight.llm import pivot_simhash, secret_scan, toxicity
+from ledgerlight.llm import mixing, packing, pivot_simhash, secret_scan, toxicity
 from ledgerlight.llm.queries import ORACLES, QUERIES
 
 from .conftest import SCHEMA, hard_rows, prose, rows_of
@@ -55,6 +57,31 @@ def test_run_gives_the_last_stage(spark, tables):
     assert got.groupBy("sequence_id").sum("length").where("`sum(length)` > 1024").count() == 0
 
 
+def test_packing_follows_the_mixture(spark, tmp_path):
+    rows = [(n, prose(40_000 + n % 50, 300), "en", "hot" if n % 10 else "cold", 0) for n in range(3000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.repartition(7, "doc_id").write.parquet(f"{tmp_path}/docs")
+    mixed = spark.read.parquet(f"{tmp_path}/docs")
+    by_weight = mixing.schedule(mixed, cycle=8, block=8_192).select("doc_id", "slot", "place")
+    order = {r["doc_id"]: (r["slot"], r["place"]) for r in by_weight.collect()}
+    got = packing.pack_in_order(mixed, by_weight, group_pieces=200).collect()
+    assert {r["doc_id"] for r in got} == {r[0] for r in rows} and len({(r["doc_id"], r["piece"]) for r in got}) == len(got)
+    runs = collections.defaultdict(list)
+    for r in got:
+        runs[r["sequence_id"] >> 32].append((order[r["doc_id"]], r["doc_id"], r["piece"]))
+    assert sorted(runs) == list(range(-(-len(got) // 200))) and max(map(len, runs.values())) == 200
+    assert [x for k in sorted(runs) for x in sorted(runs[k])] == sorted(x for v in runs.values() for x in v)
+    chars = collections.Counter()
+    for d, text, _, source, _ in rows:
+        chars[source] += len(text) + 1
+    want = chars["cold"] ** 0.5 / (chars["cold"] ** 0.5 + chars["hot"] ** 0.5)
+    tokens = collections.Counter()
+    for r in sorted(got, key=lambda r: r["sequence_id"]):
+        if tokens.total() < 0.2 * sum(x["length"] for x in got):
+            tokens[r["doc_id"] % 10 == 0] += r["length"]
+    assert abs(tokens[True] / tokens.total() - want) < 0.05
+
+
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES) and pivot_simhash.LIMIT == 2
