@@ -135,6 +135,15 @@ def near_links(marks: DataFrame) -> DataFrame:
     return cells.mapInPandas(_near_in_cells, "a long, b long").distinct()
 
 
+def _named(marks: DataFrame) -> DataFrame:
+    """``mark, least, root, component_id`` of every distinct fingerprint: its smallest id, its component and that one's name."""
+    classes = stage(marks.groupBy("mark").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    roots = components(near_links(classes), "a", "b")
+    grouped = classes.join(roots, classes["mark"] == roots["node"], "left").select(
+        "mark", "least", F.coalesce("root", "mark").alias("root"))
+    return grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs(doc_id, text, ...)``.
 
@@ -142,25 +151,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``doc_id`` takes part but never names a component.  Other columns are ignored.  An empty table gives no rows.
     """
     marks = stage(fingerprints(docs), "simhash")
-    classes = stage(marks.groupBy("mark").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    roots = components(near_links(classes), "a", "b")
-    grouped = classes.join(roots, classes["mark"] == roots["node"], "left").select(
-        "mark", "least", F.coalesce("root", "mark").alias("root"))
-    names = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(names, "root").select("mark", "component_id")
+    named = _named(marks).select("mark", "component_id")
     return marks.join(named, "mark").select(
         "doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _with_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for marked in _fingerprints(iter([batch])):
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("row"), marked.column("mark")], ["doc_id", "row", "mark"])
+
+
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: the smallest ``doc_id`` of each component stays, one row of it.
 
-    Rows without ``doc_id`` stay: no decision can name them.
+    Rows are judged by id and fingerprint, so an id with different texts keeps those that lead their components.  Of
+    rows with the same id and fingerprint the smallest text stays.  Rows without ``doc_id`` stay: no decision can name them.
     """
-    groups = stage(near_duplicates(docs), "simhash-groups")
-    dropped = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    marks = stage(fingerprints(docs), "simhash")
+    lead = F.min(F.struct("least", "mark")).alias("lead")
+    stay = stage(_named(marks).where("least IS NOT NULL").groupBy("root").agg(lead).select(
+        F.col("lead.least").alias("doc_id"), F.col("lead.mark").alias("mark")), "simhash-leads")
+    ids = marks.where("doc_id IS NOT NULL").groupBy("doc_id").count()
+    dropped = ids.join(stay, "doc_id", "left_anti").select("doc_id")
     kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    if groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+    if ids.where("count > 1").isEmpty():
         return kept
-    named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id IS NULL"))
+    rows = kept.where("doc_id IS NOT NULL").select("doc_id", "text", F.struct(*[kept[c] for c in docs.columns]).alias("row"))
+    marked = rows.mapInArrow(_with_marks, f"doc_id long, row {rows.schema['row'].dataType.simpleString()}, mark long")
+    led = marked.join(stay, ["doc_id", "mark"]).groupBy("doc_id", "mark").agg(
+        F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
+    return led.select("row.*").unionByName(kept.where("doc_id IS NULL"))

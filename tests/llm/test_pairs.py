@@ -294,6 +294,13 @@ def test_bounded_trie_keeps_the_commonest_rows():
     assert set(ppm.least_bins(bins)) == {1}
 
 
+def test_an_id_with_different_texts_keeps_those_that_lead(spark):
+    a, b, c = prose(50_001, 80), prose(50_002, 80), prose(50_003, 80)
+    rows = [(5, a), (5, b), (3, b), (5, c), (5, c), (7, a), (None, a), (3, b)]
+    kept = pivot_simhash.keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(kept) == sorted([(5, a), (3, b), (5, c), (None, a)], key=repr)
+
+
 def test_no_context_of_the_corpus_is_dropped(spark):
     draw = random.Random(11)
     made = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ -", k=40_000)) for _ in range(24)]
