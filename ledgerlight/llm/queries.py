@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cross_polytope, fingerprints, mixing, packing, phrases, pivot_simhash, ppm, secret_scan, separator_scan, toxicity
+from . import (
+    cross_polytope, divergence, fingerprints, lexical_search, line_crf, mixing, packing, phrases, pivot_simhash, ppm, secret_scan,
+    separator_scan, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +115,82 @@ FROM w LEFT JOIN r ON r.doc_id = w.doc_id
 @query("op10_remove_repeats", _REPEATS_SQL)
 def remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeats(_documents(spark, sf_dir))
+
+
+@query("op11_line_quality")
+def line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.judge(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+# Every posting of every item scored.
+_SEARCH_SQL = r"""
+WITH letters AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(text, up, low), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents, letters WHERE text IS NOT NULL
+), size AS (SELECT count(*) AS n, sum(len(ts)) AS l FROM d WHERE len(ts) > 0),
+q AS (
+  SELECT item_id, t, count(*) AS k FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, up, low), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM benchmark, letters WHERE text IS NOT NULL) GROUP BY item_id, t
+), p AS (
+  SELECT r, doc_id, m, t, count(*) AS tf
+  FROM (SELECT r, doc_id, 25 + CAST((75 * len(ts) * n) // l AS BIGINT) AS m, unnest(ts) AS t FROM d, size) GROUP BY r, doc_id, m, t
+), w AS (
+  SELECT t, CAST(floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, size GROUP BY t
+), s AS (
+  SELECT item_id, r, doc_id, CAST(sum(k * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN p USING (t) JOIN w USING (t) GROUP BY item_id, r, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
+@query("op12_lexical_search", _SEARCH_SQL)
+def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+# Every kept term for every group, and every pair of groups over all of them.
+_AUDIT_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), u AS (SELECT r, lang, source, unnest(ts) AS t FROM d),
+kept AS (SELECT lang, t FROM u GROUP BY lang, t HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, t, count(*) AS n FROM u JOIN kept USING (lang, t) GROUP BY lang, source, t),
+own AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+every AS (
+  SELECT g.lang, g.source, kept.t, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(own.total, 0) + 2 * v.v) AS p
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN own USING (lang, source) LEFT JOIN c USING (lang, source, t)
+), al AS (
+  SELECT lang, t, 1 + (1000000000::HUGEINT * (sum(n) + 2)) // (any_value(total) + 2 * any_value(v)) AS q
+  FROM c JOIN (SELECT lang, sum(total) AS total FROM own GROUP BY lang) USING (lang) JOIN v USING (lang) GROUP BY lang, t
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS BIGINT) AS value
+  FROM every a JOIN every b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), terms AS (
+  SELECT lang, source, t AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value
+  FROM every JOIN al USING (lang, t) WHERE n > 0 AND p > q
+), out AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(pairs.value, 0) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN pairs ON pairs.lang = x.lang AND pairs.source = x.source AND pairs.item = y.source
+  UNION ALL SELECT lang, source, 'term', item, value FROM terms
+)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM out)
+WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query("op13_divergence_audit", _AUDIT_SQL)
+def divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_documents(spark, sf_dir))

@@ -83,5 +83,5 @@ def test_packing_follows_the_mixture(spark, tmp_path):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES) and pivot_simhash.LIMIT == 2
