@@ -39,11 +39,12 @@ _DROPPED = ("DAYS_EMPLOYED", "DAYS_REGISTRATION", "DAYS_ID_PUBLISH", "DAYS_LAST_
 _KEPT = [n for n, _ in APPLICATION_COLUMNS if n not in _DROPPED]
 _ALL = _KEPT + [n for _, n, _ in ENGINEERED.items]
 _TEXT = {"CODE_GENDER", "OCCUPATION_TYPE", "FLAG_OWN_CAR", "FLAG_OWN_REALTY"}
+ALL_COLUMNS = [*_ALL, "APPLICATION_MISSING_COUNT"]
 _INT = {"SK_ID_CURR", "TARGET", "DAYS_BIRTH", "CNT_CHILDREN", "REGION_RATING_CLIENT", "FLAG_MOBIL", "FLAG_EMAIL",
         "FLAG_WORK_PHONE"}
 
 
-def _kind(name: str) -> str:
+def column_kind(name: str) -> str:
     if name in _TEXT or name.startswith("NAME_"):
         return "t"
     return "i" if name in _INT else "f"
@@ -52,7 +53,7 @@ def _kind(name: str) -> str:
 ENGINEERED_CTE = f"""engineered AS (
   SELECT *, {" + ".join(f"CAST({n} IS NULL AS INT)" for n in _ALL)} AS APPLICATION_MISSING_COUNT
   FROM (SELECT *, {ENGINEERED.select()} FROM application_train))"""
-_KINDS = [(_kind(n), n) for n in _KEPT] + [(k, n) for k, n, _ in ENGINEERED.items] + [("i", "APPLICATION_MISSING_COUNT")]
+_KINDS = [(column_kind(n), n) for n in _KEPT] + [(k, n) for k, n, _ in ENGINEERED.items] + [("i", "APPLICATION_MISSING_COUNT")]
 
 
 @register("application_features", with_roles(
@@ -152,8 +153,8 @@ def development_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def _inventory_sql() -> str:
     parts = []
-    for name in [*_ALL, "APPLICATION_MISSING_COUNT"]:
-        kind = "categorical" if _kind(name) == "t" else "numeric"
+    for name in ALL_COLUMNS:
+        kind = "categorical" if column_kind(name) == "t" else "numeric"
         parts.append(
             f"SELECT '{name}' AS feature, '{kind}' AS kind, count(*) FILTER ({name} IS NULL) / count(*)::DOUBLE AS missing_rate,"
             f" count(DISTINCT {name}) + CAST(count(*) > count({name}) AS INT) <= 1 AS constant,"
@@ -190,7 +191,7 @@ _VARIANT_SQL = {
 def variant_columns(spark: SparkSession, sf: str) -> DataFrame:
     """Which selected features each variant keeps."""
     inventory = A.feature_inventory(development_rows(spark, sf)).where("status = 'selected'")
-    names = [*_ALL, "APPLICATION_MISSING_COUNT"]
+    names = ALL_COLUMNS
     kept = F.array(*[
         F.when(F.col("feature").isin(*[n for n in names if A.VARIANTS[v](n)]), v) for v in _VARIANT_SQL])
     return inventory.select(F.explode(F.array_compact(kept)).alias("variant"), "feature", "kind")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import rounded
+from ..operators import bootstrap as R
 from ..operators import calibration as C
 from ..operators import evaluation as E
 from ..operators.splits import assign_splits
@@ -15,7 +16,7 @@ from ..session import cut_lineage
 from ..sources.roles import role, with_roles
 from .application_queries import SPLIT_CTE
 from .common import r6, register
-from .evaluation_queries import SEGMENT, evaluation_ctes, newton_ctes, predictions
+from .evaluation_queries import METRICS, SEGMENT, evaluation_ctes, newton_ctes, predictions
 
 A, H = "application_probability", "history_probability"
 ITERATIONS = 300
@@ -63,7 +64,29 @@ def isotonic_fit(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(C.isotonic_predict(fit.select(F.col(H).alias("score")).distinct(), model, "score", "fitted"))
 
 
-@register("calibrator_comparison")
+_KNOTS_CTE = f"""pooled AS (SELECT s, n, y, row_number() OVER (ORDER BY s) AS i, sum(n) OVER (ORDER BY s) AS cn, sum(y) OVER (ORDER BY s) AS cy
+  FROM (SELECT {H} AS s, count(*) AS n, sum(TARGET) AS y FROM halves WHERE calibration_role = 'calibrator_fit' GROUP BY 1)),
+knots AS (SELECT s, max(m) AS f FROM (
+  SELECT j, k, s, min(a) OVER (PARTITION BY j ORDER BY k DESC) AS m FROM (
+    SELECT x.i AS j, y.i AS k, y.s, (y.cy - x.cy + x.y) / (y.cn - x.cn + x.n)::DOUBLE AS a FROM pooled x JOIN pooled y ON y.i >= x.i)) GROUP BY s)"""
+_CLIP = "greatest(1e-6, least(1 - 1e-6, {}))"
+
+
+@register("calibrator_comparison", with_roles(
+    f"""SELECT method, {METRICS.present()}, row_number() OVER (ORDER BY brier_score, log_loss, place) = 1 AS selected
+    FROM metrics JOIN (VALUES ('identity', 0), ('sigmoid', 1), ('isotonic', 2)) AS o(method, place) USING (method)""", *ROLES,
+    ctes=f"""{HALVES_CTE},
+base AS (SELECT * FROM halves WHERE calibration_role = 'calibrator_fit'),
+{newton_ctes()},
+{_KNOTS_CTE},
+heldout AS (SELECT * FROM halves WHERE calibration_role = 'calibrator_evaluation'),
+between AS (SELECT TARGET, {H} AS h, lo.s AS ls, lo.f AS lf, hi.s AS hs, hi.f AS hf FROM heldout
+  ASOF LEFT JOIN knots lo ON {H} >= lo.s ASOF LEFT JOIN knots hi ON {H} <= hi.s),
+calibrated AS (
+  SELECT 'identity' AS method, TARGET, {_CLIP.format(H)} AS q FROM heldout
+  UNION ALL SELECT 'sigmoid', TARGET, 1 / (1 + exp(-(calibration_intercept + calibration_slope * ln({H} / (1 - {H}))))) FROM heldout, line
+  UNION ALL SELECT 'isotonic', TARGET, {_CLIP.format("CASE WHEN ls IS NULL THEN hf WHEN hs IS NULL OR lf = hf OR ls = hs THEN lf ELSE lf + (hf - lf) * (h - ls) / (hs - ls) END")} FROM between),
+{evaluation_ctes('q', source='calibrated', groups='method')}"""))
 def calibrator_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(C.compare_calibrators(halves(spark, sf), H))
 
@@ -152,7 +175,7 @@ deltas AS (SELECT {g}it, sum(sign * brier) AS brier_score_delta, sum(sign * auc)
         "brier_score_delta", "roc_auc_delta", "average_precision_delta")) + " FROM deltas", "predictions",
     ctes=bootstrap_ctes("predictions", H, A)))
 def bootstrap_deltas(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(C.bootstrap_deltas(predictions(spark, sf), H, A, "SK_ID_CURR", ITERATIONS))
+    return rounded(R.bootstrap_deltas(predictions(spark, sf), H, A, "SK_ID_CURR", ITERATIONS))
 
 
 def _summary_sql(name: str, better: str) -> str:
@@ -165,8 +188,8 @@ def _summary_sql(name: str, better: str) -> str:
     f"SELECT count(*) AS iterations, {_summary_sql('brier_score', '< -')}, {_summary_sql('roc_auc', '>')},"
     f" {_summary_sql('average_precision', '>')} FROM deltas", "predictions", ctes=bootstrap_ctes("predictions", H, A)))
 def bootstrap_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(C.bootstrap_summary(
-        C.bootstrap_deltas(predictions(spark, sf), H, A, "SK_ID_CURR", ITERATIONS)))
+    return rounded(R.bootstrap_summary(
+        R.bootstrap_deltas(predictions(spark, sf), H, A, "SK_ID_CURR", ITERATIONS)))
 
 
 @register("promotion_gate", with_roles(
@@ -188,9 +211,9 @@ def promotion_gate(spark: SparkSession, sf: str) -> DataFrame:
     df = halves(spark, sf)
     weights, held = _weights(df), _held(df)
     mixed = C.operational_probability(held, weights, A, H)
-    deltas = C.bootstrap_deltas(
+    deltas = R.bootstrap_deltas(
         mixed, "operational_probability", H, "SK_ID_CURR", ITERATIONS, groups=["history_segment"])
-    support = C.bootstrap_summary(deltas, ["history_segment"]).select(
+    support = R.bootstrap_summary(deltas, ["history_segment"]).select(
         "history_segment", F.col("brier_score_support").alias("brier_support"))
     return rounded(C.promotion_gate(held, weights, A, H, support).select(
         "history_segment", "history_weight", "brier_support", "hybrid_brier_score", "history_brier_score",
@@ -219,7 +242,7 @@ def challenger_gates(spark: SparkSession, sf: str) -> DataFrame:
         capture = E.top_share_metrics(df, p, (0.20,)).select(F.col("event_capture_rate").alias("top_20_capture"))
         return E.attach(E.evaluate(df, p), capture)
 
-    support = C.bootstrap_summary(C.bootstrap_deltas(df, H, A, "SK_ID_CURR", ITERATIONS)).select("average_precision_support")
+    support = R.bootstrap_summary(R.bootstrap_deltas(df, H, A, "SK_ID_CURR", ITERATIONS)).select("average_precision_support")
     gated = E.challenger_gates(row(A), E.attach(row(H), support), F.col("average_precision_support"))
     return rounded(gated.select(
         "delta_average_precision", "delta_brier_score", "delta_roc_auc", "delta_top_20_capture",

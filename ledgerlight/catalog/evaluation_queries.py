@@ -288,8 +288,7 @@ def _gaps_sql(tag: str = "") -> str:
 
 def _audit(spark: SparkSession, sf: str, p: str) -> DataFrame:
     rows = Q.audit_groups(role(spark, sf, "predictions"))
-    long = Q.long_by_dimension(rows, ["gender", "age_band"], ["TARGET", p])
-    return Q.group_metrics(long, p, ["dimension", "group"], Q.review_threshold(rows, p))
+    return Q.group_audit(rows, p, ["gender", "age_band"])
 
 
 _RATES = ["event_rate", "mean_probability", "review_rate", "true_positive_rate_at_review_capacity",

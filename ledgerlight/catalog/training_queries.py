@@ -8,20 +8,24 @@ from pyspark.sql import functions as F
 from ..functions.expressions import rounded
 from ..operators import application as A
 from ..operators import preprocess as X
+from ..operators import boosting as B
+from ..operators import bootstrap as R
 from ..operators import calibration as C
 from ..operators.history import HISTORY_FLAGS, lifetime_features, source_count
 from ..operators.scoring import history_segment
 from ..operators.splits import assign_splits
+from ..operators.temporal import temporal_features
 from ..plans import training as T
 from ..session import cut_lineage
 from ..sources.roles import history_roles, role, with_roles
-from .application_queries import INVENTORY_CTE, development_rows
+from .application_queries import ALL_COLUMNS, INVENTORY_CTE, column_kind, development_rows
 from .common import r6, register
 
 NUMERIC = ("AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRICE", "EXT_SOURCE_2", "EXT_SOURCE_3",
            "EMPLOYMENT_YEARS", "CREDIT_TO_INCOME", "OWN_CAR_AGE")
 CATEGORY = ("NAME_CONTRACT_TYPE", "NAME_INCOME_TYPE", "NAME_HOUSING_TYPE", "NAME_EDUCATION_TYPE")
-SELECTION = A.Selection(NUMERIC, CATEGORY)
+CATEGORICAL_COLUMNS = [c for c in ALL_COLUMNS if column_kind(c) == "t"]
+NUMERIC_COLUMNS = [c for c in ALL_COLUMNS if column_kind(c) != "t" and not A.excluded_by_policy(c)]
 
 
 @register("median_imputation", with_roles(
@@ -84,25 +88,81 @@ def logistic_contributions(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(model.contributions(_part(df, "calibration")))
 
 
+def _stores(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str], list[str]]:
+    """Engineered applications with both stores, the columns before and the columns that the temporal store adds."""
+    tables = history_roles(spark, sf)
+    lifetime, temporal = cut_lineage(lifetime_features(tables)), cut_lineage(temporal_features(tables))
+    columns = [[c for c in store.columns if c != T.KEY] for store in (lifetime, temporal)]
+    base = A.engineer(T.merge_with_gaps(role(spark, sf, "application_train"), lifetime, columns[0]).drop("store_row_missing"))
+    full = A.burden_features(T.merge_with_gaps(base, temporal, columns[1]).drop("store_row_missing"))
+    return full, base.columns, [c for c in full.columns if c not in base.columns]
+
+
 @register("boosted_tree_challengers")
 def boosted_tree_challengers(spark: SparkSession, sf: str) -> DataFrame:
-    """Two declared variants, ensemble and ranking, with a short boosting run."""
-    df = _labelled(spark, sf).drop("split", "tuning_role")
-    splits = assign_splits(role(spark, sf, "application_train"))
-    variants = (A.Challenger("with_external", "all"), A.Challenger("without_external", "all", without_external=True))
-    base = ["TARGET", *NUMERIC, *CATEGORY]
-    runs = T.run_challengers(df, splits, base, [], variants, rounds=3, depth=3)
-    predictions = T.ensemble(runs)
-    for run in runs:
-        predictions = predictions.unionAll(run.predictions)
-    return rounded(T.rank_experiments(predictions))
+    """All declared variants over both stores, their ensemble, and the ranking on the calibration rows."""
+    frame, base, added = _stores(spark, sf)
+    matrix = T.shared_matrix(frame, assign_splits(role(spark, sf, "application_train")))
+    predictions = cut_lineage(T.run_challengers(matrix, base, added, A.CHALLENGERS))
+    return rounded(T.rank_experiments(predictions.unionByName(T.ensemble(predictions))))
+
+
+@register("collectible_variants")
+def collectible_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Variants of what an applicant can supply: metrics on calibration, and paired intervals against the full variant."""
+    tables = history_roles(spark, sf)
+    lifetime = cut_lineage(lifetime_features(tables))
+    columns = [c for c in lifetime.columns if c != T.KEY]
+    train = role(spark, sf, "application_train")
+    frame = A.obligation_ratios(A.engineer(T.merge_with_gaps(train, lifetime, columns).drop("store_row_missing")))
+    matrix = T.shared_matrix(T.with_variant_counts(frame), assign_splits(train))
+    predictions = cut_lineage(T.run_collectible(matrix, frame.columns))
+    reference = predictions.where("model = 'v1_reference'").select(T.KEY, F.col("p").alias("reference"))
+    pairs = predictions.where("model <> 'v1_reference'").join(reference, T.KEY)
+    intervals = R.bootstrap_summary(
+        R.bootstrap_deltas(pairs, "p", "reference", T.KEY, 300, groups=["model"]), ["model"]).drop("iterations")
+    return rounded(T.evaluate(predictions, "p", ["model"]).join(intervals, "model", "left"))
 
 
 @register("gain_importance_by_family")
 def gain_importance_by_family(spark: SparkSession, sf: str) -> DataFrame:
-    df = _labelled(spark, sf)
-    model = T.fit_trees(_part(df, "development"), SELECTION, rounds=3, depth=3)
-    return rounded(T.family_importance(model.gain_importance()))
+    """Split gain of the model with all temporal columns, by feature family."""
+    frame, base, added = _stores(spark, sf)
+    matrix = T.shared_matrix(frame, assign_splits(role(spark, sf, "application_train")))
+    plan = B.Plan("all", tuple(matrix.layout.places([*base, *added])))
+    forest = B.fit_plans(matrix.part("development"), [plan], T.KEY, T.TARGET)["all"]
+    return rounded(T.family_importance(B.gain_importance(spark, forest, matrix.layout)))
+
+
+def _bins_sql() -> str:
+    """Every selected numeric column of the engineered applications against its 63 quantile edges."""
+    grid = "[" + ", ".join(repr(i / B.BINS) for i in range(1, B.BINS)) + "]"
+    parts = []
+    for name in NUMERIC_COLUMNS:
+        parts.append(
+            f"SELECT '{name}' AS feature, len(list_filter(e, lambda x: x < coalesce({name}::DOUBLE, m))) AS bin, TARGET, {name} IS NULL AS gone"
+            f" FROM learned, (SELECT list_distinct(quantile_cont({name}::DOUBLE, {grid})) AS e, coalesce(quantile_cont({name}::DOUBLE, 0.5), 0) AS m"
+            " FROM learned WHERE split = 'development')")
+    return " UNION ALL ".join(parts)
+
+
+@register("shared_bin_counts", with_roles(
+    """SELECT feature, bin::BIGINT AS bin, count(*) AS rows, sum(TARGET)::BIGINT AS events FROM (
+      SELECT feature, bin, TARGET FROM placed_bins JOIN chosen USING (feature)
+      UNION ALL SELECT feature || '__missing', gone::INT, TARGET FROM placed_bins JOIN chosen USING (feature)
+        WHERE feature IN (SELECT feature FROM inventory WHERE missing_rate > 0)) GROUP BY ALL""",
+    "application_train", ctes=f"""{INVENTORY_CTE},
+chosen AS (SELECT feature FROM inventory WHERE status = 'selected' AND kind = 'numeric'),
+learned AS (SELECT SK_ID_CURR, engineered.TARGET, split, {", ".join(f"{r6(c)} AS {c}" for c in NUMERIC_COLUMNS)}
+  FROM engineered JOIN (SELECT SK_ID_CURR, split FROM splits WHERE split <> 'holdout') USING (SK_ID_CURR)),
+placed_bins AS ({_bins_sql()})"""))
+def shared_bin_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and events per bin of the shared matrix of the application columns."""
+    train = role(spark, sf, "application_train")
+    frame = A.engineer(train)
+    numeric = [c for c in frame.columns if c not in CATEGORICAL_COLUMNS]
+    matrix = T.shared_matrix(rounded(frame.select(*numeric)), assign_splits(train))
+    return B.bin_counts(matrix.rows, matrix.layout, T.TARGET)
 
 
 @register("batch_scores")

@@ -1,16 +1,15 @@
-"""Probability calibration, segment blends and the paired bootstrap."""
+"""Probability calibration and segment blends."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import clip_probability, log_loss_term, logit, poisson_one, uniform_hash
-from .evaluation import TARGET, calibration_line, evaluate, ranking_metrics, scored
+from ..functions.expressions import clip_probability, log_loss_term, logit
+from .evaluation import TARGET, calibration_line, evaluate
+from .isotonic import isotonic_fit, isotonic_predict
 from .ordering import attach
 
 METHODS = ("identity", "sigmoid", "isotonic")
@@ -30,24 +29,6 @@ def sigmoid_predict(rows: DataFrame, fit: DataFrame, probability: str, output: s
         "calibration_intercept", "calibration_slope")
 
 
-def isotonic_fit(rows: DataFrame, probability: str, target: str = TARGET) -> IsotonicRegressionModel:
-    """Monotone fit over distinct scores (equal scores are pooled before the fit)."""
-    pooled = rows.groupBy(F.col(probability).cast("double").alias("score")).agg(
-        F.avg(target).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
-    assembled = VectorAssembler(inputCols=["score"], outputCol="features").transform(pooled)
-    return IsotonicRegression(weightCol="weight").fit(assembled)
-
-
-def isotonic_predict(rows: DataFrame, model: IsotonicRegressionModel, probability: str, output: str) -> DataFrame:
-    """Interpolated fit, flat beyond the fitted range, clipped into the open unit interval."""
-    assembled = VectorAssembler(inputCols=[probability], outputCol="_features").transform(rows)
-    model = model.copy()
-    model.setFeaturesCol("_features")
-    model.setPredictionCol("_isotonic")
-    return model.transform(assembled).withColumn(output, clip_probability(F.col("_isotonic"))).drop(
-        "_features", "_isotonic")
-
-
 def calibrate(fit_rows: DataFrame, rows: DataFrame, probability: str, method: str, output: str = "calibrated",
               target: str = TARGET) -> DataFrame:
     if method == "identity":
@@ -155,55 +136,3 @@ def promotion_gate(held: DataFrame, weights: DataFrame, application: str, histor
     return table.withColumns({
         "candidate_promoted": promoted,
         "promoted_history_weight": F.when(promoted, F.col("history_weight")).otherwise(1.0)})
-
-
-# ---------------------------------------------------------------- bootstrap
-
-def bootstrap_deltas(rows: DataFrame, candidate: str, reference: str, key: str, iterations: int, seed: int = 42,
-                     groups: Sequence[str] = (), target: str = TARGET) -> DataFrame:
-    """Per iteration: candidate minus reference in Brier score, ROC AUC and average precision.
-
-    Each row gets a Poisson(1) weight from a hash of its key and the iteration, and weights are rescaled
-    so that every class keeps its size.  Both models see the same weights.  A draw of zero leaves the
-    row out of that iteration, as resampling does.
-    """
-    groups = list(groups)
-    drawn = rows.select(
-        *groups, F.col(key).alias("_key"), F.col(target).alias("_y"), F.col(candidate).alias("_a"),
-        F.col(reference).alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
-    drawn = drawn.withColumn("_draw", poisson_one(uniform_hash(F.col("_key"), F.col("iteration"), F.lit(seed)))).where(
-        F.col("_draw") > 0)
-    cells = groups + ["iteration"]
-    classes = drawn.groupBy(*cells, "_y").agg(F.sum("_draw").alias("_drawn"))
-    sizes = rows.groupBy(*groups, F.col(target).alias("_y")).agg(F.count(F.lit(1)).alias("_size"))
-    factor = classes.join(sizes, groups + ["_y"]).select(
-        *cells, "_y", (F.col("_size") / F.col("_drawn")).alias("_factor"))
-    weighted = attach(drawn, factor, cells + ["_y"], "inner").withColumn("_w", F.col("_draw") * F.col("_factor"))
-    both = weighted.select(*cells, "_y", "_w", F.explode(F.array(
-        F.struct(F.lit("candidate").alias("model"), F.col("_a").alias("_p")),
-        F.struct(F.lit("reference").alias("model"), F.col("_b").alias("_p")))).alias("_m")).select(
-        *cells, "_y", "_w", "_m.*")
-    by_model = cells + ["model"]
-    brier = both.groupBy(*by_model).agg(
-        (F.sum(F.col("_w") * (F.col("_p") - F.col("_y")) * (F.col("_p") - F.col("_y"))) / F.sum("_w")).alias("brier_score"))
-    ranks = ranking_metrics(scored(both, "_p", by_model, "_y", F.col("_w")), by_model)
-    names = ("brier_score", "roc_auc", "average_precision")
-    sign = F.when(F.col("model") == "candidate", 1.0).otherwise(-1.0)
-    return brier.join(ranks, by_model).groupBy(*cells).agg(
-        *[F.sum(sign * F.col(n)).alias(f"{n}_delta") for n in names])
-
-
-TIE = 1e-12  # differences up to here are rounding
-
-
-def bootstrap_summary(deltas: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    """Mean, 95 % interval and share of iterations in favour of the candidate (rows = iterations)."""
-    out = []
-    for name, better in (("brier_score", -1), ("roc_auc", 1), ("average_precision", 1)):
-        c = F.col(f"{name}_delta")
-        out += [
-            F.avg(c).alias(f"{name}_mean"),
-            F.percentile(c, F.lit(0.025)).alias(f"{name}_low"),
-            F.percentile(c, F.lit(0.975)).alias(f"{name}_high"),
-            F.avg(F.when(c * better > TIE, 1.0).otherwise(0.0)).alias(f"{name}_support")]
-    return deltas.groupBy(*groups).agg(F.count(F.lit(1)).alias("iterations"), *out)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import clip_probability, log_loss_term, logit, ratio
+from ..session import cut_lineage
 from .ordering import attach, exact_quantiles, running_totals
 
 TARGET = "TARGET"
@@ -113,25 +114,26 @@ def top_share_metrics(rows: DataFrame, probability: str, shares: Sequence[float]
     )
 
 
-def decile_bins(rows: DataFrame, probability: str, groups: Sequence[str] = (), target: str = TARGET,
-                bins: int = 10) -> DataFrame:
+def deciles_of(table: DataFrame, groups: Sequence[str] = (), bins: int = 10) -> DataFrame:
     """Equal-count bins: interpolated quantile edges, repeated edges merged, right-closed.
 
-    A score belongs to the bin of the first edge that is not below it, so merged edges simply leave
-    their bin empty.  Adds ``bin`` to the distinct-score table.
+    ``table`` has distinct scores with ``n`` and ``n_before``.  A score belongs to the bin of the first edge that is not
+    below it, so merged edges simply leave their bin empty.  Adds ``bin``.
     """
     groups = list(groups)
-    table = with_counts(scored(rows, probability, groups, target))
-    inner = [i / bins for i in range(1, bins)]
-    edges = exact_quantiles(table, "p", "n", inner, groups)
+    edges = exact_quantiles(table, "p", "n", [i / bins for i in range(1, bins)], groups)
     # At most ``bins - 1`` edges per group.
     edges = edges.groupBy(*groups).agg(F.sort_array(F.collect_set("quantile")).alias("edges"))
     return attach(table, edges, groups).withColumn(
         "bin", F.size(F.filter("edges", lambda e: e < F.col("p"))).cast("bigint")).drop("edges")
 
 
-def reliability(rows: DataFrame, probability: str, groups: Sequence[str] = (), target: str = TARGET) -> DataFrame:
-    binned = decile_bins(rows, probability, groups, target)
+def decile_bins(rows: DataFrame, probability: str, groups: Sequence[str] = (), target: str = TARGET,
+                bins: int = 10) -> DataFrame:
+    return deciles_of(with_counts(scored(rows, probability, groups, target)), groups, bins)
+
+
+def reliability_of(binned: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     return binned.groupBy(*groups, "bin").agg(
         F.sum("n").alias("rows"),
         (F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("mean_probability"),
@@ -139,55 +141,100 @@ def reliability(rows: DataFrame, probability: str, groups: Sequence[str] = (), t
     ).withColumn("absolute_error", F.abs(F.col("observed_rate") - F.col("mean_probability")))
 
 
+def reliability(rows: DataFrame, probability: str, groups: Sequence[str] = (), target: str = TARGET) -> DataFrame:
+    return reliability_of(decile_bins(rows, probability, groups, target), groups)
+
+
+def error_of(bins: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    return bins.groupBy(*groups).agg(
+        (F.sum(F.col("absolute_error") * F.col("rows")) / F.sum("rows")).alias("expected_calibration_error"))
+
+
 def expected_calibration_error(rows: DataFrame, probability: str, groups: Sequence[str] = (),
                                target: str = TARGET) -> DataFrame:
-    return reliability(rows, probability, groups, target).groupBy(*groups).agg(
-        (F.sum(F.col("absolute_error") * F.col("rows")) / F.sum("rows")).alias("expected_calibration_error"))
+    return error_of(reliability(rows, probability, groups, target), groups)
 
 
 def calibration_line(rows: DataFrame, probability: str, groups: Sequence[str] = (), target: str = TARGET,
                      steps: int = 25, tolerance: float = 1e-11) -> DataFrame:
-    """Slope and intercept of an unpenalised logistic fit of the target on the score's log odds.
+    """Slope and intercept of an unpenalised logistic fit of the target on the score's log odds."""
+    pooled = rows.select(
+        *groups, logit(F.col(probability)).alias("_x"), F.col(target).cast("double").alias("_y")
+    ).groupBy(*groups, "_x").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_k"))
+    return lines_of(cut_lineage(pooled), groups, steps, tolerance)
+
+
+COARSE_STEPS = 32  # bins of one unit of log odds in the rough fit; clipped log odds span 28 units
+COARSE_GROUPS = 200
+
+
+def _newton_step(sums: tuple, a: float, b: float) -> tuple[float, float] | None:
+    g0, g1, h00, h01, h11 = (s or 0.0 for s in sums)
+    det = h00 * h11 - h01 * h01
+    if det <= 0.0:  # one distinct score: no slope
+        return None
+    return a + (h11 * g0 - h01 * g1) / det, b + (h00 * g1 - h01 * g0) / det
 
-    Newton's method on two coefficients per group, all groups in one aggregate per step over the pooled
-    distinct scores.  Only five sums per group and step reach the driver, as in any iterative fit; a group
-    with a single class has no fit and gets NULL.
+
+def _rough_lines(pooled: DataFrame, groups: list[str], state: dict) -> None:
+    """Better starting points, from log odds in coarse bins (under a thousand rows a group, a few groups)."""
+    rows = pooled.groupBy(*groups, F.floor(F.col("_x") * COARSE_STEPS).alias("_bin")).agg(
+        F.sum("_n").alias("n"), F.sum("_k").alias("k"), (F.sum(F.col("_n") * F.col("_x")) / F.sum("_n")).alias("x")).collect()
+    tables: dict[tuple, list] = {}
+    for r in rows:
+        tables.setdefault(tuple(r[g] for g in groups), []).append((r.n, r.k, r.x))
+    for key, table in tables.items():
+        line = start = state[key]
+        for _ in range(8):
+            if line is None or line[0] is None:
+                break
+            sums = [0.0] * 5
+            for n, k, x in table:
+                p = 1 / (1 + math.exp(-max(-700.0, min(700.0, line[0] + line[1] * x))))
+                w, r = n * p * (1 - p), k - n * p
+                for i, v in enumerate((r, r * x, w, w * x, w * x * x)):
+                    sums[i] += v
+            line = _newton_step(tuple(sums), *line)
+        if line is not None and line[0] is not None and all(map(math.isfinite, line)):
+            state[key] = line
+        else:
+            state[key] = start
+
+
+def lines_of(pooled: DataFrame, groups: Sequence[str] = (), steps: int = 25, tolerance: float = 1e-11) -> DataFrame:
+    """The logistic fits of every group of a staged table ``groups, _x, _n, _k`` (log odds, rows, events).
+
+    Newton's method on two coefficients per group, all groups in one aggregate per step.  Only five sums per group and step
+    reach the driver, as in any iterative fit; a group with a single class has no fit and gets NULL.
     """
     groups = list(groups)
-    pooled = rows.select(
-        *groups, logit(F.col(probability)).alias("_x"), F.col(target).cast("double").alias("_y")
-    ).groupBy(*groups, "_x").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_k")).persist()
     schema = T.StructType([*pooled.select(*groups).schema.fields,
                            T.StructField("_a", T.DoubleType()), T.StructField("_b", T.DoubleType())])
-    try:
-        totals = pooled.groupBy(*groups).agg(F.sum("_n").alias("n"), F.sum("_k").alias("k")).collect()
-        state = {
-            tuple(r[g] for g in groups):
-            (math.log(r.k / (r.n - r.k)), 0.0) if r.n and 0 < r.k < r.n else (None, None)
-            for r in totals}
-        for _ in range(steps):
-            current = _with_line(pooled, groups, state, schema)
-            p = 1 / (1 + F.exp(-(F.col("_a") + F.col("_b") * F.col("_x"))))
-            w, r = F.col("_n") * p * (1 - p), F.col("_k") - F.col("_n") * p
-            sums = current.where(F.col("_a").isNotNull()).groupBy(*groups).agg(
-                F.sum(r).alias("g0"), F.sum(r * F.col("_x")).alias("g1"), F.sum(w).alias("h00"),
-                F.sum(w * F.col("_x")).alias("h01"), F.sum(w * F.col("_x") * F.col("_x")).alias("h11")).collect()
-            moved = 0.0
-            for s in sums:
-                key = tuple(s[g] for g in groups)
-                det = (s.h00 or 0.0) * (s.h11 or 0.0) - (s.h01 or 0.0) ** 2
-                if det <= 0.0:  # one distinct score: no slope
-                    state[key] = (None, None)
-                    continue
-                da = (s.h11 * s.g0 - s.h01 * s.g1) / det
-                db = (s.h00 * s.g1 - s.h01 * s.g0) / det
-                state[key] = (state[key][0] + da, state[key][1] + db)
-                moved = max(moved, abs(da), abs(db))
-            if moved < tolerance:
-                break
-    finally:
-        pooled.unpersist()
-    table = rows.sparkSession.createDataFrame([(*k, *v) for k, v in state.items()], schema)
+    totals = pooled.groupBy(*groups).agg(F.sum("_n").alias("n"), F.sum("_k").alias("k")).collect()
+    state = {
+        tuple(r[g] for g in groups):
+        (math.log(r.k / (r.n - r.k)), 0.0) if r.n and 0 < r.k < r.n else (None, None)
+        for r in totals}
+    if len(state) <= COARSE_GROUPS:
+        _rough_lines(pooled, groups, state)
+    for _ in range(steps):
+        current = _with_line(pooled, groups, state, schema)
+        p = 1 / (1 + F.exp(-(F.col("_a") + F.col("_b") * F.col("_x"))))
+        w, r = F.col("_n") * p * (1 - p), F.col("_k") - F.col("_n") * p
+        sums = current.where(F.col("_a").isNotNull()).groupBy(*groups).agg(
+            F.sum(r).alias("g0"), F.sum(r * F.col("_x")).alias("g1"), F.sum(w).alias("h00"),
+            F.sum(w * F.col("_x")).alias("h01"), F.sum(w * F.col("_x") * F.col("_x")).alias("h11")).collect()
+        moved = 0.0
+        for s in sums:
+            key = tuple(s[g] for g in groups)
+            before = state[key]
+            after = _newton_step((s.g0, s.g1, s.h00, s.h01, s.h11), *before) if before[0] is not None else None
+            state[key] = after or (None, None)
+            if after:
+                moved = max(moved, abs(after[0] - before[0]), abs(after[1] - before[1]))
+        if moved < tolerance:
+            break
+    table = pooled.sparkSession.createDataFrame([(*k, *v) for k, v in state.items()], schema)
     return table.select(
         *groups, F.col("_a").alias("calibration_intercept"), F.col("_b").alias("calibration_slope"))
 
@@ -199,7 +246,7 @@ def _with_line(pooled: DataFrame, groups: list[str], state: dict, schema: T.Stru
         return pooled.withColumns({
             "_a": F.lit(a).cast("double"), "_b": F.lit(b).cast("double")})
     table = pooled.sparkSession.createDataFrame([(*k, *v) for k, v in state.items()], schema)
-    return pooled.join(table, groups)
+    return attach(pooled, table, groups, "inner")
 
 
 def full_report(rows: DataFrame, probability: str, groups: Sequence[str] = (), target: str = TARGET) -> DataFrame:

@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import clip_probability, ratio, right_closed_band
-from .evaluation import (
-    TARGET, calibration_line, expected_calibration_error, ranking_metrics, scored, with_counts,
-)
+from ..functions.expressions import clip_probability, logit, ratio, right_closed_band
+from ..session import cut_lineage
+from .evaluation import TARGET, deciles_of, error_of, lines_of, ranking_metrics, reliability_of, scored, with_counts
 from .ordering import attach, exact_quantiles
 
 PROTECTED = ("CODE_GENDER", "DAYS_BIRTH")
@@ -81,46 +80,60 @@ def wilson(successes: Column, total: Column, z: float = 1.96) -> tuple[Column, C
             F.when(n.isNotNull(), F.least(F.lit(1.0), centre + margin)))
 
 
-def review_threshold(rows: DataFrame, probability: str, capacity: float = REVIEW_CAPACITY,
-                     target: str = TARGET) -> DataFrame:
-    """One row: the interpolated ``1 - capacity`` quantile over the whole population."""
-    totals = with_counts(scored(rows, probability, (), target))
-    return exact_quantiles(totals, "p", "n", [1.0 - capacity]).select(F.col("quantile").alias("review_threshold"))
+WHOLE = "<all>"  # the dimension of the whole population
+
+
+def score_table(rows: DataFrame, probability: str, dimensions: Sequence[str], target: str = TARGET) -> DataFrame:
+    """Distinct scores of every group of every dimension, and of all rows, with running totals: what all measures read.
 
+    Rows are pooled to ``(dimension, group, score)`` before they move.
+    """
+    keys = [(d, F.coalesce(F.col(d).cast("string"), F.lit("nan"))) for d in dimensions] + [(WHOLE, F.lit(WHOLE))]
+    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), g.alias("group")) for d, g in keys])
+    long = rows.select(probability, target, F.explode(pairs).alias("_d")).select(probability, target, "_d.*")
+    return cut_lineage(with_counts(scored(long, probability, ["dimension", "group"], target)))
 
-def long_by_dimension(rows: DataFrame, dimensions: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """One row per audited dimension (a handful), so that all dimensions share one pass."""
-    pairs = F.array(*[
-        F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("nan")).alias("group"))
-        for d in dimensions])
-    return rows.select(*keep, F.explode(pairs).alias("_d")).select(*keep, "_d.*")
+
+def group_audit(rows: DataFrame, probability: str, dimensions: Sequence[str], capacity: float = REVIEW_CAPACITY,
+                target: str = TARGET, **minimum: int) -> DataFrame:
+    """Measures of all groups at the score that fills the review capacity of the whole population."""
+    table = score_table(rows, probability, dimensions, target)
+    whole = table.where(F.col("dimension") == WHOLE)
+    threshold = exact_quantiles(whole, "p", "n", [1.0 - capacity]).select(F.col("quantile").alias("review_threshold"))
+    return measures(table.where(F.col("dimension") != WHOLE), ["dimension", "group"], threshold, **minimum)
 
 
 def group_metrics(rows: DataFrame, probability: str, groups: Sequence[str], threshold: DataFrame,
                   minimum_rows: int = 200, minimum_events: int = 20, target: str = TARGET) -> DataFrame:
     """Rates at the review threshold with intervals; ranking and calibration only for eligible groups."""
+    table = cut_lineage(with_counts(scored(rows, probability, groups, target)))
+    return measures(table, groups, threshold, minimum_rows, minimum_events)
+
+
+def measures(table: DataFrame, groups: Sequence[str], threshold: DataFrame, minimum_rows: int = 200,
+             minimum_events: int = 20) -> DataFrame:
+    """All measures of a staged score table (``groups, p, events, others, n`` and the totals before)."""
     groups = list(groups)
-    y, p = F.col(target), F.col(probability)
-    marked = attach(rows, threshold).withColumn("_sel", p >= F.col("review_threshold"))
-    sel = F.col("_sel")
-    base = marked.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(y).alias("events"),
-        F.count_if(y == 0).alias("non_events"),
-        F.avg(y).alias("event_rate"),
-        F.avg(p).alias("mean_probability"),
-        F.avg((p - y) * (p - y)).alias("brier_score"),
-        F.count_if(sel).alias("review_rows"),
-        F.count_if(sel & (y == 1)).alias("_tp"),
-        F.count_if(sel & (y == 0)).alias("_fp"),
-    )
+    p, n1, n0 = F.col("p"), F.col("events"), F.col("others")
+    selected = p >= F.col("review_threshold")
+    sums = attach(table, threshold).groupBy(*groups).agg(
+        F.sum("n").alias("rows"),
+        F.sum(n1).alias("_events"),
+        F.sum(n0).alias("non_events"),
+        (F.sum(n1) / F.sum("n")).alias("event_rate"),
+        (F.sum(p * F.col("n")) / F.sum("n")).alias("mean_probability"),
+        (F.sum(n1 * (p - 1) * (p - 1) + n0 * p * p) / F.sum("n")).alias("brier_score"),
+        F.coalesce(F.sum(F.when(selected, F.col("n"))), F.lit(0)).alias("review_rows"),
+        F.coalesce(F.sum(F.when(selected, n1)), F.lit(0)).alias("_tp"),
+        F.coalesce(F.sum(F.when(selected, n0)), F.lit(0)).alias("_fp"),
+    ).withColumnRenamed("_events", "events")
     events, others, n = F.col("events"), F.col("non_events"), F.col("rows")
     intervals = {}
     for name, k, total in (("event_rate", events, n), ("review_rate", F.col("review_rows"), n),
                            ("true_positive_rate", F.col("_tp"), events),
                            ("false_positive_rate", F.col("_fp"), others)):
         intervals[f"{name}_low"], intervals[f"{name}_high"] = wilson(k, total)
-    base = base.withColumns({
+    base = sums.withColumns({
         "review_rate": F.col("review_rows") / n,
         "true_positive_rate_at_review_capacity": ratio(F.col("_tp"), events),
         "false_positive_rate_at_review_capacity": ratio(F.col("_fp"), others),
@@ -128,10 +141,10 @@ def group_metrics(rows: DataFrame, probability: str, groups: Sequence[str], thre
         "eligible_for_comparison":
             (n >= minimum_rows) & (events >= minimum_events) & (others >= minimum_events),
     }).drop("_tp", "_fp")
-    clipped = rows.withColumn(probability, clip_probability(p))
-    for part in (ranking_metrics(scored(rows, probability, groups, target), groups),
-                 expected_calibration_error(clipped, probability, groups, target),
-                 calibration_line(rows, probability, groups, target)):
+    clipped = table.withColumn("p", clip_probability(p))
+    pooled = table.select(*groups, logit(p).alias("_x"), F.col("n").alias("_n"), n1.cast("double").alias("_k"))
+    for part in (ranking_metrics(table, groups), error_of(reliability_of(deciles_of(clipped, groups), groups), groups),
+                 lines_of(pooled, groups)):
         base = attach(base, part, groups)
     return base.withColumns({
         m: F.when(F.col("eligible_for_comparison"), F.col(m)) for m in SUPPRESSIBLE})

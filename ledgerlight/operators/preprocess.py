@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,32 +116,3 @@ def linear_stages(prep: Preparation) -> list:
             OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=False, handleInvalid="keep")]
         inputs += encoded
     return [*stages, VectorAssembler(inputCols=inputs, outputCol="features")]
-
-
-@dataclass
-class OrdinalEncoder:
-    """Alphabetical codes; unknown levels become -1."""
-
-    prep: Preparation
-    indexer: PipelineModel | None = None
-
-    def fit(self, prepared: DataFrame) -> OrdinalEncoder:
-        if self.prep.level_columns:
-            self.indexer = Pipeline(stages=[StringIndexer(
-                inputCols=self.prep.level_columns, outputCols=[f"{c}_index" for c in self.prep.level_columns],
-                handleInvalid="keep", stringOrderType="alphabetAsc")]).fit(prepared)
-        return self
-
-    @property
-    def columns(self) -> list[str]:
-        return [*self.prep.numeric_columns, *[f"{c}_code" for c in self.prep.level_columns]]
-
-    def transform(self, prepared: DataFrame) -> DataFrame:
-        out = prepared
-        if self.indexer is not None:
-            out = self.indexer.transform(out)
-            sizes = [len(labels) for labels in self.indexer.stages[0].labelsArray]
-            out = out.withColumns({
-                f"{c}_code": F.when(F.col(f"{c}_index") >= n, -1.0).otherwise(F.col(f"{c}_index"))
-                for c, n in zip(self.prep.level_columns, sizes, strict=True)})
-        return VectorAssembler(inputCols=self.columns, outputCol="features").transform(out)

@@ -1,7 +1,7 @@
-"""Training and batch scoring on Spark ML.
+"""Training, experiments and batch scoring.
 
-Boosted trees follow the reference protocol (early stopping on a stratified part of development, refit on
-all of it, metrics on calibration only); tree growth itself is Spark's.
+Experiments share one matrix of bins (``operators.boosting``), written once: every declared variant reads its own columns of it.
+Early stopping uses a stratified part of development, the refit all of it, metrics the calibration part only.
 """
 
 from __future__ import annotations
@@ -10,24 +10,30 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import credit_score, risk_grade
-from ..operators.application import Challenger, Selection, engineer, recount_missing, select_features
+from ..functions.expressions import credit_score, missing_count, risk_grade
+from ..operators.application import (
+    VARIANTS, Challenger, Selection, engineer, excluded_by_policy, select_features,
+)
+from ..operators.boosting import (
+    FIT_ROWS, HIGH_CAPACITY, STANDARD, Layout, Plan, binned_matrix, fit_plans, learn_layout, predict_all,
+)
 from ..operators.calibration import blend
 from ..operators.evaluation import evaluate
 from ..operators.history import HISTORY_FLAGS, source_count
-from ..operators.preprocess import LEVEL_SUFFIX, MISSING_SUFFIX, OrdinalEncoder, Preparation, linear_stages
+from ..operators.preprocess import LEVEL_SUFFIX, MISSING_SUFFIX, Preparation, linear_stages
 from ..operators.quality import key_violations
 from ..operators.reasons import feature_family
 from ..operators.scoring import confidence_route, history_segment
 from ..session import cut_lineage
 
 KEY, TARGET = "SK_ID_CURR", "TARGET"
+MISSING_COUNT = "APPLICATION_MISSING_COUNT"
 
 
 # ---------------------------------------------------------------- merge
@@ -106,90 +112,60 @@ def fit_linear(development: DataFrame, selection: Selection, c: float = 0.5, ite
     return LinearModel(prep, model, means)
 
 
-@dataclass
-class TreeModel:
-    encoder: OrdinalEncoder
-    model: GBTClassificationModel
-    rounds: int
+def family_importance(gains: DataFrame) -> DataFrame:
+    return gains.groupBy(feature_family(F.col("feature")).alias("family")).agg(F.sum("gain").alias("gain_share"))
 
-    def predict(self, rows: DataFrame, output: str = "model_probability") -> DataFrame:
-        kept = rows.columns
-        encoded = self.encoder.transform(self.encoder.prep.apply(rows))
-        return _probability(self.model.transform(encoded), output).select(*kept, output)
 
-    def gain_importance(self) -> DataFrame:
-        """Share of split gain per raw feature, indicators folded into their feature."""
-        spark = SparkSession.active()
-        rows = [(name.removesuffix(MISSING_SUFFIX).removesuffix(f"{LEVEL_SUFFIX}_code"), float(gain))
-                for name, gain in zip(self.encoder.columns, self.model.featureImportances.toArray(), strict=True)]
-        table = spark.createDataFrame(rows, "feature string, gain double")
-        return table.groupBy("feature").agg(F.sum("gain").alias("gain"))
+# ---------------------------------------------------------------- experiments
 
+@dataclass(frozen=True)
+class Matrix:
+    """The shared table of bins of development and calibration rows; the holdout never enters."""
 
-def family_importance(gains: DataFrame) -> DataFrame:
-    return gains.groupBy(feature_family(F.col("feature")).alias("family")).agg(F.sum("gain").alias("gain_share"))
+    rows: DataFrame  # key, target, split, tuning_role, bins
+    layout: Layout
 
+    def part(self, split: str) -> DataFrame:
+        return self.rows.where(F.col("split") == split)
 
-def fit_trees(development: DataFrame, selection: Selection, high_capacity: bool = False, rounds: int = 300,
-              step: float | None = None, depth: int | None = None, seed: int = 42) -> TreeModel:
-    """Boosted trees: find the number of rounds on the early-stop part, refit on all development rows.
 
-    ``development`` carries ``tuning_role`` (``fit`` / ``early_stop``).
-    """
-    step = step or (0.02 if high_capacity else 0.025) * 4
-    depth = depth or (6 if high_capacity else 5)
+def shared_matrix(frame: DataFrame, splits: DataFrame) -> Matrix:
+    """Bin the selected columns of ``frame`` once, with edges, levels and selection learned on development rows."""
+    rows = cut_lineage(frame.join(splits.select(KEY, "split", "tuning_role"), KEY).where("split <> 'holdout'"))
+    development = rows.where("split = 'development'").drop("split", "tuning_role")
+    layout = learn_layout(development, select_features(development))
+    return Matrix(cut_lineage(binned_matrix(rows, layout, [KEY, TARGET, "split", "tuning_role"])), layout)
 
-    def booster(n: int, **stop) -> GBTClassifier:
-        return GBTClassifier(**stop,
-            featuresCol="features", labelCol=TARGET, maxIter=n, stepSize=step, maxDepth=depth, subsamplingRate=0.85,
-            featureSubsetStrategy="0.9" if high_capacity else "0.8", minInstancesPerNode=60 if high_capacity else 80,
-            seed=seed, maxBins=64)
 
-    fit_rows = development.where("tuning_role = 'fit'")
-    tuning = OrdinalEncoder(Preparation.learn(fit_rows, selection))
-    prepared = tuning.prep.apply(development).withColumn("_stop", F.col("tuning_role") == "early_stop")
-    tuning.fit(prepared.where("NOT _stop"))
-    probe = booster(rounds, validationIndicatorCol="_stop", validationTol=1e-4).fit(tuning.transform(prepared))
-    best = max(1, probe.getNumTrees)
-    encoder = OrdinalEncoder(Preparation.learn(development, selection))
-    prepared = encoder.prep.apply(development)
-    encoder.fit(prepared)
-    return TreeModel(encoder, booster(best).fit(encoder.transform(prepared)), best)
+def run_challengers(matrix: Matrix, base: Sequence[str], added: Sequence[str], variants: Sequence[Challenger],
+                    fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``key, target, model, p`` of every declared variant on the calibration rows."""
+    plans = [Plan(v.name, tuple(matrix.layout.places(v.columns(base, added))), HIGH_CAPACITY if v.high_capacity else STANDARD)
+             for v in variants]
+    forests = fit_plans(matrix.part("development"), plans, KEY, TARGET, fit_rows)
+    return predict_all(matrix.part("calibration"), forests, [KEY, TARGET])
 
 
-# ---------------------------------------------------------------- experiments
+def ensemble(predictions: DataFrame, name: str = "fixed_equal_weight_ensemble") -> DataFrame:
+    """Equal-weight average of all models' probabilities."""
+    return predictions.groupBy(KEY, TARGET).agg(F.avg("p").alias("p")).select(KEY, TARGET, F.lit(name).alias("model"), "p")
 
-@dataclass
-class Experiment:
-    name: str
-    predictions: DataFrame
-    model: TreeModel
 
+def with_variant_counts(engineered: DataFrame) -> DataFrame:
+    """The missing count of each restricted variant, over the columns that it may read."""
+    counted = [c for c in engineered.columns if c != MISSING_COUNT and not excluded_by_policy(c)]
+    return engineered.withColumns({
+        f"{MISSING_COUNT}__{name}": missing_count(engineered, [c for c in counted if keep(c)]) for name, keep in VARIANTS.items()})
 
-def run_challengers(frame: DataFrame, splits: DataFrame, base: Sequence[str], added: Sequence[str],
-                    variants: Sequence[Challenger], **training) -> list[Experiment]:
-    """Fit every declared variant on development and predict calibration; the holdout never enters."""
-    # Read by every fit: written once to the checkpoint folder.
-    rows = cut_lineage(frame.join(splits.select(KEY, "split", "tuning_role"), KEY).where("split <> 'holdout'"))
-    development, calibration = rows.where("split = 'development'"), rows.where("split = 'calibration'")
-    out = []
-    for variant in variants:
-        names = [c for c in variant.columns(base, added) if c in frame.columns]
-        selection = select_features(development.select(*names))
-        model = fit_trees(development, selection, variant.high_capacity, **training)
-        predicted = model.predict(calibration, "p").select(
-            KEY, TARGET, F.lit(variant.name).alias("model"), "p")
-        out.append(Experiment(variant.name, predicted, model))
-    return out
-
-
-def ensemble(experiments: Sequence[Experiment], name: str = "fixed_equal_weight_ensemble") -> DataFrame:
-    """Equal-weight average of the experiments' probabilities."""
-    joined = None
-    for e in experiments:
-        joined = e.predictions if joined is None else joined.unionAll(e.predictions)
-    return joined.groupBy(KEY, TARGET).agg(F.avg("p").alias("p")).select(
-        KEY, TARGET, F.lit(name).alias("model"), "p")
+
+def run_collectible(matrix: Matrix, columns: Sequence[str], fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``key, target, model, p`` of the full variant and of those that a submitted applicant can supply."""
+    plans = []
+    for name, keep in VARIANTS.items():
+        own = [f"{MISSING_COUNT}__{name}" if c == MISSING_COUNT and name != "v1_reference" else c for c in columns if keep(c)]
+        plans.append(Plan(name, tuple(matrix.layout.places(own))))
+    forests = fit_plans(matrix.part("development"), plans, KEY, TARGET, fit_rows)
+    return predict_all(matrix.part("calibration"), forests, [KEY, TARGET])
 
 
 def rank_experiments(predictions: DataFrame) -> DataFrame:
@@ -205,8 +181,8 @@ def rank_experiments(predictions: DataFrame) -> DataFrame:
 class BatchScorer:
     """Scores applications against the store; ``weights`` holds the history weight of each segment."""
 
-    history_model: LinearModel | TreeModel
-    application_model: LinearModel | TreeModel
+    history_model: LinearModel
+    application_model: LinearModel
     weights: dict[str, float]
     store_columns: Sequence[str]
 
@@ -238,10 +214,3 @@ class BatchScorer:
 def write_sealed(df: DataFrame, path: str) -> None:
     """Holdout results are written once; an existing target is an error, not overwritten."""
     df.write.mode("errorifexists").parquet(path)
-
-
-def variant_frame(engineered: DataFrame, selection: Selection) -> DataFrame:
-    """A restricted variant counts missing cells over its own columns."""
-    if "APPLICATION_MISSING_COUNT" in selection.selected:
-        return recount_missing(engineered, selection.selected)
-    return engineered

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlight.operators import bootstrap as R
 from ledgerlight.operators import calibration as C
 from ledgerlight.operators import evaluation as E
 from ledgerlight.operators import fairness as Q
@@ -140,7 +141,7 @@ def test_bootstrap_favours_the_better_model(spark):
         y = int(i % 4 == 0)
         data.append((i, y, min(0.95, max(0.05, 0.25 + 0.5 * y + random.uniform(-.2, .2))), random.uniform(0.05, 0.6)))
     df = spark.createDataFrame(data, "id long, TARGET int, good double, bad double")
-    s = C.bootstrap_summary(C.bootstrap_deltas(df, "good", "bad", "id", 15)).first()
+    s = R.bootstrap_summary(R.bootstrap_deltas(df, "good", "bad", "id", 15)).first()
     assert s.brier_score_support == 1.0 and s.roc_auc_support == 1.0 and s.average_precision_low > 0
 
 
