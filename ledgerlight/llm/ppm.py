@@ -33,12 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import ship_by_value, stage
+from .staging import lean, release, ship_by_value, stage
 
 ship_by_value(__name__)
 
 ORDER = 5
-TRIE_ROWS = 1 << 19  # for least_bins alone: no score depends on it
 NEAR = 2  # orders up to this one are read by every shard
 PIECE_BYTES = 32 << 20
 PIECE_ROWS = 1 << 20
@@ -175,13 +174,14 @@ def _first_pass(shards: int):
             if held >= PIECE_BYTES or texts_held + _ROWS > PIECE_ROWS:
                 yield closed(piece, grams)
                 grams, piece, held, texts_held = [], piece + 1, 0, 0
+                release()
         if grams:
             yield closed(piece, grams)
         if ends:
             words[END_WORD.encode()] += ends
         yield rows(word=[w.decode("utf-8", "surrogatepass") for w in words], n=list(words.values()))
 
-    return first
+    return lean(first)
 
 
 def _lower_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,10 +316,11 @@ def _answers(shared):
         trie = Trie({o: _summed(keys[seen] & Trie._mask(o), times[seen]) for o in range(NEAR + 1, ORDER + 1)},
                     pickle.loads(zlib.decompress(lower)) if lower else Trie({}, top=NEAR).levels)
         logs = np.concatenate([trie.log10(keys[at: at + _SLICE]) for at in range(0, len(keys), _SLICE)])
-        return pa.table([
-            table.column("piece"), table.column("shard"), table.column("blob"),
-            pa.array([_squeezed(logs[np.searchsorted(keys, some)]) for some in asked], pa.binary())],
-            ["piece", "shard", "blob", "times"])
+        answers = pa.array([_squeezed(logs[np.searchsorted(keys, some)]) for some in asked], pa.binary())
+        del asked, times, keys, logs, trie, seen
+        release()
+        return pa.table([table.column("piece"), table.column("shard"), table.column("blob"), answers],
+                        ["piece", "shard", "blob", "times"])
 
     return answer
 
@@ -363,6 +364,8 @@ def _scorer(shared):
                 pa.ListArray.from_arrays(cuts, names), pa.ListArray.from_arrays(cuts, pa.array(times, pa.int32()))],
                 ["row", "doc_id", "n_tokens", "known", "logs", "score", "rare", "times"]))
             row += len(texts)
+        del logs, of_shard, frequent
+        release()
         return pa.Table.from_batches(out)
 
     return score
@@ -372,22 +375,6 @@ _SCORED = ("row long, doc_id long, n_tokens long, known long, logs double, score
            "rare array<string>, times array<int>")
 
 
-def least_bins(bins: list) -> list[int]:
-    """For each order, the smallest bin of counts that keeps at most ``TRIE_ROWS`` rows; the scores do not use it.
-
-    It never falls with the order, so a kept context's symbols are kept in the shorter context, too.
-    """
-    out = []
-    for order in range(ORDER + 1):
-        sizes = {r["bin"]: r["count"] for r in bins if r["order"] == order}
-        least, rows = max(sizes, default=0) + 1, 0
-        while least > 0 and rows + sizes.get(least - 1, 0) <= TRIE_ROWS:
-            least -= 1
-            rows += sizes.get(least, 0)
-        out.append(max([least, *out[-1:]]))
-    return out
-
-
 def score_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs(doc_id, text, ...)``.
 
@@ -404,7 +391,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     words = stage(passed.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "words")
     tokens, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = words.where(F.col("n") * FREQUENT_WORDS >= F.lit(tokens))  # FREQUENT_WORDS rows at most
-    lower = passed.where(F.col("shard") == _LOWER).select("blob", "times").mapInArrow(_lower_rows, "key long, n long").groupBy(
+    lower = passed.where(F.col("shard") == _LOWER).select("blob", "times").mapInArrow(lean(_lower_rows), "key long, n long").groupBy(
         "key").agg(F.sum("n").alias("n"))
     shared = spark.sparkContext.broadcast((_chunked(lower, _lower_chunks), _chunked(frequent, _word_chunks)))
     parts = passed.where("word IS NULL").select("piece", "shard", "blob", "times")

@@ -7,10 +7,15 @@ folder is used, and only on a ``local`` master (tests, a laptop).
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +49,29 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 def ship_by_value(module: str) -> None:
     """Pickle the functions of ``module`` whole, so that tasks need no copy of this package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+ship_by_value(__name__)
+
+
+def release() -> None:
+    """Give freed memory back to the machine: Spark uses Python workers again, for other jobs too."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def lean(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``task`` over a partition, with what it freed released at the end."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            release()
+
+    return run
