@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import ship_by_value, stage
+from .staging import lean, release, ship_by_value, stage
 
 ship_by_value(__name__)
 
@@ -64,16 +64,16 @@ def gram_hashes(tokens: list[bytes], sizes: tuple[int, ...]) -> list[np.ndarray]
     return out
 
 
-def named_grams(grams: np.ndarray) -> np.ndarray:
-    """For every window, the place of the smallest gram inside it."""
+def window_minima(grams: np.ndarray) -> np.ndarray:
+    """For every window, the smallest gram hash inside it, from minima of runs that are doubled up."""
     inside = WINDOW - GRAM + 1
     if len(grams) < inside:
-        return np.zeros(0, dtype=np.int64)
-    places = []
-    for at in range(0, len(grams) - inside + 1, 1 << 15):  # long texts in slices
-        view = np.lib.stride_tricks.sliding_window_view(grams[at: at + (1 << 15) + inside - 1], inside)
-        places.append(view.argmin(axis=1) + np.arange(at, at + len(view)))
-    return np.concatenate(places)
+        return grams[:0]
+    least, width = grams, 1
+    while 2 * width <= inside:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    return np.minimum(least[: len(grams) - inside + 1], least[inside - width:])
 
 
 def _digest(tokens: list[bytes]) -> str:
@@ -97,7 +97,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 named.append(np.zeros(0, dtype=np.int64))
                 continue
             (grams,) = gram_hashes(tokens, (GRAM,))
-            named.append(np.unique(grams[np.unique(named_grams(grams))]).view(np.int64))
+            named.append(np.unique(window_minima(grams)).view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), _lists(named, pa.int64())],
             ["doc_id", "n_words", "whole_sha256", "grams"])
@@ -110,7 +110,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(tokens) < WINDOW:
                 continue
             grams, windows = gram_hashes(tokens, (GRAM, WINDOW))
-            hit = np.flatnonzero(np.isin(grams[named_grams(grams)].view(np.int64), np.array(wanted, dtype=np.int64)))
+            hit = np.flatnonzero(np.isin(window_minima(grams).view(np.int64), np.array(wanted, dtype=np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(hit), doc_id, dtype=np.int64)), pa.array(hit), pa.array(windows[hit].view(np.int64))],
                 ["doc_id", "at", "mark"])
@@ -125,11 +125,11 @@ def _passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not len(at):
                 continue
             grams, = gram_hashes(tokens, (GRAM,))
-            named = named_grams(grams)
+            named = window_minima(grams)
             out = []
             for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
                 passage = b" ".join(tokens[run[0]: run[-1] + WINDOW]).decode("utf-8", "surrogatepass")
-                out.append((doc_id, passage, np.unique(grams[named[run]]).view(np.int64)))
+                out.append((doc_id, passage, np.unique(named[run]).view(np.int64)))
             yield pd.DataFrame(out, columns=["first_id", "passage", "grams"])
 
 
@@ -148,31 +148,40 @@ def _occurrences(docs: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
         automaton.make_automaton()
     for doc_id, text in zip(docs["doc_id"], docs["text"], strict=True):
         raw = split_words(text)
-        tokens = [w.decode("utf-8", "surrogatepass") for w in raw]
-        gone = np.zeros(len(tokens), dtype=bool)
-        if len(automaton) and len(tokens) >= WINDOW:
-            starts = np.r_[0, np.cumsum([len(w) + 1 for w in tokens])].tolist()
-            done: dict[tuple[int, int], int] = {}
-            for end, places in automaton.iter(f" {' '.join(tokens)} "):
-                # ``end`` is the blank after the key in a line that opens with a blank
-                after = bisect_left(starts, end)
-                for side, at in places:
-                    first_id, passage = sides[side]
-                    p, t = after - TILE_KEY, at
-                    if first_id >= doc_id or done.get((side, p - t), -1) >= p:
-                        continue
-                    left = 0
-                    while p - left > 0 and t - left > 0 and tokens[p - left - 1] == passage[t - left - 1]:
-                        left += 1
-                    stop, limit = p + TILE_KEY, min(len(tokens), p + len(passage) - t)
-                    while stop < limit and tokens[stop] == passage[stop - p + t]:
-                        stop += 1
-                    done[side, p - t] = stop - 1
-                    if stop - p + left >= WINDOW:
-                        gone[p - left: stop] = True
-        if gone.any():
+        if not len(automaton) or len(raw) < WINDOW:
+            continue
+        line = b" ".join(raw)
+        words = line.decode("utf-8", "surrogatepass")
+        tokens, starts, gone = None, None, None  # made for the few documents with a hit that counts
+        done: dict[tuple[int, int], int] = {}
+        for end, places in automaton.iter(f" {words} "):
+            places = [x for x in places if sides[x[0]][0] < doc_id]
+            if not places:
+                continue
+            if tokens is None:
+                tokens, gone = words.split(" "), np.zeros(len(raw), dtype=bool)
+                starts = np.r_[0, np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)) + 1)].tolist()
+            # ``end`` is the blank after the key in a line that opens with a blank
+            after = bisect_left(starts, end)
+            for side, at in places:
+                passage = sides[side][1]
+                p, t = after - TILE_KEY, at
+                if done.get((side, p - t), -1) >= p:
+                    continue
+                left = 0
+                while p - left > 0 and t - left > 0 and tokens[p - left - 1] == passage[t - left - 1]:
+                    left += 1
+                stop, limit = p + TILE_KEY, min(len(tokens), p + len(passage) - t)
+                while stop < limit and tokens[stop] == passage[stop - p + t]:
+                    stop += 1
+                done[side, p - t] = stop - 1
+                if stop - p + left >= WINDOW:
+                    gone[p - left: stop] = True
+        if gone is not None and gone.any():
             kept = [w for w, g in zip(raw, gone.tolist(), strict=True) if not g]
-            out.append((doc_id, _digest(raw), int(gone.sum()), _digest(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
+            out.append((doc_id, hashlib.sha256(line).hexdigest(), int(gone.sum()), _digest(kept),
+                        b" ".join(kept).decode("utf-8", "surrogatepass")))
+    release()
     return pd.DataFrame(out, columns=["doc_id", "whole_sha256", "n_removed", "kept_sha256", "kept"]).astype(
         {"doc_id": "int64", "n_removed": "int64"})
 
@@ -186,7 +195,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """
     rows = docs.select("doc_id", "text")
     named = stage(rows.mapInArrow(
-        _anchors, "doc_id long, n_words long, whole_sha256 string, grams array<long>"), "grams")
+        lean(_anchors), "doc_id long, n_words long, whole_sha256 string, grams array<long>"), "grams")
     each = named.where("doc_id IS NOT NULL").select("doc_id", F.explode("grams").alias("gram"))
     recurring = each.groupBy("gram").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where(
         "least < most").select("gram")
@@ -194,12 +203,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     wanted = shared.groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))
     suspects = stage(rows.join(wanted, "doc_id"), "suspects")
 
-    windows = suspects.mapInArrow(_windows, "doc_id long, at long, mark long")
+    windows = suspects.mapInArrow(lean(_windows), "doc_id long, at long, mark long")
     confirmed = windows.groupBy("mark").agg(
         F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("most")).where("first.doc_id < most")
     firsts = confirmed.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list("first.at").alias("firsts"))
     passages = stage(suspects.select("doc_id", "text").join(firsts, "doc_id").mapInPandas(
-        _passages, "first_id long, passage string, grams array<long>").withColumn(
+        lean(_passages), "first_id long, passage string, grams array<long>").withColumn(
             "passage_id", F.monotonically_increasing_id()), "passages")
 
     size = suspects.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
