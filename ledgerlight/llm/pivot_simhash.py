@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .cells import cell_pairs, forest, into_cells, whole_cells
 from .graph import components
-from .staging import ship_by_value, stage
+from .staging import lean, ship_by_value, stage
 
 ship_by_value(__name__)
 
@@ -76,7 +76,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, mark`` (the fingerprint's bits as a signed long) of every row."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, mark long")
+    return docs.select("doc_id", "text").mapInArrow(lean(_fingerprints), "doc_id long, mark long")
 
 
 def _pivot_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,7 +99,7 @@ def _pivot_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def pivot_table(marks: DataFrame) -> DataFrame:
     """``mark, bucket, distances``: six rows for each distinct fingerprint; ``distances`` has one byte a reference."""
-    return marks.select("mark").mapInPandas(_pivot_rows, "mark long, bucket long, distances binary")
+    return marks.select("mark").mapInPandas(lean(_pivot_rows), "mark long, bucket long, distances binary")
 
 
 def _near_in_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,7 +132,7 @@ def _near_in_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def near_links(marks: DataFrame) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints, with the components of all pairs within the limit."""
     cells = into_cells(pivot_table(marks), "bucket", "mark")
-    return cells.mapInPandas(_near_in_cells, "a long, b long").distinct()
+    return cells.mapInPandas(lean(_near_in_cells), "a long, b long").distinct()
 
 
 def _named(marks: DataFrame) -> DataFrame:
@@ -175,11 +175,12 @@ def keep_one_per_group(docs: DataFrame) -> DataFrame:
         F.col("lead.least").alias("doc_id"), F.col("lead.mark").alias("mark")), "simhash-leads")
     ids = marks.where("doc_id IS NOT NULL").groupBy("doc_id").count()
     dropped = ids.join(stay, "doc_id", "left_anti").select("doc_id")
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    # the ids are hashed, so the texts move once and are not sorted
+    kept = docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
     if ids.where("count > 1").isEmpty():
         return kept
     rows = kept.where("doc_id IS NOT NULL").select("doc_id", "text", F.struct(*[kept[c] for c in docs.columns]).alias("row"))
-    marked = rows.mapInArrow(_with_marks, f"doc_id long, row {rows.schema['row'].dataType.simpleString()}, mark long")
+    marked = rows.mapInArrow(lean(_with_marks), f"doc_id long, row {rows.schema['row'].dataType.simpleString()}, mark long")
     led = marked.join(stay, ["doc_id", "mark"]).groupBy("doc_id", "mark").agg(
         F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
     return led.select("row.*").unionByName(kept.where("doc_id IS NULL"))

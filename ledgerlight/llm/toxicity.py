@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import ship_by_value, stage
+from .staging import lean, release, ship_by_value
 
 ship_by_value(__name__)
 
@@ -175,8 +175,9 @@ def _scorer(shared, bias: float):
             logit = logits(batch.column("text").to_pylist(), weights, bias)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(logit, -40, 40))))], ["doc_id", "score"])
+        _CACHE.clear()
 
-    return score
+    return lean(score)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
@@ -203,8 +204,9 @@ def _keeper(shared, bias: float):
         for batch in batches:
             logit = logits(batch.column("text").to_pylist(), weights, bias)
             yield batch.filter(pa.array(logit < edge))
+        _CACHE.clear()
 
-    return keep
+    return lean(keep)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 
 from ledgerlight.llm import mixing, packing, pivot_simhash, secret_scan, toxicity
 from ledgerlight.llm.queries import ORACLES, QUERIES
+from ledgerlight.llm.staging import stage
 
 from .conftest import SCHEMA, hard_rows, prose, rows_of
 from .test_pairs import plain_simhash
@@ -30,21 +31,21 @@ def tables(spark, tmp_path_factory):
 def test_stages_act_in_turn(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     steps = dict(corpus_pipeline.STAGES)
-    clean = steps["toxicity"](spark, docs, tables)
+    clean = stage(steps["toxicity"](spark, docs, tables), "clean")
     labels = spark.read.parquet(f"{tables}/labels.parquet")
     gone = {r["doc_id"] for r in toxicity.toxicity(docs, labels).where("predicted = 1").collect()}
     assert len(gone & {10_000 + n for n in range(0, 400, 8)}) >= 45 and not gone - {10_000 + n for n in range(0, 400, 8)}
     assert rows_of(clean, "doc_id") == rows_of(docs.where(~docs["doc_id"].isin(gone)), "doc_id")
-    single = steps["near_duplicates"](spark, clean, tables)
+    single = stage(steps["near_duplicates"](spark, clean, tables), "single")
     ids = [r[0] for r in rows_of(single, "doc_id")]
     assert len(ids) == len(set(ids)) and 20_000 not in ids and 10_001 in ids
     marks = [plain_simhash(r["text"]) for r in single.collect()]
     assert len(set(marks)) == len(marks)
-    masked = steps["secrets"](spark, single, tables)
+    masked = stage(steps["secrets"](spark, single, tables), "masked")
     assert rows_of(masked, "doc_id") == rows_of(single, "doc_id")
     assert "[SECRET]" in masked.where("doc_id = 20001").first()["text"]
     assert secret_scan.secret_spans(masked).where("spans != ''").count() == 0
-    mixed = steps["mixture"](spark, masked, tables)
+    mixed = stage(steps["mixture"](spark, masked, tables), "mixed")
     assert rows_of(mixed) == rows_of(masked)
     assert all(d.columns == docs.columns for d in (clean, single, masked, mixed))
     packed = steps["packing"](spark, mixed, tables)
