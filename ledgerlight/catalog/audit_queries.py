@@ -10,10 +10,15 @@ from ..operators import audit as D
 from ..operators import intake as I
 from ..operators import reasons as R
 from ..operators import scoring as S
+from ..operators.application import engineer
+from ..operators.history import lifetime_features
 from ..plans.portfolio import transparent_intake_score
-from ..sources.roles import role, with_roles
+from ..sources.roles import history_roles, role, with_roles
+from .application_queries import ALL_COLUMNS, ENGINEERED_CTE, column_kind
 from .common import r6, register
+from .history_queries import ALL_ROLES, STORE_CTE
 from .intake_queries import SCORED_CTE, SHEET_ROLES, _probability_sql, _route_sql, packages
+from .quality_queries import LIFETIME_COLUMNS
 from .scoring_queries import SCORED_CTE as PROFILE_CTE
 
 # Long contribution table: a known non-linear function of each feature stands in for a model.
@@ -167,27 +172,39 @@ def factor_group_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(D.group_summary(D.factor_table(contributions(spark, sf))))
 
 
-_PAIRED = ("AMT_CREDIT", "AMT_GOODS_PRICE", "AMT_ANNUITY", "EXT_SOURCE_2", "EXT_SOURCE_3", "OWN_CAR_AGE")
-_PAIRS = [(a, b) for i, a in enumerate(_PAIRED) for b in _PAIRED[i + 1:]]
-_SPEARMAN_CTE = "spearman AS (" + " UNION ALL ".join(
-    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, count(*) AS rows, CASE WHEN count(*) >= 500 THEN corr(ra, rb) END AS association FROM ("
-    f"SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0 AS ra,"
-    f" rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2.0 AS rb"
-    f" FROM application_train WHERE {a} IS NOT NULL AND {b} IS NOT NULL)" for a, b in _PAIRS) + ")"
+# Every numeric factor: engineered application columns and the whole lifetime store, rounded as in their own queries.
+_PAIRED = [c for c in ALL_COLUMNS if column_kind(c) != "t" and c not in ("SK_ID_CURR", "TARGET")] + [
+    c for _, c in LIFETIME_COLUMNS if c != "SK_ID_CURR"]
+_SPEARMAN_CTE = f"""{STORE_CTE},
+{ENGINEERED_CTE},
+factors AS (SELECT SK_ID_CURR, {", ".join(f"{r6(c)} AS {c}" for c in _PAIRED)} FROM engineered LEFT JOIN lifetime_store USING (SK_ID_CURR)),
+named AS (SELECT unnest([{", ".join(f"'{c}'" for c in _PAIRED)}]) AS f, unnest(range({len(_PAIRED)})) AS i),
+long AS MATERIALIZED (SELECT SK_ID_CURR, i, f, v FROM (UNPIVOT factors ON COLUMNS(* EXCLUDE (SK_ID_CURR)) INTO NAME f VALUE v) JOIN named USING (f)),
+met AS MATERIALIZED (SELECT a.i AS i, b.i AS j, a.v AS x, b.v AS y FROM long a JOIN long b ON a.SK_ID_CURR = b.SK_ID_CURR AND a.i < b.i),
+spearman AS MATERIALIZED (
+  SELECT p.f AS feature_a, q.f AS feature_b, rows, CASE WHEN rows >= 500 AND isfinite(rho) THEN rho END AS association FROM (
+    SELECT i, j, count(*) AS rows, corr(rx, ry) AS rho FROM (
+      SELECT i, j, rank() OVER (PARTITION BY i, j ORDER BY x) + (count(*) OVER (PARTITION BY i, j, x) - 1) / 2.0 AS rx,
+        rank() OVER (PARTITION BY i, j ORDER BY y) + (count(*) OVER (PARTITION BY i, j, y) - 1) / 2.0 AS ry FROM met) GROUP BY i, j) AS s
+  JOIN named p ON p.i = s.i JOIN named q ON q.i = s.j)"""
 
 
 def _spearman(spark: SparkSession, sf: str) -> DataFrame:
-    return D.pairwise_spearman(role(spark, sf, "application_train"), "SK_ID_CURR", _PAIRED)
+    """Correlations of all numeric factors of the labelled applications."""
+    store = lifetime_features(history_roles(spark, sf))
+    columns = [c for c in store.columns if c != "SK_ID_CURR"]
+    frame = engineer(role(spark, sf, "application_train")).join(store.select("SK_ID_CURR", *columns), "SK_ID_CURR", "left")
+    return D.pairwise_spearman(rounded(frame.select("SK_ID_CURR", *_PAIRED)), "SK_ID_CURR", _PAIRED)
 
 
 @register("pairwise_spearman", with_roles(
-    f"SELECT feature_a, feature_b, rows, {r6('association')} AS association FROM spearman", "application_train",
+    f"SELECT feature_a, feature_b, rows, {r6('association')} AS association FROM spearman", *ALL_ROLES,
     ctes=_SPEARMAN_CTE))
 def pairwise_spearman(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_spearman(spark, sf))
 
 
-_LEVELS = ("NAME_CONTRACT_TYPE", "NAME_EDUCATION_TYPE", "NAME_HOUSING_TYPE", "FLAG_OWN_CAR", "CODE_GENDER")
+_LEVELS = [c for c in ALL_COLUMNS if column_kind(c) == "t"]
 _CRAMER = " UNION ALL ".join(
     f"""SELECT '{a}' AS feature_a, '{b}' AS feature_b, sum(o)::BIGINT AS rows, sqrt(sum((o - e) * (o - e) / e) / (sum(o) * (least(max(nx), max(ny)) - 1))) AS association
       FROM (SELECT coalesce(c.o, 0) AS o, r.t * k.t / n::DOUBLE AS e, nx, ny
@@ -213,12 +230,13 @@ def pairwise_cramers_v(spark: SparkSession, sf: str) -> DataFrame:
         WHEN max(v) >= 0.75 THEN 'partial substitute candidate; important interactions may still differ'
         ELSE 'related signal, but too weak to treat as a substitute' END AS substitutability
     FROM (SELECT feature_a AS feature, feature_b AS other, v FROM strong UNION ALL SELECT feature_b, feature_a, v FROM strong) GROUP BY feature""",
-    "application_train", ctes=f"""{_SPEARMAN_CTE},
+    *ALL_ROLES, ctes=f"""{_SPEARMAN_CTE},
 {_CRAMER_CTE},
-strong AS (SELECT feature_a, feature_b, abs(association) AS v FROM (SELECT * FROM spearman UNION ALL SELECT * FROM cramer) WHERE abs(association) >= 0.5)"""))
+strong AS (SELECT feature_a, feature_b, {r6('abs(association)')} AS v FROM (SELECT * FROM spearman UNION ALL SELECT * FROM cramer) WHERE abs(association) >= 0.5)"""))
 def related_features(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = D.strong_pairs(_spearman(spark, sf), "Spearman rho on observed values").unionAll(
-        D.strong_pairs(D.pairwise_cramers_v(role(spark, sf, "application_train"), _LEVELS), "Cramer's V"))
+    numeric = rounded(_spearman(spark, sf))
+    pairs = D.strong_pairs(numeric, "Spearman rho on observed values").unionAll(
+        D.strong_pairs(rounded(D.pairwise_cramers_v(role(spark, sf, "application_train"), _LEVELS)), "Cramer's V"))
     return rounded(D.related_features(pairs).withColumn("related_features", F.array_join("related_features", ",")))
 
 

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 RADIX_BITS = 16
 MOST_GROUPS = 100_000
 _COARSE, _FINE = "_coarse", "_fine"
@@ -137,3 +139,28 @@ def average_ranks(rows: DataFrame, value: str, groups: Sequence[str] = ()) -> Da
     """Rank of every distinct value, ties sharing their average rank (1-based)."""
     totals = running_totals(rows, value, {"n": F.count(F.lit(1))}, groups)
     return totals.select(*groups, value, "n", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank"))
+
+
+HOT_SHARE = 1_000
+
+
+def with_ranks(rows: DataFrame, value: str, groups: Sequence[str], output: str) -> DataFrame:
+    """Every row with the average rank of its value in its group; rows without a value are left out.
+
+    Values that at least one in ``HOT_SHARE`` rows of their group have (so at most that many a group) are looked up in a
+    broadcast table; only the others are joined by value, and none of those is frequent.  ``rows`` is read twice: give a
+    staged table.
+    """
+    groups = list(groups)
+    ranks = cut_lineage(average_ranks(rows, value, groups))
+    sizes = ranks.groupBy(*groups).agg(F.sum("n").alias("_group_size"))
+    sized = attach(ranks, sizes, groups)
+    hot = F.col("n") * HOT_SHARE >= F.col("_group_size")
+    keys = [*groups, value]
+    known = rows.where(F.col(value).isNotNull())
+    frequent = F.broadcast(sized.where(hot).select(*keys, F.col("rank").alias(output)))  # HOT_SHARE rows a group at most
+    looked_up = known.join(frequent, keys, "left")
+    rest = looked_up.where(F.col(output).isNull()).drop(output).join(
+        sized.where(~hot).select(*keys, F.col("rank").alias(output)), keys)
+    columns = [*rows.columns, output]
+    return looked_up.where(F.col(output).isNotNull()).select(*columns).unionByName(rest.select(*columns))
