@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +13,10 @@ from ..operators import quality as G
 from ..operators.history import HISTORY_FLAGS, bureau_block, lifetime_features
 from ..operators.temporal import temporal_features
 from ..operators.manifest import file_digests
-from ..session import write_stage
+from ..session import stage_folder
 from ..sources.roles import history_roles, role, with_roles
-from ..sources.tables import read_store
+from ..sources.snapshots import Snapshots
+from ..sources.tables import check_csv_table, read_store
 from .common import r6, register
 from .history_queries import _BB_CTE, _BUREAU_CTE, ALL_ROLES, BLOCKS, BUREAU, STORE_CTE
 from .temporal_queries import STORE as TEMPORAL_STORE
@@ -204,14 +207,18 @@ def file_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return file_digests(spark, f"{sf}/*.parquet")
 
 
+def _new_snapshots(spark: SparkSession) -> Snapshots:
+    return Snapshots(spark, f"{stage_folder(spark)}/snapshots-{uuid.uuid4().hex}")
+
+
 @register("store_point_lookup", with_roles(
     "SELECT SK_ID_CURR, SK_ID_BUREAU, CREDIT_ACTIVE FROM bureau WHERE SK_ID_CURR IN"
     " (SELECT SK_ID_CURR FROM application_test)", "bureau", "application_test"))
 def store_point_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """Id-set restriction of a table: semi join with the requested ids."""
-    requested = role(spark, sf, "application_test").select("SK_ID_CURR")
-    return role(spark, sf, "bureau").join(requested, "SK_ID_CURR", "left_semi").select(
-        "SK_ID_CURR", "SK_ID_BUREAU", "CREDIT_ACTIVE")
+    """Id-set restriction of a written store."""
+    store = _new_snapshots(spark)
+    store.commit(role(spark, sf, "bureau").select("SK_ID_CURR", "SK_ID_BUREAU", "CREDIT_ACTIVE"), "SK_ID_CURR")
+    return read_store(spark, store.path, ids=role(spark, sf, "application_test"))
 
 
 @register("store_single_lookup", with_roles(
@@ -219,6 +226,66 @@ def store_point_lookup(spark: SparkSession, sf: str) -> DataFrame:
     "bureau", "bureau_balance", ctes=f"{_BB_CTE},\n{_BUREAU_CTE}"))
 def store_single_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """One applicant out of a written store; the key filter reaches the Parquet scan."""
-    store = write_stage(bureau_block(role(spark, sf, "bureau"), role(spark, sf, "bureau_balance")))
+    store = _new_snapshots(spark)
+    store.commit(bureau_block(role(spark, sf, "bureau"), role(spark, sf, "bureau_balance")), "SK_ID_CURR")
     wanted = role(spark, sf, "bureau").agg(F.min("SK_ID_CURR")).first()[0]
-    return rounded(read_store(spark, store, one_id=wanted))
+    return rounded(read_store(spark, store.path, one_id=wanted))
+
+
+@register("snapshot_commits", with_roles(
+    f"SELECT 2::BIGINT AS version, 2::BIGINT AS versions, SK_ID_CURR, {BUREAU.present()} FROM bureau_rollup",
+    "bureau", "bureau_balance", ctes=f"{_BB_CTE},\n{_BUREAU_CTE}"))
+def snapshot_commits(spark: SparkSession, sf: str) -> DataFrame:
+    """Two versions are committed, a third with repeated keys is refused by its gate, and the second is what readers get."""
+    store = _new_snapshots(spark)
+
+    def unique(written: DataFrame) -> None:
+        if not G.key_violations(written, ("SK_ID_CURR",)).isEmpty():
+            raise ValueError("keys repeat")
+
+    bureau = role(spark, sf, "bureau")
+    store.commit(bureau.select("SK_ID_CURR").distinct(), "SK_ID_CURR", unique)
+    number = store.commit(bureau_block(bureau, role(spark, sf, "bureau_balance")), "SK_ID_CURR", unique)
+    try:
+        store.commit(bureau.select("SK_ID_CURR"), "SK_ID_CURR", unique)
+    except ValueError:
+        pass
+    else:
+        raise AssertionError("the gate let repeated keys pass")
+    return rounded(store.read().select(
+        F.lit(number).cast("long").alias("version"), F.lit(store.history().count()).cast("long").alias("versions"), "*"))
+
+
+# Faults by key: a word in an amount, a fraction in a whole number, an infinite amount, one field too many.
+_FAULTS = (("AMT_CREDIT_SUM", 7, "n/a", "not_a_number"), ("DAYS_CREDIT", 11, "-12.5", "not_whole"),
+           ("AMT_ANNUITY", 13, "Infinity", "not_finite"))
+_SPLIT = 17
+
+
+def _fault_sql() -> str:
+    parts = [f"SELECT SK_ID_BUREAU::VARCHAR AS SK_ID_BUREAU, '{c}' AS \"column\", '{cell}' AS cell, '{kind}' AS kind, NULL::DOUBLE AS amount"
+             f" FROM bureau WHERE SK_ID_BUREAU % {m} = 0 AND SK_ID_BUREAU % {_SPLIT} <> 0" for c, m, cell, kind in _FAULTS]
+    parts.append(f"SELECT SK_ID_BUREAU::VARCHAR, NULL, NULL, 'malformed_record', NULL FROM bureau WHERE SK_ID_BUREAU % {_SPLIT} = 0")
+    sound = " AND ".join(f"SK_ID_BUREAU % {m} <> 0" for m in (*[m for _, m, _, _ in _FAULTS], _SPLIT))
+    parts.append(f"SELECT SK_ID_BUREAU::VARCHAR, NULL, NULL, 'sound', {r6('AMT_CREDIT_SUM')} FROM bureau WHERE {sound}")
+    return " UNION ALL ".join(parts)
+
+
+@register("csv_cell_faults", with_roles(_fault_sql(), "bureau"))
+def csv_cell_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """The accounts written as CSV with broken cells and records, read back as faults and sound rows."""
+    rows = role(spark, sf, "bureau")
+    key = F.col("SK_ID_BUREAU")
+    cells = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns}
+    for column, every, cell, _ in _FAULTS:
+        cells[column] = F.when(key % every == 0, cell).otherwise(cells[column])
+    cells["CREDIT_TYPE"] = F.when(key % _SPLIT == 0, "one,more").otherwise(cells["CREDIT_TYPE"])
+    folder = f"{stage_folder(spark)}/csv-{uuid.uuid4().hex}"
+    # one column of whole lines under another separator: no quotes, so a comma splits its cell
+    line = F.concat_ws(",", *cells.values()).alias(",".join(cells))
+    rows.select(line).write.option("header", True).option("sep", "\u0001").csv(f"{folder}/bureau.csv")
+    checked = check_csv_table(spark, folder, "bureau")
+    broken = F.col("kind") == "malformed_record"
+    faults = checked.faults.select("SK_ID_BUREAU", "column", F.when(~broken, F.col("cell")).alias("cell"), "kind", F.lit(None).cast("double").alias("amount"))
+    sound = checked.rows.select(F.col("SK_ID_BUREAU").cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit("sound"), "AMT_CREDIT_SUM")
+    return rounded(faults.unionAll(sound))

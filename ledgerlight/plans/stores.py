@@ -1,7 +1,7 @@
-"""Feature-store builds: write to a staging path, gate the written data, then promote it.
+"""Feature-store builds: write a version, gate the written data, then commit it.
 
-The gate reads the staged Parquet, so a store is computed once, nothing is cached, and a failed gate leaves
-the previous version in place.
+The gate reads the written Parquet, so a store is computed once, nothing is cached, and a failed gate leaves
+the previous version current.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from ..operators.history import lifetime_features
 from ..operators.ordering import attach
 from ..operators.quality import assert_ready, gate, lifetime_findings, schema_check, temporal_findings
 from ..operators.temporal import temporal_features
-from ..sources.tables import promote
+from ..sources.snapshots import Snapshots
 
 
 def check_sources(tables: dict[str, DataFrame]) -> None:
@@ -29,26 +29,26 @@ def check_sources(tables: dict[str, DataFrame]) -> None:
 
 
 def _build(spark: SparkSession, store: DataFrame, target: str, find) -> DataFrame:
-    staged = target.rstrip("/") + ".staged"
-    store.write.mode("overwrite").option("compression", "zstd").parquet(staged)
-    written = spark.read.parquet(staged)
-    findings = find(written)
-    assert_ready(findings)
-    # The report outlives the staged path, so it is taken before the rename (one row per check).
-    report = spark.createDataFrame(findings.collect(), findings.schema)
-    promote(spark, staged, target)
-    return report
+    findings = []
+
+    def gate_written(written: DataFrame) -> None:
+        found = find(written)
+        assert_ready(found)
+        findings.append(spark.createDataFrame(found.collect(), found.schema))  # one row per check
+
+    Snapshots(spark, target).commit(store, "SK_ID_CURR", gate_written)
+    return findings[0]
 
 
 def build_lifetime_store(spark: SparkSession, tables: dict[str, DataFrame], target: str) -> DataFrame:
-    """Build, gate and promote the lifetime store; returns the findings."""
+    """Build, gate and commit the lifetime store; returns the findings."""
     check_sources(tables)
     return _build(spark, lifetime_features(tables), target, lambda written: lifetime_findings(
         written, tables["application_train"], tables["application_test"]))
 
 
 def build_temporal_store(spark: SparkSession, tables: dict[str, DataFrame], target: str) -> DataFrame:
-    """Build, gate and promote the temporal store; returns the findings."""
+    """Build, gate and commit the temporal store; returns the findings."""
     check_sources(tables)
     return _build(spark, temporal_features(tables), target, lambda written: temporal_findings(written, tables))
 
@@ -56,6 +56,4 @@ def build_temporal_store(spark: SparkSession, tables: dict[str, DataFrame], targ
 def store_report(store: DataFrame, findings: DataFrame) -> DataFrame:
     """One JSON row: size, columns and gate outcome."""
     size = store.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(store.columns)))
-
-
     return attach(size, gate(findings)).select(F.to_json(F.struct("*")).alias("report"))

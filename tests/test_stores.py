@@ -7,7 +7,8 @@ from ledgerlight.operators import quality as G
 from ledgerlight.operators import temporal as P
 from ledgerlight.plans.stores import build_lifetime_store, build_temporal_store, store_report
 from ledgerlight.plans.training import merge_with_gaps, write_sealed
-from ledgerlight.sources.tables import read_store
+from ledgerlight.sources.snapshots import CommitConflict, Snapshots, restrict
+from ledgerlight.sources.tables import check_csv_table, read_csv_table, read_store
 
 
 def by_id(df):
@@ -126,3 +127,71 @@ def test_merge_with_gaps_and_sealed_write(spark, tmp_path):
     write_sealed(apps, str(tmp_path / "holdout"))
     with pytest.raises(Exception, match="already exists"):
         write_sealed(apps, str(tmp_path / "holdout"))
+
+
+def test_snapshots_commit_refuse_and_keep_versions(spark, tmp_path):
+    table = Snapshots(spark, str(tmp_path / "t"))
+    assert table.current() == 0 and table.history().count() == 0
+    with pytest.raises(FileNotFoundError, match="no committed"):
+        table.read()
+    first = spark.range(0, 100).select(F.col("id").alias("k"))
+    second = spark.range(0, 5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    assert table.commit(first, "k") == 1 and table.commit(second, "k") == 2
+
+    def refuse(written):
+        assert written.count() == 100  # the gate reads what was written
+        raise ValueError("refused")
+
+    with pytest.raises(ValueError, match="refused"):
+        table.commit(first, "k", refuse)
+    assert table.current() == 2 and table.read().count() == 5000 and table.read(1).columns == ["k"]
+    # another writer that took the next number with a smaller id has it
+    rival = spark.createDataFrame([(3, "0", str(tmp_path / "x"), 1)], "version long, writer string, folder string, rows long")
+
+    def lose(written):
+        rival.coalesce(1).write.mode("append").json(str(tmp_path / "t" / "commits"))
+
+    with pytest.raises(CommitConflict):
+        table.commit(first, "k", lose)
+    assert [r.version for r in table.history().orderBy("version").collect()] == [1, 2, 3]
+
+
+def test_lookups_open_only_row_groups_that_can_match(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    table = Snapshots(spark, str(tmp_path / "t"))
+    rows = spark.range(0, 40_000).select((F.col("id") * 7).alias("k"), F.col("id").alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a small table in several files
+    try:
+        table.commit(rows.repartition(6), "k")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    store = table.read()
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(str(tmp_path / "t" / "data" / "*" / "*.parquet"))]
+    groups = [m.row_group(g).column(0) for m in files for g in range(m.num_row_groups)]
+    ranges = sorted((g.statistics.min, g.statistics.max) for g in groups)
+    assert len(ranges) > 1 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))  # a key lies in one row group
+    few = restrict(store, "k", spark.createDataFrame([(7,), (70,), (71,), (None,)], "id long"))
+    assert sorted(r.v for r in few.collect()) == [1, 10]
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "In(k, " in plan and "Join" not in plan
+    many = restrict(store, "k", spark.range(700, 70_000).select("id"))
+    assert many.count() == len([k for k in range(0, 280_000, 7) if 700 <= k < 70_000])
+    assert "GreaterThanOrEqual(k,700)" in many._jdf.queryExecution().executedPlan().toString()
+    assert restrict(store, "k", spark.range(0).select("id")).count() == 0
+
+
+def test_broken_cells_are_named(spark, tmp_path):
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    (folder / "bureau_balance.csv").write_text("SK_ID_BUREAU,MONTHS_BALANCE,STATUS\n1,-1,C\n2,x,0\n3,-1.5,1\n4,,\n5.0,-3.0,X\n6,-1,0,9\n7,1e400,C\nseven,-2,C\n")
+    checked = check_csv_table(spark, str(folder), "bureau_balance")
+    got = sorted((r.SK_ID_BUREAU, r.column or "", r.kind) for r in checked.faults.collect())
+    assert got == [("2", "MONTHS_BALANCE", "not_a_number"), ("3", "MONTHS_BALANCE", "not_whole"), ("6", "", "malformed_record"),
+                   ("7", "MONTHS_BALANCE", "not_finite"), ("seven", "SK_ID_BUREAU", "not_a_number")]
+    assert sorted((r.SK_ID_BUREAU, r.MONTHS_BALANCE, r.STATUS) for r in checked.rows.collect()) == [(1, -1, "C"), (4, None, None), (5, -3, "X")]
+    with pytest.raises(ValueError, match="not_whole in MONTHS_BALANCE: 1"):
+        read_csv_table(spark, str(folder), "bureau_balance")
+    assert read_csv_table(spark, str(folder), "bureau_balance", most_faults=5).count() == 3
