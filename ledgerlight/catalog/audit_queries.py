@@ -17,7 +17,7 @@ from ..sources.roles import history_roles, role, with_roles
 from .application_queries import ALL_COLUMNS, ENGINEERED_CTE, column_kind
 from .common import r6, register
 from .history_queries import ALL_ROLES, STORE_CTE
-from .intake_queries import SCORED_CTE, SHEET_ROLES, _probability_sql, _route_sql, packages
+from .intake_queries import INTAKE_COLUMNS, SCORED_CTE, SHEET_ROLES, _probability_sql, _route_sql, packages
 from .quality_queries import LIFETIME_COLUMNS
 from .scoring_queries import SCORED_CTE as PROFILE_CTE
 
@@ -66,23 +66,38 @@ def _rules_sql(rules, otherwise: str, name: str = "feature") -> str:
     return f"CASE {cases} ELSE '{otherwise}' END"
 
 
+def _text_sql(code: str, side: int) -> str:
+    cases = " ".join(f"WHEN '{c}' THEN '{pair[side]}'" for c, pair in R.REASON_TEXTS.items())
+    return f"CASE {code} {cases} END"
+
+
+def _side_sql(name: str, side: int, keep: str, order: str, features: str) -> str:
+    parts = {"": "code", "_texts": _text_sql("code", side), "_features": f"array_to_string({features}, '+')"}
+    return ", ".join(f"coalesce(string_agg({e}, '|' ORDER BY {order}) FILTER ({keep}), '') AS {name}{suffix}" for suffix, e in parts.items())
+
+
 @register("row_reasons", with_roles(
-    f"""SELECT SK_ID_CURR, coalesce(string_agg(code, ',' ORDER BY total DESC, code) FILTER (up <= 3 AND total > 0), '') AS adverse,
-      coalesce(string_agg(code, ',' ORDER BY total, code) FILTER (down <= 3 AND total < 0), '') AS favorable,
-      {r6('max(total) FILTER (total > 0)')} AS strongest
+    f"""SELECT SK_ID_CURR, {_side_sql('adverse', 0, 'up <= 3 AND total > 0', 'total DESC, code', 'pushing')},
+      {_side_sql('favorable', 1, 'down <= 3 AND total < 0', 'total, code', 'pulling')}, {r6('max(total) FILTER (total > 0)')} AS strongest
     FROM (SELECT *, row_number() OVER (PARTITION BY SK_ID_CURR ORDER BY total DESC, code) AS up,
         row_number() OVER (PARTITION BY SK_ID_CURR ORDER BY total, code) AS down
-      FROM (SELECT SK_ID_CURR, {_rules_sql(R.REASON_RULES, R.OTHER_REASON)} AS code, sum(contribution) AS total FROM contributions GROUP BY ALL))
+      FROM (SELECT SK_ID_CURR, {_rules_sql(R.REASON_RULES, R.OTHER_REASON)} AS code, sum(contribution) AS total,
+          (list(feature ORDER BY contribution DESC, feature) FILTER (contribution > 0))[1:3] AS pushing,
+          (list(feature ORDER BY contribution, feature) FILTER (contribution < 0))[1:3] AS pulling FROM contributions GROUP BY ALL))
     GROUP BY SK_ID_CURR""", "application_train", ctes=LONG_CTE))
 def row_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes, texts and leading features of each row's strongest reasons."""
     rows = R.row_reasons(contributions(spark, sf).select("SK_ID_CURR", "feature", "contribution"), "SK_ID_CURR")
 
-    def codes(side: str):
-        return F.array_join(F.transform(side, lambda x: x["code"]), ",").alias(side)
+    def joined(side: str, suffix: str, entry):
+        return F.array_join(F.transform(side, entry), "|").alias(f"{side}{suffix}")
 
-    return rounded(rows.select(
-        "SK_ID_CURR", codes("adverse"), codes("favorable"),
-        F.get("adverse", F.lit(0))["contribution"].alias("strongest")))
+    columns = []
+    for side, adverse in (("adverse", True), ("favorable", False)):
+        columns += [joined(side, "", lambda x: x["code"]),
+                    joined(side, "_texts", (lambda up: lambda x: R.describe(x["code"], up))(adverse)),
+                    joined(side, "_features", lambda x: F.array_join(x["features"], "+"))]
+    return rounded(rows.select("SK_ID_CURR", *columns, F.get("adverse", F.lit(0))["contribution"].alias("strongest")))
 
 
 _UP = PROFILE_CTE.replace("FROM profiles)", "FROM bumped)")
@@ -257,32 +272,39 @@ def effect_directions(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- ablation
 
-_MASKS = {
-    "tradelines.annuity": (["BUREAU_ANNUITY_SUM"], {}),
-    "tradelines.current_balance": (["BUREAU_DEBT_SUM"], {}),
-    "account_months.balance_and_limit": (["CC_UTILIZATION_MEAN"], {}),
-    "sheet.tradelines": (["BUREAU_ANNUITY_SUM", "BUREAU_DEBT_SUM", "BUREAU_OVERDUE_CREDIT_COUNT",
-                          "BUREAU_DAYS_SINCE_CREDIT_MAX"], {"HAS_BUREAU_HISTORY": 0}),
-}
-_RENAMED = {"HAS_BUREAU_HISTORY": "has_report"}
+# What the transparent scorer and the routes read, and what the package row of the check calls it.
+_INPUTS = ("AMT_CREDIT", "AMT_INCOME_TOTAL", "AMT_ANNUITY", "EMPLOYMENT_YEARS", "BUREAU_ANNUITY_SUM", "BUREAU_DEBT_SUM",
+           "CC_UTILIZATION_MEAN", "AMT_REQ_CREDIT_BUREAU_MON", "BUREAU_OVERDUE_CREDIT_COUNT", "BUREAU_DAYS_SINCE_CREDIT_MAX", *I.FAMILIES)
+_RENAMED = {"HAS_BUREAU_HISTORY": "has_report", "HAS_CREDIT_CARD_HISTORY": "has_card", "HAS_POS_HISTORY": "has_pos"}
+_MODEL_COLUMNS = sorted({*I.APPLICATION_COLUMNS.values(), *D.DERIVED_FROM, *I.FAMILIES, *[n for _, n in INTAKE_COLUMNS]})
+_MASKS = D.intake_field_masks(_MODEL_COLUMNS, I.APPLICATION_COLUMNS)
+
+
+def _masked_probability() -> str:
+    """The scorer's formula with its value for unknown employment, which no scorable package has before a mask hides it."""
+    return _probability_sql().replace("CASE WHEN EMPLOYMENT_YEARS < 1", "CASE WHEN EMPLOYMENT_YEARS IS NULL THEN 0.35e0 WHEN EMPLOYMENT_YEARS < 1")
+
+
+_REQUIRED = ", ".join(f"'application.{n}'" for n in I.REQUIRED)
 
 
 def _masked_sql() -> str:
     parts = ["SELECT 'baseline' AS field, * FROM counted WHERE scorable"]
     for name, (features, flags) in _MASKS.items():
-        changes = [f"NULL AS {f}" for f in features] + [f"{v} AS {_RENAMED[f]}" for f, v in flags.items()]
-        parts.append(f"SELECT '{name}' AS field, * REPLACE ({', '.join(changes)}) FROM counted WHERE scorable")
+        changes = [f"NULL AS {f}" for f in features if f in _INPUTS] + [f"{v} AS {_RENAMED[f]}" for f, v in flags.items()]
+        replaced = f"* REPLACE ({', '.join(changes)})" if changes else "*"
+        parts.append(f"SELECT '{name}' AS field, {replaced} FROM counted WHERE scorable")
     return " UNION ALL BY NAME ".join(parts)
 
 
 @register("field_ablation", with_roles(
     f"""SELECT field, {r6('ap - base_ap')} AS delta_average_precision, {r6('auc - base_auc')} AS delta_roc_auc, {r6('shift')} AS mean_absolute_probability_shift,
-      {r6('moved')} AS route_change_share, CASE WHEN moved >= 0.01 THEN 'EXPECTED' ELSE 'OPTIONAL' END AS tier
+      {r6('moved')} AS route_change_share, CASE WHEN field IN ({_REQUIRED}) THEN 'REQUIRED' WHEN moved >= 0.01 THEN 'EXPECTED' ELSE 'OPTIONAL' END AS tier
     FROM ranks JOIN (SELECT s.field, avg(abs(s.p - b.p)) AS shift, avg(CASE WHEN s.route <> b.route THEN 1 ELSE 0 END) AS moved
         FROM routed s JOIN routed b USING (applicant_ref) WHERE b.field = 'baseline' AND s.field <> 'baseline' GROUP BY s.field) USING (field),
       (SELECT ap AS base_ap, auc AS base_auc FROM ranks WHERE field = 'baseline')""", *SHEET_ROLES, ctes=f"""{SCORED_CTE},
 masked AS ({_masked_sql()}),
-probed AS (SELECT applicant_ref, field, TARGET, has_report + has_card + has_pos AS families, {_probability_sql()} AS p FROM masked),
+probed AS (SELECT applicant_ref, field, TARGET, has_report + has_card + has_pos AS families, {_masked_probability()} AS p FROM masked),
 routed AS (SELECT *, {_route_sql('p', '0')} AS route, rank() OVER (PARTITION BY field ORDER BY p) + (count(*) OVER (PARTITION BY field, p) - 1) / 2.0 AS r,
   count(*) OVER (PARTITION BY field ORDER BY p DESC) AS picked, sum(TARGET) OVER (PARTITION BY field ORDER BY p DESC) AS caught FROM probed),
 ranks AS (SELECT field, (sum(r) FILTER (TARGET = 1) - sum(TARGET) * (sum(TARGET) + 1) / 2.0) / (sum(TARGET) * (count(*) - sum(TARGET)))::DOUBLE AS auc,
@@ -296,5 +318,5 @@ def field_ablation(spark: SparkSession, sf: str) -> DataFrame:
         families = sum((F.when(F.col(f) == 1, 1).otherwise(0) for f in I.FAMILIES), F.lit(0))
         return S.intake_route(families, F.col("probability"), F.lit(0))
 
-    table = D.ablation(rows, I.REF, _MASKS, transparent_intake_score, route)
+    table = D.ablation(rows, I.REF, _MASKS, transparent_intake_score, route, _INPUTS)
     return rounded(D.field_tiers(table, [f"application.{n}" for n in I.REQUIRED]))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import rounded
 from ..operators import history as H
+from ..session import stage_folder
+from ..sources.layout import read_layout, write_layout
 from ..sources.roles import history_roles, role, with_roles
 from .common import Spec, register
 
@@ -279,6 +283,14 @@ def lifetime_feature_store(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(H.lifetime_features(history_roles(spark, sf)))
 
 
+@register("bucketed_lifetime_store", with_roles(_rounded_store(), *ALL_ROLES, ctes=BLOCK_CTES))
+def bucketed_lifetime_store(spark: SparkSession, sf: str) -> DataFrame:
+    """The same store over sources that are kept in buckets."""
+    name = f"layout_{uuid.uuid4().hex}"
+    write_layout(spark, history_roles(spark, sf), name, f"{stage_folder(spark)}/{name}", buckets=8)
+    return rounded(H.lifetime_features(read_layout(spark, name, list(ALL_ROLES))))
+
+
 @register("source_availability", with_roles(
     """SELECT CAST(HAS_BUREAU_HISTORY + HAS_PREVIOUS_APPLICATION + HAS_POS_HISTORY + HAS_CREDIT_CARD_HISTORY
          + HAS_INSTALLMENT_HISTORY AS BIGINT) AS source_count, count(*) AS applications

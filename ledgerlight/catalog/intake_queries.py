@@ -152,21 +152,40 @@ def packages(spark: SparkSession, sf: str) -> DataFrame:
     return I.build_features(sheets(spark, sf))
 
 
+_ENGINEERED = {
+    **{n: n for n in ("AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRICE", "OWN_CAR_AGE")},
+    "CREDIT_TO_INCOME": _RATIO.format(n="AMT_CREDIT", d="AMT_INCOME_TOTAL"),
+    "ANNUITY_TO_INCOME": _RATIO.format(n="AMT_ANNUITY", d="AMT_INCOME_TOTAL"),
+    "CREDIT_TO_ANNUITY": _RATIO.format(n="AMT_CREDIT", d="AMT_ANNUITY"),
+    "CREDIT_TO_GOODS": _RATIO.format(n="AMT_CREDIT", d="AMT_GOODS_PRICE"),
+    "DOWN_PAYMENT_RATE": _RATIO.format(n="AMT_GOODS_PRICE - AMT_CREDIT", d="AMT_GOODS_PRICE"),
+    "TOTAL_OBLIGATION_TO_INCOME":
+        "CASE WHEN BUREAU_ANNUITY_SUM IS NOT NULL THEN (coalesce(AMT_ANNUITY, 0) + BUREAU_ANNUITY_SUM) / AMT_INCOME_TOTAL END",
+    "EXTERNAL_DEBT_TO_INCOME": "BUREAU_DEBT_SUM / AMT_INCOME_TOTAL",
+}
+_SPECS = (BUREAU, CARD_SHEET, POS)
+INTAKE_COLUMNS = [(k, n) for spec in _SPECS for k, n, _ in spec.items] + [("f", f"AMT_REQ_CREDIT_BUREAU_{b}") for b in I.ENQUIRY_BANDS]
+_LEVELS = ("NAME_CONTRACT_TYPE", "NAME_INCOME_TYPE", "NAME_EDUCATION_TYPE", "NAME_HOUSING_TYPE")
+
+
 @register("intake_features", with_roles(
     f"""SELECT applicant_ref, has_report::BIGINT AS HAS_BUREAU_HISTORY, has_card::BIGINT AS HAS_CREDIT_CARD_HISTORY,
-      has_pos::BIGINT AS HAS_POS_HISTORY, {r6(_RATIO.format(n='AMT_CREDIT', d='AMT_INCOME_TOTAL'))} AS CREDIT_TO_INCOME,
-      {r6(_RATIO.format(n='AMT_GOODS_PRICE - AMT_CREDIT', d='AMT_GOODS_PRICE'))} AS DOWN_PAYMENT_RATE,
-      {r6('CASE WHEN BUREAU_ANNUITY_SUM IS NOT NULL THEN (coalesce(AMT_ANNUITY, 0) + BUREAU_ANNUITY_SUM) / AMT_INCOME_TOTAL END')} AS TOTAL_OBLIGATION_TO_INCOME,
-      {r6('BUREAU_DEBT_SUM / AMT_INCOME_TOTAL')} AS EXTERNAL_DEBT_TO_INCOME,
-      coalesce(BUREAU_CREDIT_COUNT, 0)::BIGINT AS tradeline_count,
+      has_pos::BIGINT AS HAS_POS_HISTORY, {", ".join(f"{r6(e)} AS {n}" for n, e in _ENGINEERED.items())}, {", ".join(_LEVELS)},
+      {", ".join(spec.present() for spec in _SPECS)},
+      {", ".join(f"CASE WHEN {_TOTAL} > 0 THEN {r6(f'AMT_REQ_CREDIT_BUREAU_{b}')} END AS AMT_REQ_CREDIT_BUREAU_{b}" for b in I.ENQUIRY_BANDS)},
+      coalesce({_TOTAL}, 0)::BIGINT AS enquiry_count, coalesce(BUREAU_CREDIT_COUNT, 0)::BIGINT AS tradeline_count,
       (coalesce(CC_MONTH_COUNT, 0) + coalesce(POS_MONTH_COUNT, 0))::BIGINT AS account_month_count,
       CASE WHEN scorable THEN 0 ELSE 1 END::BIGINT AS refused FROM package""",
     *SHEET_ROLES, ctes=PACKAGE_CTE))
 def intake_features(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(packages(spark, sf).select(
-        I.REF, *I.FAMILIES, "CREDIT_TO_INCOME", "DOWN_PAYMENT_RATE", "TOTAL_OBLIGATION_TO_INCOME",
-        "EXTERNAL_DEBT_TO_INCOME", "tradeline_count", "account_month_count",
+    """The whole feature row of every package."""
+    whole = rounded(packages(spark, sf).select(
+        I.REF, *I.FAMILIES, *_ENGINEERED, *_LEVELS, *[n for spec in _SPECS for _, n, _ in spec.items],
+        *[f"AMT_REQ_CREDIT_BUREAU_{b}" for b in I.ENQUIRY_BANDS], "enquiry_count", "tradeline_count", "account_month_count",
         F.when(F.size("violations") > 0, 1).otherwise(0).alias("refused")))
+    for spec in _SPECS:
+        whole = _typed(whole, spec)
+    return whole
 
 
 _GAPS = """list_filter([CASE WHEN has_report = 0 THEN 'sheet.tradelines' END, CASE WHEN has_card = 0 AND has_pos = 0 THEN 'sheet.account_months' END,

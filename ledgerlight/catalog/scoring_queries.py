@@ -80,17 +80,27 @@ def policy_decisions(spark: SparkSession, sf: str) -> DataFrame:
         "recommendation", "scoring_path"))
 
 
+def _texts_sql(codes: str) -> str:
+    cases = " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in S.REASONS.items())
+    return f"CASE WHEN {codes} = '' THEN '' ELSE array_to_string(list_transform(string_split({codes}, ','), lambda x: x || ': ' || CASE x {cases} END), '; ') END"
+
+
 @register("service_records", with_roles(
-    f"""SELECT application_id, {r6('probability')} AS probability, credit_score, recommendation,
-      len(string_split(adverse, ','))::BIGINT AS adverse_reasons, CAST(confidence = 'LOW' AS BIGINT) + 1 AS decision_reasons
-    FROM decided WHERE adverse <> ''""", "profiles", ctes=POLICY_CTE))
+    f"""SELECT application_id, {r6('probability')} AS probability, credit_score, risk_grade, recommendation, confidence,
+      {_texts_sql('adverse')} AS adverse_reasons, {_texts_sql('favorable')} AS favorable_reasons,
+      CAST(confidence = 'LOW' AS BIGINT) + 1 AS decision_reasons, affordability_status, scoring_path
+    FROM decided""", "profiles", ctes=POLICY_CTE))
 def service_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Every output record, its reasons with their texts."""
+    def texts(side: str):
+        return F.array_join(F.transform(f"risk.{side}", lambda x: F.concat(x["code"], F.lit(": "), x["description"])), "; ").alias(side)
+
     record = S.service_record(S.apply_policy(_scored(spark, sf)))
-    return rounded(record.where(F.size("risk.adverse_reasons") > 0).select(
-        "application_id", F.col("risk.repayment_difficulty_probability").alias("probability"),
-        "risk.credit_score", "decision.recommendation",
-        F.size("risk.adverse_reasons").alias("adverse_reasons"),
-        F.size("decision.decision_reasons").alias("decision_reasons")))
+    return rounded(record.select(
+        "application_id", F.col("risk.repayment_difficulty_probability").alias("probability"), "risk.credit_score", "risk.risk_grade",
+        "decision.recommendation", "decision.confidence", texts("adverse_reasons"), texts("favorable_reasons"),
+        F.size("decision.decision_reasons").alias("decision_reasons"), F.col("affordability.status").alias("affordability_status"),
+        "data_quality.scoring_path"))
 
 
 @register("score_scale", with_roles(

@@ -21,19 +21,17 @@ from ..sources.roles import history_roles, role, with_roles
 from .application_queries import ALL_COLUMNS, INVENTORY_CTE, column_kind, development_rows
 from .common import r6, register
 
-NUMERIC = ("AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRICE", "EXT_SOURCE_2", "EXT_SOURCE_3",
-           "EMPLOYMENT_YEARS", "CREDIT_TO_INCOME", "OWN_CAR_AGE")
-CATEGORY = ("NAME_CONTRACT_TYPE", "NAME_INCOME_TYPE", "NAME_HOUSING_TYPE", "NAME_EDUCATION_TYPE")
 CATEGORICAL_COLUMNS = [c for c in ALL_COLUMNS if column_kind(c) == "t"]
 NUMERIC_COLUMNS = [c for c in ALL_COLUMNS if column_kind(c) != "t" and not A.excluded_by_policy(c)]
+CATEGORY = [c for c in CATEGORICAL_COLUMNS if not A.excluded_by_policy(c)]
 
 
 @register("median_imputation", with_roles(
     " UNION ALL ".join(
         f"SELECT '{c}' AS feature, {r6(f'quantile_cont({c}, 0.5)')} AS median, count(*) FILTER ({c} IS NULL) AS missing FROM dev"
-        for c in NUMERIC), "application_train", ctes=INVENTORY_CTE))
+        for c in NUMERIC_COLUMNS), "application_train", ctes=INVENTORY_CTE))
 def median_imputation(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(X.numeric_fills(development_rows(spark, sf), NUMERIC))
+    return rounded(X.numeric_fills(development_rows(spark, sf), NUMERIC_COLUMNS))
 
 
 _LEVELS = " UNION ALL ".join(

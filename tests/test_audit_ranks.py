@@ -71,3 +71,22 @@ def test_tiled_correlations(spark, monkeypatch, tile):
     assert all(r["association"] is None for r in few)
     assert D.pairwise_spearman(rows, "id", names[:2], minimum_rows=2, sample_rows=10).first()["rows"] <= 10
     assert D.pairwise_spearman(rows.where("false"), "id", names).count() == 0
+
+
+def test_masks_that_do_the_same_are_scored_once(spark):
+    rows = spark.createDataFrame([(n, int(n % 3 == 0), float(n % 5), float(n % 7), 1) for n in range(60)],
+                                 "id long, TARGET int, a double, b double, has int")
+    scored = []
+
+    def score(df):
+        scored.append(df.select("_effect").distinct().count())
+        return df.withColumn("probability", F.coalesce(F.col("a"), F.lit(9.0)) / 20 + F.coalesce(F.col("b"), F.lit(0.0)) / 20 + F.col("has") * 0.05)
+
+    masks = {"x.a": (["a", "other"], {}), "y.a": (["a"], {}), "unread": (["other"], {}), "sheet": (["b"], {"has": 0})}
+    table = {r["field"]: r for r in D.ablation(rows, "id", masks, score, lambda df: F.col("probability") > 0.3, ["a", "b", "has"]).collect()}
+    assert scored == [3] and table.keys() == masks.keys()  # as they are, without a, without the sheet
+    assert table["x.a"][1:] == table["y.a"][1:] and set(table["unread"][1:]) == {0.0}
+    plain = [(n, n % 5 / 20 + n % 7 / 20 + 0.05) for n in range(60)]
+    assert table["x.a"]["mean_absolute_probability_shift"] == pytest.approx(sum(abs(0.45 - n % 5 / 20) for n, _ in plain) / 60)
+    assert table["sheet"]["mean_absolute_probability_shift"] == pytest.approx(sum(n % 7 / 20 + 0.05 for n, _ in plain) / 60)
+    assert table["sheet"]["route_change_share"] == pytest.approx(sum((p > 0.3) != (n % 5 / 20 > 0.3) for n, p in plain) / 60)

@@ -15,6 +15,7 @@ QUICK = (
     "id_spine", "bureau_features", "installment_loan_sequence", "application_velocity", "cash_after_stress",
     "application_features", "stratified_splits", "transparent_scores", "review_routes", "reliability_deciles",
     "intake_strip_expansion", "pairwise_cramers_v", "intake_quarantine", "portfolio_screen", "store_single_lookup",
+    "shared_bin_counts", "calibrator_comparison", "csv_cell_faults", "snapshot_commits",
 )
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not present")

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fixtures_raw import PAYMENTS, raw_tables
+from ledgerlight.functions.expressions import rounded
 from ledgerlight.operators import history as H
 from ledgerlight.operators import quality as G
 from ledgerlight.operators import temporal as P
@@ -195,3 +196,29 @@ def test_broken_cells_are_named(spark, tmp_path):
     with pytest.raises(ValueError, match="not_whole in MONTHS_BALANCE: 1"):
         read_csv_table(spark, str(folder), "bureau_balance")
     assert read_csv_table(spark, str(folder), "bureau_balance", most_faults=5).count() == 3
+
+
+def test_bucketed_sources_are_not_exchanged(spark, tmp_path):
+    from ledgerlight.sources.layout import read_layout, write_layout
+
+    tables = raw_tables(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as between large tables
+    try:
+        write_layout(spark, tables, "layout_test", str(tmp_path / "layout"), 4)
+        kept = read_layout(spark, "layout_test", list(tables))
+
+        def moved(df):
+            return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+        for block, name in ((H.previous_block, "previous_application"), (H.pos_block, "pos_cash_balance"),
+                            (H.card_block, "credit_card_balance"), (H.installment_block, "installments_payments")):
+            assert moved(block(kept[name])) == 0 < moved(block(tables[name])), name
+        accounts = kept["bureau"].join(H.balance_by_account(kept["bureau_balance"]), "SK_ID_BUREAU", "left")
+        assert moved(accounts) == 0
+        plan = P.installment_rollup(P.reconcile_installments(kept["installments_payments"]))
+        assert moved(plan) < moved(P.installment_rollup(P.reconcile_installments(tables["installments_payments"])))
+        for build in (H.lifetime_features, P.temporal_features):
+            assert by_id(rounded(build(kept))) == by_id(rounded(build(tables)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP DATABASE IF EXISTS layout_test CASCADE")
