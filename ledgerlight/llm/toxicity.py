@@ -140,16 +140,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Averaged weights and bias; without any toxic example in the training fold, the constant prior.
 
     ``sample_rows`` bounds the toxic and the unlabelled texts that are fitted on: those with the smallest
-    hashes of their ids.  The prior is counted over all labelled rows of the training fold.
+    hashes of their ids, one text for each id (the smallest of repeated rows).  The prior is counted over all labelled rows
+    of the training fold.
     """
     fold = labels.where(training_fold("doc_id") & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
     rows, hits = fold.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = min(max(hits / max(rows, 1), 1e-4), 0.5)
     order = F.xxhash64("doc_id")
     confirmed = fold.where("toxic = 1").select("doc_id", F.lit(1).alias("toxic")).distinct().orderBy(order).limit(sample_rows)
-    others = docs.where(training_fold("doc_id")).select("doc_id", F.lit(0).alias("toxic")).orderBy(order).limit(sample_rows)
+    others = docs.where(training_fold("doc_id")).select("doc_id", F.lit(0).alias("toxic")).distinct().orderBy(order).limit(sample_rows)
     picked = F.broadcast(confirmed.unionByName(others))  # at most 2 * sample_rows ids
-    sample = docs.select("doc_id", "text").join(picked, "doc_id")
+    sample = docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     # every classifier sees all confirmed texts and its own share of the unlabelled ones
     share = F.pmod(F.xxhash64("doc_id", F.lit("member")), F.lit(MEMBERS)).cast("int")
     every = F.array(*[F.lit(n) for n in range(MEMBERS)])

@@ -212,3 +212,24 @@ def test_mixing_hard_rows(docs, wide_docs, no_docs):
     for table in (docs, wide_docs):
         assert rows_of(mixing.in_mixture_order(table)) == rows_of(table)
     assert mixing.schedule(no_docs).count() == 0 and mixing.in_mixture_order(no_docs).count() == 0
+
+
+def test_toxicity_learns_one_text_of_a_repeated_id(spark, monkeypatch):
+    rows = [(n, f"calm words number {n}") for n in range(40)] + [(n, f"gunkhead slimeball {n}") for n in range(100, 110)]
+    rows += [(3, "a row of an id with many rows")] * 300 + [(103, "gunkhead again")] * 300
+    labels = [(n, 1, 0) for n in range(40)] + [(n, 1, 1) for n in range(100, 110)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    def member(prior):
+        def train(table):
+            import pandas as pd
+
+            return pd.DataFrame({"weights": [bytes(4 * toxicity.SLOTS)], "bias": [float(len(table))]})
+        return train
+
+    monkeypatch.setattr(toxicity, "_member", member)
+    _, mean_rows = toxicity.train(docs, marks)
+    ids = {n for n, _ in rows if zlib.crc32(str(n).encode()) % 4 != 2}
+    toxic = {n for n in ids if n >= 100}
+    # every confirmed text in every classifier, every other text in one
+    assert mean_rows * toxicity.MEMBERS == toxicity.MEMBERS * len(toxic) + len(ids)
