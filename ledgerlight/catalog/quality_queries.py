@@ -7,14 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..contracts import CONTRACTS
+from ..contracts import CONTRACTS, contract_for
 from ..functions.expressions import rounded
 from ..operators import quality as G
 from ..operators.history import HISTORY_FLAGS, bureau_block, lifetime_features
 from ..operators.temporal import temporal_features
-from ..operators.manifest import file_digests
-from ..session import stage_folder
-from ..sources.roles import history_roles, role, with_roles
+from ..operators.manifest import build_manifest, file_digests
+from ..session import cut_lineage, stage_folder
+from ..sources.roles import ROLES, history_roles, role, with_roles
 from ..sources.snapshots import Snapshots
 from ..sources.tables import check_csv_table, read_store
 from .common import r6, register
@@ -105,9 +105,10 @@ _LIFETIME_FACTS = f"{_LIFETIME_REPORT},\n{_FACTS.format(cardinality=_CARDINALITY
 
 
 def _lifetime_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """As in a store build, the gate reads what was written."""
     tables = history_roles(spark, sf)
     return G.lifetime_findings(
-        lifetime_features(tables), tables["application_train"], tables["application_test"])
+        cut_lineage(lifetime_features(tables)), tables["application_train"], tables["application_test"])
 
 
 @register("lifetime_quality_findings", with_roles(_LIFETIME_CHECKS, *ALL_ROLES, ctes=_LIFETIME_FACTS))
@@ -143,7 +144,7 @@ _TEMPORAL_CHECKS = _checks_sql([
 @register("temporal_quality_findings", with_roles(_TEMPORAL_CHECKS, *TEMPORAL_ROLES, ctes=_TEMPORAL_FACTS))
 def temporal_quality_findings(spark: SparkSession, sf: str) -> DataFrame:
     tables = history_roles(spark, sf)
-    return rounded(G.temporal_findings(temporal_features(tables), tables))
+    return rounded(G.temporal_findings(cut_lineage(temporal_features(tables)), tables))
 
 
 @register("lifetime_quality_gate", with_roles(
@@ -202,6 +203,32 @@ def contract_checks(spark: SparkSession, sf: str) -> DataFrame:
     return G.contract_checks(history_roles(spark, sf))
 
 
+def _manifest_sql() -> str:
+    parts = []
+    for c in CONTRACTS:
+        there = c.table in ALL_ROLES
+        names = [n for n, _ in ROLES[c.table][2]] if there else []
+        missing = ",".join(sorted(set(c.required) - set(names))) if there else None
+        parts.append(
+            f"SELECT '{c.file}' AS file_name, '{c.table}' AS table_name, {str(c.mandatory).lower()} AS required,"
+            f" '{'present' if there else 'missing'}' AS status, {len(names) if there else 'NULL'}::BIGINT AS column_count,"
+            f" {'NULL' if missing is None else repr(missing)}::VARCHAR AS missing_required_columns,"
+            f" {f'(SELECT count(*) FROM {c.table})' if there else 'NULL'}::BIGINT AS row_count,"
+            f" {str(not missing and len(names) >= c.min_columns).lower() if there else 'NULL'}::BOOLEAN AS schema_valid")
+    return " UNION ALL ".join(parts)
+
+
+@register("source_manifest", with_roles(_manifest_sql(), *ALL_ROLES))
+def source_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """The manifest of a delivery: the history tables written as CSV, two optional files left out."""
+    folder = f"{stage_folder(spark)}/delivery-{uuid.uuid4().hex}"
+    for name, df in history_roles(spark, sf).items():
+        df.write.option("header", True).csv(f"{folder}/{contract_for(name).file}")
+    return build_manifest(spark, folder).select(
+        "file_name", "table_name", "required", "status", F.col("column_count").cast("long").alias("column_count"),
+        F.array_join("missing_required_columns", ",").alias("missing_required_columns"), "row_count", "schema_valid")
+
+
 @register("file_manifest")
 def file_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return file_digests(spark, f"{sf}/*.parquet")

@@ -10,13 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import CONTRACTS, SourceContract
-from ..sources.tables import header_of
 
 CHUNK = 4 * 1024 * 1024
 
 
-def file_digests(spark: SparkSession, pattern: str) -> DataFrame:
-    """Name, bytes and SHA-256 of the files a pattern matches, one file per task."""
+def path_digests(spark: SparkSession, listing: DataFrame) -> DataFrame:
+    """``path, length, sha256`` of listed files, one file at a time in a task."""
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """SHA-256 of each listed file, streamed in chunks so that a file of any size fits."""
@@ -33,48 +32,64 @@ def file_digests(spark: SparkSession, pattern: str) -> DataFrame:
                 digests.append(state.hexdigest())
             yield batch.assign(sha256=digests)
 
+    spread = listing.repartition(spark.sparkContext.defaultParallelism, "path")
+    return spread.mapInPandas(digest, "path string, length bigint, sha256 string")
+
+
+def file_digests(spark: SparkSession, pattern: str) -> DataFrame:
+    """Name, bytes and SHA-256 of the files a pattern matches."""
     listing = spark.read.format("binaryFile").load(pattern).select(
         F.regexp_replace("path", "^file:/+", "file:///").alias("path"), "length")
-    spread = listing.repartition(spark.sparkContext.defaultParallelism, "path")
-    hashed = spread.mapInPandas(digest, "path string, length bigint, sha256 string")
-    return hashed.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("bytes"), "sha256")
+    return path_digests(spark, listing).select(
+        F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("bytes"), "sha256")
+
 
+def line_facts(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """``path, row_count, header`` of every listed text file, in one splittable scan: lines minus the header, and the first line."""
+    paths = [r.path for r in files.select("path").collect()]  # one per file of the delivery
+    lines = spark.read.option("lineSep", "\n").text(paths).select(
+        F.regexp_replace("_metadata.file_path", "^file:/+", "file:///").alias("path"), "value",
+        F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n")).alias("place"))
+    return lines.groupBy("path").agg(
+        F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).alias("row_count"), F.min_by("value", "place").alias("header"))
 
-def physical_rows(spark: SparkSession, pattern: str) -> DataFrame:
-    """Lines minus the header, per file (splittable scan)."""
-    lines = spark.read.option("lineSep", "\n").text(pattern).select(F.col("_metadata.file_name").alias("file_name"))
-    return lines.groupBy("file_name").agg(
-        F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).alias("row_count"))
+
+def listed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, file_name, length`` of the files of a delivery; a folder of parts counts as the file of its name."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(
+        F.regexp_replace("path", "^file:/+", "file:///").alias("path"), "length")
+    inside = F.regexp_extract("path", r"([^/]+\.csv)(/[^/]+)?$", 1)
+    return listing.withColumn("file_name", inside).where("file_name <> ''")
 
 
 def build_manifest(spark: SparkSession, folder: str, contracts: Iterable[SourceContract] = CONTRACTS) -> DataFrame:
-    """One row per contracted file.  Headers are single lines, read per file on the driver."""
-    folder = folder.rstrip("/")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    base = hadoop.Path(folder)
-    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows, present = [], []
-    for contract in contracts:
-        path = f"{folder}/{contract.file}"
-        exists = fs.exists(hadoop.Path(path))
-        header = header_of(spark, path, contract.encoding) if exists else []
-        missing = sorted(set(contract.required) - set(header)) if exists else []
-        valid = exists and not missing and len(header) >= contract.min_columns
-        rows.append((contract.file, contract.table, contract.mandatory, "present" if exists else "missing",
-                     contract.grain, len(header) if exists else None, header, missing, contract.min_columns,
-                     list(contract.key), valid if exists else None))
-        if exists:
-            present.append(path)
-    table = spark.createDataFrame(rows, (
-        "file_name string, table_name string, required boolean, status string, grain string, column_count int, "
-        "columns array<string>, missing_required_columns array<string>, minimum_column_count int, "
-        "primary_key array<string>, schema_valid boolean"))
-    if not present:
-        return table.withColumns({
-            "bytes": F.lit(None).cast("bigint"), "sha256": F.lit(None).cast("string"),
-            "row_count": F.lit(None).cast("bigint")})
-    return table.join(file_digests(spark, present), "file_name", "left").join(
-        physical_rows(spark, present), "file_name", "left")
+    """One row per contracted file: size, digest, rows, header and whether the contract is met.
+
+    ``sha256`` of a folder of parts is the digest of its parts' digests in order of their names.
+    """
+    files = listed_files(spark, folder)
+    shape = "file_name string, bytes long, row_count long, columns array<string>"
+    if files.isEmpty():
+        found, digests = spark.createDataFrame([], shape), spark.createDataFrame([], "file_name string, sha256 string")
+    else:
+        header = F.transform(F.split(F.regexp_replace("header", "^\ufeff|\r$", ""), ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
+        found = files.join(line_facts(spark, files), "path", "left").groupBy("file_name").agg(
+            F.sum("length").alias("bytes"), F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"),
+            F.min_by(header, "path").alias("columns"))
+        parts = files.select("path", "file_name").join(path_digests(spark, files.select("path", "length")), "path").groupBy("file_name").agg(
+            F.sort_array(F.collect_list(F.struct("path", "sha256"))).alias("d"))  # the parts of one delivered table
+        digests = parts.select("file_name", F.when(F.size("d") == 1, F.col("d")[0]["sha256"]).otherwise(
+            F.sha2(F.array_join(F.transform("d", lambda x: x["sha256"]), ""), 256)).alias("sha256"))
+    table = spark.createDataFrame([(
+        c.file, c.table, c.mandatory, c.grain, c.min_columns, list(c.key), list(c.required)) for c in contracts],
+        "file_name string, table_name string, required boolean, grain string, minimum_column_count int, "
+        "primary_key array<string>, _needed array<string>")
+    present = F.col("bytes").isNotNull()
+    missing = F.when(present, F.array_sort(F.array_except("_needed", F.coalesce("columns", F.array().cast("array<string>")))))
+    return table.join(found, "file_name", "left").join(digests, "file_name", "left").withColumns({
+        "status": F.when(present, "present").otherwise("missing"), "column_count": F.when(present, F.size("columns")),
+        "missing_required_columns": missing}).withColumn("schema_valid", F.when(
+            present, (F.size("missing_required_columns") == 0) & (F.col("column_count") >= F.col("minimum_column_count")))).drop("_needed")
 
 
 def manifest_summary(manifest: DataFrame) -> DataFrame:
