@@ -156,7 +156,7 @@ def pack_in_order(docs: DataFrame, order: DataFrame, vocabulary: str | None = No
     Documents that ``order`` lacks, those without id among them, come behind the others as :func:`pack` deals them.
     """
     cut = stage(pieces(docs, vocabulary), "pieces")
-    ranked = cut.join(order.hint("merge"), "doc_id", "left")
+    ranked = stage(cut.join(order.hint("merge"), "doc_id", "left"), "ranked-pieces")  # read by every job below
     placed = stage(_ranked(ranked.where("slot IS NOT NULL")).withColumn("run", F.floor(F.col("position") / group_pieces)), "runs")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
     packed = placed.groupBy("run").applyInArrow(_packed_run, f"{schema}, sequence_id long, offset long")
