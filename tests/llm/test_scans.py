@@ -2,10 +2,13 @@
 
 import base64
 import hashlib
+import heapq
+import math
 import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -197,14 +200,83 @@ def test_mixture_keeps_every_source_within_one_block(spark):
         assert (starts.to_numpy() == np.r_[0, np.cumsum([sizes[d] for d in part["doc_id"]])[:-1]]).all(), source
     blocks = got.drop_duplicates(["source", "block"]).sort_values("slot")
     assert blocks["slot"].is_unique
-    order = blocks[blocks["slot"] < 60]["source"].tolist()  # three whole cycles of the four sources
-    shares = {"big": 10, "mid": 6, "low": 4, None: 1}
-    total = sum(shares.values())
-    given = Counter()
-    for at, source in enumerate(order, 1):
+    shares = {"big": 0.5, "mid": 0.3, "low": 0.2, None: mixing.LEAST_SHARE}
+    total, given, left = sum(shares.values()), Counter(), Counter(blocks["source"].fillna("-"))
+    for at, source in enumerate(blocks["source"], 1):
         given[source] += 1
         for s, q in shares.items():
             assert abs(given[s] - at * q / total) < 1
+        if given[source] == left[source]:  # the first to run out
+            break
+
+
+def _ideal(shares, slots):
+    """Blocks that each source has had of the ideal mixture after 0, 1, ... slots, in fractions."""
+    had, out = dict.fromkeys(shares, Fraction(0)), []
+    for _ in range(slots + 1):
+        out.append(dict(had))
+        rest = Fraction(1)
+        while rest and (live := [k for k, (w, n) in shares.items() if had[k] < n]):
+            whole = sum(shares[k][0] for k in live)
+            step = min(rest, min((shares[k][1] - had[k]) * whole / Fraction(shares[k][0]) for k in live))
+            for k in live:
+                had[k] += step * shares[k][0] / whole
+            rest -= step
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_slots_stay_within_one_block_of_the_ideal_mixture(spark, seed):
+    draw = random.Random(seed)
+    shares = {f"s{k}": (draw.choice([1, 2, 3, 7, 20, 61]), draw.choice([1, 2, 9, 40])) for k in range(draw.choice([1, 2, 5, 14]))}
+    table = spark.createDataFrame([(k, w, n) for k, (w, n) in shares.items()], "key string, w long, n long")
+    got = sorted(mixing._slots(table, draw.choice([1, 8, 30])).collect(), key=lambda r: r["slot"])
+    slots = sum(n for _, n in shares.values())
+    assert [r["slot"] for r in got] == list(range(slots))
+    assert {(r["key"], r["block"]) for r in got} == {(k, j) for k, (_, n) in shares.items() for j in range(n)}
+    ideal, given = _ideal(shares, slots), Counter()
+    first, last = {}, {}
+    for t in range(slots):  # windows from the ideal: block j runs while a source has between j and j + 1
+        for k in shares:
+            for j in range(math.floor(ideal[t][k]), math.ceil(ideal[t + 1][k])):
+                first.setdefault((k, j), t)
+                last[k, j] = t + 1
+    for at, r in enumerate(got, 1):
+        place = r["key"], r["block"]
+        assert (r["release"], r["deadline"]) == (first[place], last[place]) and r["release"] <= r["slot"] < r["deadline"]
+        assert r["block"] == given[r["key"]]
+        given[r["key"]] += 1
+        assert all(abs(given[k] - ideal[at][k]) < 1 for k in shares)
+    waiting, plain = [], []  # plain earliest deadline first meets the same windows
+    for t in range(slots):
+        for place in [p for p in first if first[p] == t]:
+            heapq.heappush(waiting, (last[place], place))
+        plain.append(heapq.heappop(waiting))
+        assert plain[-1][0] > t
+
+
+def test_mixing_takes_many_unequal_sources(spark):
+    draw = random.Random(9)
+    weights = {"hot": 400.0} | {f"s{k}": draw.uniform(0.2, 1.4) for k in range(1500)}
+    sizes = {k: 3_000 if k == "hot" else draw.randint(1, 5) for k in weights}
+    text = [(k, "x" * 9) for k, n in sizes.items() for _ in range(n)]
+    table = spark.createDataFrame([(n, t, "en", k, 0) for n, (k, t) in enumerate(text)], SCHEMA)
+    got = mixing.schedule(table, weights, block=10).toPandas().sort_values("slot")
+    assert got["slot"].tolist() == list(range(len(text)))
+    total, given = sum(weights.values()), dict.fromkeys(weights, 0)
+    first_out = min(n / weights[k] for k, n in sizes.items()) * total  # until then the weights hold as given
+    for at, key in enumerate(got["source"], 1):
+        given[key] += 1
+        if at <= first_out:
+            assert all(abs(given[k] - at * w / total) < 1 for k, w in weights.items())
+    assert ((got["slot"] >= got["release"]) & (got["slot"] < got["deadline"])).all()
+
+
+def test_mixing_spreads_rows_without_id(spark):
+    table = spark.range(50_000).selectExpr("cast(null AS long) AS doc_id", "'one text' AS text", "'en' AS lang", "'web' AS source", "8 AS n_chars")
+    assert mixing._sized(table).selectExpr("shiftrightunsigned(mark, 40) AS b").groupBy("b").count().agg(F.max("count")).first()[0] < 50
+    got = mixing.schedule(table, block=900)
+    assert got.count() == 50_000 and got.select("block", "place").distinct().count() == 50_000
 
 
 def test_mixing_hard_rows(docs, wide_docs, no_docs):
