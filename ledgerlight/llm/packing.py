@@ -108,7 +108,8 @@ def pack(cut: DataFrame, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """
     short = cut.where(F.col("length") < SEQUENCE)
     bunches = max(1, -(-short.count() // group_pieces))
-    bunch = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(bunches)).cast("int")
+    row = F.monotonically_increasing_id()  # copies of one row, or rows without id, share no group for that
+    bunch = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", row), F.lit(bunches)).cast("int")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
     packed = short.withColumn("bunch", bunch).groupBy("bunch").applyInArrow(
         _packed, f"{schema}, sequence_id long, offset long")

@@ -113,6 +113,13 @@ def exact_ids():
     return {row: exact.encode(row[1] or "", add_special_tokens=False).ids for row in set(hard_rows())}
 
 
+def test_copies_of_one_row_share_out_over_groups(spark):
+    cut = spark.range(50_000, numPartitions=3).selectExpr(
+        "cast(null AS long) AS doc_id", "0 AS piece", "0L AS start", "9L AS length", "7L AS ids_crc32")
+    got = packing.pack(cut, group_pieces=5_000).groupBy((F.col("sequence_id") / (1 << 32)).cast("int").alias("g")).count().collect()
+    assert len(got) == 10 and max(r["count"] for r in got) < 6_000
+
+
 def test_packing_is_whole_and_gapless(docs, wide_docs, no_docs):
     expected = Counter()
     for row in hard_rows():
