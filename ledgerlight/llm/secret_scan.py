@@ -1,6 +1,6 @@
 """Secret scans: three kinds of patterns, and a randomness test battery for what no pattern names.
 
-Patterns give the base spans.  The battery looks at other long tokens.  Each gets an encoding from its
+Patterns give the base spans.  The battery looks at other long tokens, and at long pieces that base spans leave of one.  Each gets an encoding from its
 characters, and two questions:
 
 * *Could it be random?*  A chi-squared test of equal use of the alphabet, a runs test over the lower and upper half
@@ -28,7 +28,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ASSIGN_VALUE = 12
 ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
-TOKEN = "[A-Za-z0-9+/_-]{20,}={0,2}"
+TOKEN_LENGTH, SIGNS = 20, "+/_-="
+TOKEN = f"[A-Za-z0-9+/_-]{{{TOKEN_LENGTH},}}={{0,2}}"
 
 RANDOM_FLOOR, FALSE_SHARE = 0.001, 0.001
 BINS_PER_NAT, LAST_BIN = 4, 2_800
@@ -147,13 +148,32 @@ def _text_surprise(body: Column, p: Column) -> Column:
     return F.greatest(F.lit(0.0), nats - F.log(1 + nats))
 
 
+def _rest(t: Column) -> Column:
+    """What base spans leave of a token: pieces long enough for a token, without signs at their ends."""
+    touching = F.array_sort(F.filter("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,token:string>>)")
+
+    def gap(state: Column, end: Column) -> Column:
+        text = F.substr(t["token"], state["at"] - t["start"] + 1, F.greatest(F.lit(0), end - state["at"]))
+        body = F.ltrim(text, F.lit(SIGNS))
+        start = state["at"] + F.length(text) - F.length(body)
+        bare = F.rtrim(body, F.lit(SIGNS))
+        piece = F.struct(start.alias("start"), t["kind"].alias("kind"), (start + F.length(bare)).alias("end"), bare.alias("token"))
+        return F.when(F.length(bare) >= TOKEN_LENGTH, F.concat(state["pieces"], F.array(piece))).otherwise(state["pieces"])
+
+    return F.aggregate(
+        touching, F.struct(t["start"].alias("at"), none.alias("pieces")),
+        lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), gap(s, b["start"]).alias("pieces")),
+        lambda s: gap(s, t["end"]))
+
+
 def with_spans(docs: DataFrame) -> DataFrame:
     """``docs`` with ``base`` (array of ``start, kind, end``) and ``tokens`` (the same with ``bin``, and ``random``)."""
     text = F.coalesce("text", F.lit(""))
     base = F.concat(_found(text, ASSIGN, 0, ASSIGN_VALUE), _found(text, ACCESS, 1), _found(text, HEX, 2))
     named = docs.withColumns({"base": base, "tokens": _found(text, TOKEN, 3)})
-    free = F.filter("tokens", lambda t: ~F.exists(
-        "base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    free = F.flatten(F.transform("tokens", lambda t: F.when(
+        F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])), _rest(t)).otherwise(F.array(t))))
 
     def judged(t: Column) -> Column:
         body = F.rtrim(t["token"], F.lit("="))

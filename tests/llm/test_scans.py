@@ -175,6 +175,20 @@ def test_token_counts_match_the_tokenizer(spark, docs, wide_docs, no_docs):
     assert separator_scan.document_token_counts(no_docs, VOCABULARY).count() == 0
 
 
+def test_random_remainder_of_a_token_is_judged(spark):
+    draw = random.Random(21)
+    signs = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)]))
+    wild = "".join(draw.choice(signs) for _ in range(40))
+    rows = [
+        f"key sk-123456789012345678-{wild} end", f"{wild}_123456789012345678 x", "sk-123456789012345678-only_short",
+        "a_long_name_in_plain_words_123456789012345678_and_more_plain_words_here", f"token={wild}"]
+    table = spark.createDataFrame([(n, t, "en", "s", len(t)) for n, t in enumerate(rows)], SCHEMA)
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.secret_spans(table).collect()}
+    assert got == {
+        0: "hex:7:25,random:26:66", 1: "random:0:40,hex:41:59", 2: "hex:3:21", 3: "hex:27:45", 4: "assign:0:46"}
+    assert wild not in " ".join(r["text"] for r in secret_scan.redact(table).collect())
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 7, 1000])
 def test_scan_stitches_documents_across_blocks(spark, block):
     from pyarrow import fs
