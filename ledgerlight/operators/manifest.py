@@ -10,50 +10,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import CONTRACTS, SourceContract
+from ..session import cut_lineage
 
 CHUNK = 4 * 1024 * 1024
 
 
-def path_digests(spark: SparkSession, listing: DataFrame) -> DataFrame:
-    """``path, length, sha256`` of listed files, one file at a time in a task."""
+def path_facts(spark: SparkSession, listing: DataFrame) -> DataFrame:
+    """``path, length, sha256, row_count, header`` of listed files, one file at a time in a task.
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """SHA-256 of each listed file, streamed in chunks so that a file of any size fits."""
+    A file is read once: its digest, its lines minus the header and its first line (NULL for an empty file) come from the
+    same pass, and no more of it is held than a chunk.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """SHA-256 and lines of each listed file, streamed in chunks so that a file of any size fits."""
         from pyarrow import fs
 
         for batch in batches:
-            digests = []
+            digests, rows, headers = [], [], []
             for path in batch["path"]:
                 system, inner = fs.FileSystem.from_uri(path)
-                state = hashlib.sha256()
+                state, ends, last, head, open_head = hashlib.sha256(), 0, b"\n", [], True
                 with system.open_input_stream(inner) as stream:
                     while chunk := stream.read(CHUNK):
                         state.update(chunk)
+                        ends, last = ends + chunk.count(b"\n"), chunk[-1:]
+                        if open_head:
+                            first, end, _ = chunk.partition(b"\n")
+                            head.append(first)
+                            open_head = not end
                 digests.append(state.hexdigest())
-            yield batch.assign(sha256=digests)
+                rows.append(max(ends + (last != b"\n") - 1, 0))
+                headers.append(b"".join(head).decode("utf-8", "replace") if head else None)
+            yield batch.assign(sha256=digests, row_count=rows, header=headers)
 
     spread = listing.repartition(spark.sparkContext.defaultParallelism, "path")
-    return spread.mapInPandas(digest, "path string, length bigint, sha256 string")
+    return spread.mapInPandas(read, "path string, length bigint, sha256 string, row_count long, header string")
 
 
 def file_digests(spark: SparkSession, pattern: str) -> DataFrame:
     """Name, bytes and SHA-256 of the files a pattern matches."""
     listing = spark.read.format("binaryFile").load(pattern).select(
         F.regexp_replace("path", "^file:/+", "file:///").alias("path"), "length")
-    return path_digests(spark, listing).select(
+    return path_facts(spark, listing).select(
         F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("bytes"), "sha256")
 
 
-def line_facts(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """``path, row_count, header`` of every listed text file, in one splittable scan: lines minus the header, and the first line."""
-    paths = [r.path for r in files.select("path").collect()]  # one per file of the delivery
-    lines = spark.read.option("lineSep", "\n").text(paths).select(
-        F.regexp_replace("_metadata.file_path", "^file:/+", "file:///").alias("path"), "value",
-        F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n")).alias("place"))
-    return lines.groupBy("path").agg(
-        F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).alias("row_count"), F.min_by("value", "place").alias("header"))
-
-
 def listed_files(spark: SparkSession, folder: str) -> DataFrame:
     """``path, file_name, length`` of the files of a delivery; a folder of parts counts as the file of its name."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(
@@ -73,10 +75,11 @@ def build_manifest(spark: SparkSession, folder: str, contracts: Iterable[SourceC
         found, digests = spark.createDataFrame([], shape), spark.createDataFrame([], "file_name string, sha256 string")
     else:
         header = F.transform(F.split(F.regexp_replace("header", "^\ufeff|\r$", ""), ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
-        found = files.join(line_facts(spark, files), "path", "left").groupBy("file_name").agg(
+        read = cut_lineage(files.select("path", "file_name").join(path_facts(spark, files.select("path", "length")), "path"))
+        found = read.groupBy("file_name").agg(
             F.sum("length").alias("bytes"), F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"),
             F.min_by(header, "path").alias("columns"))
-        parts = files.select("path", "file_name").join(path_digests(spark, files.select("path", "length")), "path").groupBy("file_name").agg(
+        parts = read.groupBy("file_name").agg(
             F.sort_array(F.collect_list(F.struct("path", "sha256"))).alias("d"))  # the parts of one delivered table
         digests = parts.select("file_name", F.when(F.size("d") == 1, F.col("d")[0]["sha256"]).otherwise(
             F.sha2(F.array_join(F.transform("d", lambda x: x["sha256"]), ""), 256)).alias("sha256"))
