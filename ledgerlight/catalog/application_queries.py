@@ -12,6 +12,7 @@ from ..operators.fairness import protected_controls
 from ..operators.history import bureau_block
 from ..operators.splits import assign_splits, overlap_count
 from ..operators.temporal import temporal_features
+from ..session import spread
 from ..sources.roles import APPLICATION_COLUMNS, ROLES, history_roles, role, with_roles
 from .common import Spec, present, r6, register
 from .history_queries import _BB_CTE, _BUREAU_CTE
@@ -148,7 +149,7 @@ def sealed_holdout_overlap(spark: SparkSession, sf: str) -> DataFrame:
 def development_rows(spark: SparkSession, sf: str) -> DataFrame:
     train = role(spark, sf, "application_train")
     chosen = assign_splits(train).where("split = 'development'").select("SK_ID_CURR")
-    return A.engineer(train).join(chosen, "SK_ID_CURR", "left_semi")
+    return A.engineer(spread(train)).join(chosen, "SK_ID_CURR", "left_semi")
 
 
 def _inventory_sql() -> str:
