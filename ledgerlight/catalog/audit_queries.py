@@ -13,6 +13,7 @@ from ..operators import scoring as S
 from ..operators.application import engineer
 from ..operators.history import lifetime_features
 from ..plans.portfolio import transparent_intake_score
+from ..session import spread
 from ..sources.roles import history_roles, role, with_roles
 from .application_queries import ALL_COLUMNS, ENGINEERED_CTE, column_kind
 from .common import r6, register
@@ -57,7 +58,7 @@ def contributions(spark: SparkSession, sf: str) -> DataFrame:
                  F.expr(_contribution(i + 20)).alias("contribution"),
                  F.lit(None).cast("double").alias("indicator_contribution"))
         for i, n in enumerate(CATEGORY)]
-    return rows.select("SK_ID_CURR", F.col("TARGET").alias("target"), F.explode(F.array(*parts)).alias("c")).select(
+    return spread(rows.select("SK_ID_CURR", "TARGET", *NUMERIC, *CATEGORY)).select("SK_ID_CURR", F.col("TARGET").alias("target"), F.explode(F.array(*parts)).alias("c")).select(
         "SK_ID_CURR", "target", "c.*")
 
 
