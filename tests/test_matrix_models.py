@@ -92,6 +92,52 @@ def test_models_of_one_matrix(spark, table, layout):
     assert len(B.fit_plans(matrix, plans[:1], "id", "y", fit_rows=150)) == 1
 
 
+def test_dealt_rows_grow_the_trees_of_all_rows(spark, table, layout):
+    """Beyond ``fit_rows`` no row is left out, and the tasks together find what one task with all rows finds."""
+    matrix = B.binned_matrix(table, layout, ["id", "y", "tuning_role"])
+    whole = B.Settings(rounds=12, depth=3, least_rows=20, row_share=1.0, column_share=1.0)  # no draws
+    plans = [B.Plan("both", tuple(layout.places(["a", "word"])), whole),
+             B.Plan("short", tuple(layout.places(["a"])), B.Settings(**{**whole.__dict__, "rounds": 4, "depth": 2}))]
+    one, many = B.fit_plans(matrix, plans, "id", "y"), B.fit_plans(matrix, plans, "id", "y", fit_rows=150)
+    for name, forest in one.items():
+        assert many[name].base == forest.base and np.array_equal(many[name].places, forest.places)
+        assert np.array_equal(many[name].cuts, forest.cuts)
+        assert many[name].values == pytest.approx(forest.values, abs=1e-6) and many[name].gains == pytest.approx(forest.gains, abs=1e-4)
+
+
+def test_dealt_trees_do_not_depend_on_the_tasks(spark, table, layout, monkeypatch):
+    matrix = B.binned_matrix(table, layout, ["id", "y", "tuning_role"])
+    plans = [B.Plan("both", tuple(layout.places(["a", "b", "word"])), B.Settings(rounds=60, depth=4, least_rows=20, patience=5))]
+    four = B.fit_plans(matrix, plans, "id", "y", fit_rows=100)["both"]
+    for shards in (1, 2, 3):
+        with monkeypatch.context() as patch:
+            patch.setattr(B, "shard_count", lambda context, wanted, n=shards: n)
+            other = B.fit_plans(matrix.repartition(7), plans, "id", "y", fit_rows=700)["both"]
+        assert np.array_equal(other.values, four.values) and np.array_equal(other.places, four.places)
+    assert 1 < len(four.places) < 60  # early stopping
+    # Alike rows are rows of their own.
+    alike = matrix.where("id < 40").withColumn("tuning_role", F.lit("fit")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(20)))).drop("copy")
+    short = [B.Plan("both", plans[0].places, B.Settings(rounds=3, depth=2, least_rows=20, row_share=1.0, column_share=1.0))]
+    one, many = (B.fit_plans(alike, short, "id", "y", fit_rows=n)["both"] for n in (1000, 100))
+    assert many.values == pytest.approx(one.values, abs=1e-6) and many.places.max() >= 0
+    # Tasks without a row take part.
+    few = matrix.where("id < 3").withColumn("tuning_role", F.lit("fit"))
+    assert B.fit_plans(few, plans, "id", "y", fit_rows=1)["both"].places.max() == -1
+
+
+def test_a_fit_of_many_rows_leaves_none_out(spark):
+    n = B.FIT_ROWS + 1000
+    matrix = spark.range(n).select(
+        "id", (F.col("id") % 7 == 0).cast("int").alias("y"), F.lit("fit").alias("tuning_role"),
+        F.unhex(F.lpad(F.hex(F.col("id") % 7), 2, "0")).alias("bins"))
+    forest = B.fit_plans(matrix, [B.Plan("one", (0,), B.Settings(rounds=1, depth=1, row_share=1.0, step=1.0))], "id", "y")["one"]
+    events = -(-n // 7)
+    rate = events / n
+    assert forest.base == pytest.approx(math.log(rate / (1 - rate)), abs=1e-12)
+    assert forest.values[0, 1:].tolist() == pytest.approx(
+        [events * (1 - rate) / (events * rate * (1 - rate) + 1), -(n - events) * rate / ((n - events) * rate * (1 - rate) + 1)], rel=1e-6)
+
+
 # ---------------------------------------------------------------- bootstrap
 
 def test_draws_are_those_of_the_columns(spark):
