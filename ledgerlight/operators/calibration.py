@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -44,14 +45,16 @@ def compare_calibrators(rows: DataFrame, probability: str, role: str = "calibrat
                         target: str = TARGET) -> DataFrame:
     """Every method fitted on the fit half and measured on the other half; the best is marked.
 
-    Best: smallest Brier score, then log loss, then the simpler method.
+    Best: smallest Brier score, then log loss, then the simpler method.  A method without a fit (one class in the fit half)
+    gives no number and is worse than all that do.
     """
     fit_rows = rows.where(F.col(role) == "calibrator_fit")
     held = rows.where(F.col(role) == "calibrator_evaluation")
     parts = None
     for order, method in enumerate(METHODS):
         part = calibrate(fit_rows, held, probability, method, "calibrated", target).select(
-            F.lit(order).alias("order"), F.lit(method).alias("method"), target, "calibrated")
+            F.lit(order).alias("order"), F.lit(method).alias("method"), target,
+            F.when(F.col("calibrated").isNull() & F.col(probability).isNotNull(), math.nan).otherwise(F.col("calibrated")).alias("calibrated"))
         parts = part if parts is None else parts.unionAll(part)
     table = evaluate(parts, "calibrated", ["order", "method"], target)
     best = table.agg(F.min_by("method", F.struct("brier_score", "log_loss", "order")).alias("best"))
